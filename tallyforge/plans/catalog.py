@@ -1,0 +1,11 @@
+"""The catalogue of queries over the usage model, and their SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
