@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe
+from tallyforge.llm import bpe, language, warc
 from tallyforge.llm.common import table
 
 #: Vocabulary files; every executor has them.
@@ -15,13 +15,21 @@ WORD_VOCABULARY = os.environ.get("WORD_VOCABULARY", public_tokenizers.path("word
 BYTE_VOCABULARY = os.environ.get("BYTE_VOCABULARY", public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), WORD_VOCABULARY, digests_only=True)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op5_bpe": op5_bpe}
+    return {f.__name__: f for f in (op4_warc, op5_bpe, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": warc.sql()}
