@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe, language, warc
+from tallyforge.llm import bpe, language, packing, simhash, warc
 from tallyforge.llm.common import table
 
 #: Vocabulary files; every executor has them.
@@ -23,12 +23,20 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), WORD_VOCABULARY, digests_only=True)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_warc, op5_bpe, op10_language)}
+    return {f.__name__: f for f in (op4_warc, op5_bpe, op7_packing, op8_simhash, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
