@@ -6,8 +6,9 @@ import os
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, language, packing, simhash, warc
+from tallyforge.llm import bpe, language, packing, simhash, topk, toxicity, vectors, warc
 from tallyforge.llm.common import table
 
 #: Vocabulary files; every executor has them.
@@ -15,6 +16,10 @@ WORD_VOCABULARY = os.environ.get("WORD_VOCABULARY", public_tokenizers.path("word
 BYTE_VOCABULARY = os.environ.get("BYTE_VOCABULARY", public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
 
@@ -23,6 +28,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), WORD_VOCABULARY, digests_only=True)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.searched(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
@@ -31,13 +40,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_warc, op5_bpe, op7_packing, op8_simhash, op10_language)}
+    return {f.__name__: f for f in (op2_embeddings, op4_warc, op5_bpe, op6_topk, op7_packing, op8_simhash, op9_toxicity, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.sql()}
+    return {"op4_warc": warc.sql(), "op6_topk": topk.sql()}

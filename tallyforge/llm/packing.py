@@ -15,52 +15,57 @@ a rest. Repeated rows are packed as often as they occur; other columns are ignor
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tallyforge.llm.bpe import byte_letters
 from tallyforge.llm.common import pieces
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 TOKENS, SEGMENTS, LOSS = 1024, 64, 1024
 #: Documents packed together.
 BLOCK = 512
-#: Chunks kept by a task; beyond that the table is emptied.
-KEPT_CHUNKS = 500_000
-#: Where two white spaces meet, or one stands at an end: other single spaces may be split at.
-UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
-INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 SHAPE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-class ChunkEncoder:
-    """Ids of whole texts as bytes (little-endian, 32 bits), with each chunk between inner spaces encoded once."""
+class TextEncoder:
+    """Ids of whole texts by a byte-level tokenizers file.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.kept: dict[str, bytes] = {}
-
-    @staticmethod
-    def split(text: str) -> list[str]:
-        """Chunks that the vocabulary's pattern never reaches across; all but the first with their leading space."""
-        first, *rest = text.split(" ") if not UNEVEN.search(text) else INNER_SPACE.split(text)
-        return [first, *(" " + c for c in rest)]
+    tiktoken does the work: in such a vocabulary a token's id is the rank of its merge, so both libraries
+    give the same ids. Where it gives up (on extremely long runs of white space), tokenizers takes its place.
+    """
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.kept) > KEPT_CHUNKS:
-            self.kept.clear()
-        parts = [self.split(t) if t else [] for t in texts]
-        if new := list(set().union(*parts) - self.kept.keys()):
-            for chunk, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.kept[chunk] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.kept.__getitem__, p)) for p in parts]
+    def __init__(self, path: str):
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        self.encoding = tiktoken.Encoding("documents", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids as little-endian 32-bit numbers."""
+        if not text:
+            return b""
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        except BaseException as error:  # a panic of the library is no Exception
+            if isinstance(error, (KeyboardInterrupt, SystemExit)):
+                raise
+            from tokenizers import Tokenizer
+
+            own = Tokenizer.from_file(self.path)
+            own.no_truncation()
+            own.no_padding()
+            return np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def fill(need: np.ndarray, limits: np.ndarray, cut: bool) -> list[list[tuple[int, int, int]]]:
@@ -155,7 +160,7 @@ class _Packer:
         return rows
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
 def packed_documents(docs: DataFrame, vocabulary: str, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), end: int = 0) -> DataFrame:
@@ -164,7 +169,7 @@ def packed_documents(docs: DataFrame, vocabulary: str, limits: tuple[int, int, i
     def run(batches):
         import pyarrow as pa
 
-        own = _ENCODERS.setdefault(vocabulary, None) or ChunkEncoder(vocabulary)
+        own = _ENCODERS.setdefault(vocabulary, None) or TextEncoder(vocabulary)
         _ENCODERS[vocabulary] = own
         packer = _Packer(TaskContext.get().partitionId() << 36, limits)
         last = np.array([end], "<u4").tobytes()
@@ -176,8 +181,7 @@ def packed_documents(docs: DataFrame, vocabulary: str, limits: tuple[int, int, i
 
         for batch in batches:
             for part in pieces(batch):
-                ids = own.encode(part.column("text").to_pylist())
-                waiting += [(d, i + last) for d, i in zip(part.column("doc_id").to_pylist(), ids, strict=True)]
+                waiting += [(d, own.encode(t) + last) for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)]
                 while len(waiting) >= BLOCK:
                     if rows := packer.add(waiting[:BLOCK]):
                         yield batch_of(rows)
