@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, language, packing, simhash, topk, toxicity, vectors, warc
+from tallyforge.llm import bpe, language, lines, packing, simhash, substrings, topk, toxicity, vectors, warc
 from tallyforge.llm.common import table
 
 #: Vocabulary files; every executor has them.
@@ -16,10 +16,18 @@ WORD_VOCABULARY = os.environ.get("WORD_VOCABULARY", public_tokenizers.path("word
 BYTE_VOCABULARY = os.environ.get("BYTE_VOCABULARY", public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.linked(table(spark, sf_dir, "embeddings"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
 
@@ -49,8 +57,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_embeddings, op4_warc, op5_bpe, op6_topk, op7_packing, op8_simhash, op9_toxicity, op10_language)}
+    return {f.__name__: f for f in (op1_substrings, op2_embeddings, op3_lines, op4_warc, op5_bpe, op6_topk, op7_packing, op8_simhash, op9_toxicity, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.sql(), "op6_topk": topk.sql()}
+    return {"op3_lines": lines.sql(), "op4_warc": warc.sql(), "op6_topk": topk.sql()}

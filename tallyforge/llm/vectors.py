@@ -27,7 +27,7 @@ from tallyforge.llm.common import written
 from tallyforge.llm.graph import components
 
 #: Codes, expected and least number of filters that a vector passes, classes of a filter's block.
-PARTS, PASSED, LEAST, BLOCK = 4, 24, 8, 1024
+PARTS, PASSED, LEAST, BLOCK = 4, 32, 16, 1024
 
 
 class Filters:
