@@ -28,19 +28,17 @@ MOST_BITS, LEAST_BITS, SLICE, HASHES = 1 << 28, 1 << 20, 1 << 16, 2
 #: Keys that a task holds before it hands them on.
 HELD_KEYS = 400_000
 LAST = (1 << 63) - 1
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def key_of(line: str) -> str:
-    return line.strip(SPACES).translate(_LOWER)
+def keys_of(text: str | None, least: int) -> list[bytes]:
+    """The keys of a text's lines, in UTF-8; too short ones are empty."""
+    space = SPACES.encode()
+    keys = [k.strip(space) for k in (text or "").encode().translate(_LOWER).split(b"\n")]
+    return [k if len(k) >= 4 * least or (len(k) >= least and len(k.decode()) >= least) else b"" for k in keys]
 
 
-def keys_of(text: str | None, least: int) -> list[str]:
-    """The keys of a text's lines; too short ones are empty."""
-    return [k if len(k) >= least else "" for k in map(key_of, (text or "").split("\n"))]
-
-
-def places(keys: list[str], bits: int) -> np.ndarray:
+def places(keys: list[bytes], bits: int) -> np.ndarray:
     """The bits of each key: an array with HASHES columns."""
     import xxhash
 
@@ -55,7 +53,7 @@ def twice_seen(docs: DataFrame, least: int, bits: int) -> np.ndarray:
     def seen(batches):
         import pyarrow as pa
 
-        def handed(own: dict[str, int], twice: set[str]):
+        def handed(own: dict[bytes, int], twice: set[bytes]):
             at = np.unique(places(list(own), bits))
             again = np.unique(places(list(twice), bits)) if twice else np.zeros(0, np.int64)
             for name, x in ((1, at), (2, again)):
@@ -107,16 +105,16 @@ def later_lines(docs: DataFrame, least: int = 10) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        def handed(own: dict[str, int], later: dict[int, list[str]]):
+        def handed(own: dict[bytes, int], later: dict[int, list[bytes]]):
             keys = list(own)
-            yield pa.RecordBatch.from_arrays([pa.array([own[k] for k in keys], pa.int64()), pa.array(keys, pa.string()), pa.array([None] * len(keys), pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array([own[k] for k in keys], pa.int64()), pa.array(keys, pa.binary()), pa.array([None] * len(keys), pa.list_(pa.int64()))], names)
             if later:
                 hashes = [np.unique(np.array([xxhash.xxh3_64_intdigest(k) for k in ks], np.uint64)).view(np.int64) for ks in later.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(later), pa.int64()), pa.array([None] * len(later), pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(later), pa.int64()), pa.nulls(len(later), pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names)
 
         names, filter_bits = ["doc_id", "key", "keys"], shared.value
-        own: dict[str, int] = {}
-        later: dict[int, list[str]] = {}
+        own: dict[bytes, int] = {}
+        later: dict[int, list[bytes]] = {}
         for batch in batches:
             for part in pieces(batch):
                 docs_of = [LAST if d is None else d for d in part.column("doc_id").to_pylist()]
@@ -140,7 +138,7 @@ def later_lines(docs: DataFrame, least: int = 10) -> DataFrame:
         if own:
             yield from handed(own, later)
 
-    found = written(docs.select("doc_id", "text").mapInArrow(suspects, "doc_id bigint, key string, keys array<bigint>"))
+    found = written(docs.select("doc_id", "text").mapInArrow(suspects, "doc_id bigint, key binary, keys array<bigint>"))
     shared.unpersist()
     rows = found.filter("key is not null").select("key", "doc_id")
     first = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key", "first")
