@@ -81,9 +81,10 @@ def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndar
 def first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest filter in both rows of two arrays of sorted lists that are filled up with -1 and -2."""
     out = np.empty(len(a), np.int64)
-    for k in range(0, len(a), 4096):
-        same = (a[k : k + 4096, :, None] == b[k : k + 4096, None, :]).any(2)
-        out[k : k + 4096] = np.where(same, a[k : k + 4096], np.iinfo(np.int64).max).min(1)
+    step = max(1, (1 << 22) // max(1, a.shape[1] * b.shape[1]))
+    for k in range(0, len(a), step):
+        same = (a[k : k + step, :, None] == b[k : k + step, None, :]).any(2)
+        out[k : k + step] = np.where(same, a[k : k + step], np.iinfo(np.int64).max).min(1)
     return out
 
 
@@ -106,11 +107,11 @@ def links(classes: DataFrame, threshold: float, words: int) -> DataFrame:
                     kept[size] = own_filters
                     for i, f in zip(own, own_filters.passed(x / np.linalg.norm(x, axis=1, keepdims=True)), strict=True):
                         found[i] = f
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(found, pa.list_(pa.int64()))], [*names, "filters"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(found, pa.list_(pa.int32()))], [*names, "filters"])
 
     names = ["class_id", "label", "size", "embedding"]
     kinds = dict(classes.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", filters array<bigint>"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", filters array<int>"
     coded = written(classes.select(*names).mapInArrow(decode, schema)).withColumn("length", F.size("embedding"))
     key = ["label", "length", "filter"]
     spread = coded.withColumn("filter", F.explode("filters"))
