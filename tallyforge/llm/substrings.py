@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import partitions, pieces, window_hashes, word_hashes, word_spans, written
+from tallyforge.llm.common import partitions, pieces, window_hashes, word_hashes, word_spans
 
 SIZE = 50
 LAST = (1 << 63) - 1
@@ -86,8 +86,18 @@ def _anchor_rows(keys: list[int], hashes: list[np.ndarray], aligned: list[np.nda
             ), None
 
 
+def _by_key(keys: np.ndarray, values: np.ndarray, kind: str, name: str):
+    """A batch of one row for each key, with its values packed."""
+    import pyarrow as pa
+
+    order, new = _first_of_each(keys)
+    keys, start = keys[order], np.flatnonzero(new)
+    packed = [x.tobytes() for x in np.split(values[order].astype(kind), start[1:])] if len(keys) else []
+    yield pa.RecordBatch.from_arrays([pa.array(keys[start], pa.int64()), pa.array(packed, pa.binary())], ["sub_key", name])
+
+
 def anchors(docs: DataFrame, size: int) -> DataFrame:
-    """(sub_key, anchors): the hashes (class and 32 bits) of each document's windows that may repeat elsewhere."""
+    """(sub_key, anchors): the hashes (class and 32 bits, packed in arrays) of each document's windows that may repeat elsewhere."""
     block, classes = size // 2, partitions(docs.sparkSession)
 
     def send(batches):
@@ -96,13 +106,13 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
         def handed():
             for kind, a, b in _anchor_rows(keys, hashes, aligned, classes):
                 if kind == "sent":
-                    yield pa.RecordBatch.from_arrays([*a.columns, pa.array([None], pa.int64())], names)
-                else:  # anchors that need no other task: class -1, one row for each document
+                    yield a
+                else:  # anchors that need no other task are passed on: one row for each document
                     order, new = _first_of_each(a)
                     for part in np.split(order, np.flatnonzero(new)[1:]):
-                        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([np.unique(b[part]).astype("<i8").tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([int(a[part[0]])], pa.int64())], names)
+                        key = a[part[:1]]
+                        yield pa.RecordBatch.from_arrays([pa.array(key % classes, pa.int32()), pa.array([-1], pa.int32()), *(pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (np.unique(b[part]), key)), pa.nulls(1, pa.binary())], ["own", "blocks", "hashes", "keys", "counts"])
 
-        names = ["own", "blocks", "hashes", "keys", "counts", "sub_key"]
         keys, hashes, aligned, held = [], [], [], 0
         for batch in batches:
             for part in pieces(batch):
@@ -125,6 +135,9 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
         by_class: dict[int, list[tuple]] = {}
         for batch in batches:
             for row in batch.to_pylist():
+                if row["blocks"] < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["keys"], "<i8")), pa.array([row["hashes"]], pa.binary())], ["sub_key", "anchors"])
+                    continue
                 by_class.setdefault(row["own"], []).append((row["blocks"], np.frombuffer(row["hashes"], "<u4"), np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["counts"], "<u4")))
         for own in list(by_class):
             rows = by_class.pop(own)
@@ -138,14 +151,11 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
             times = np.bincount(at[hit], minlength=len(index))
             hit[hit] = times[at[hit]] > 1
             key = np.repeat(np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows]))
-            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array((np.int64(own) << 32) | h[hit].astype(np.int64))], ["sub_key", "anchor"])
+            yield from _by_key(key[hit], (np.int64(own) << 32) | h[hit].astype(np.int64), "<i8", "anchors")
 
-    sent = written(docs.select("sub_key", "text").mapInArrow(send, "own int, blocks int, hashes binary, keys binary, counts binary, sub_key bigint"))
-    dealt = sent.filter("own >= 0").select("own", "blocks", "hashes", "keys", "counts").repartitionById(classes, F.col("own"))
-    found = dealt.mapInArrow(meet, "sub_key bigint, anchor bigint").groupBy("sub_key").agg(F.array_sort(F.collect_list("anchor")).alias("anchors"))
-    known = sent.filter("own < 0").select("sub_key", F.col("hashes").alias("known"))
-    known = known.groupBy("sub_key").agg(F.collect_list("known").alias("known"))
-    return found.join(known, "sub_key", "full").select("sub_key", "anchors", "known")
+    sent = docs.select("sub_key", "text").mapInArrow(send, "own int, blocks int, hashes binary, keys binary, counts binary")
+    found = sent.repartitionById(classes, F.col("own")).mapInArrow(meet, "sub_key bigint, anchors binary")
+    return found.groupBy("sub_key").agg(F.collect_list("anchors").alias("anchors"))
 
 
 def runs_around(hashes: np.ndarray, found: np.ndarray, size: int, classes: int, n_words: int) -> np.ndarray:
@@ -195,7 +205,7 @@ def _run_rows(members: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]
 def repeats(docs: DataFrame, size: int) -> DataFrame:
     """(sub_key, starts): where runs of words start that a smaller doc_id has too."""
     classes, block = partitions(docs.sparkSession), size // 2
-    found = written(docs.join(anchors(docs, size), "sub_key", "inner").select("sub_key", "sub_id", "text", "anchors", "known"))
+    found = docs.join(anchors(docs, size), "sub_key").select("sub_key", "sub_id", "text", "anchors")
 
     def send(batches):
         import pyarrow as pa
@@ -203,19 +213,19 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
         def handed():
             for kind, a, b in _run_rows(members, classes):
                 if kind == "sent":
-                    yield pa.RecordBatch.from_arrays([*a.columns, pa.array([None], pa.int64())], names)
-                else:
+                    yield a
+                else:  # passed on, without hashes
                     order, new = _first_of_each(a)
                     for part in np.split(order, np.flatnonzero(new)[1:]):
-                        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([np.unique(b[part]).astype("<u4").tobytes()], pa.binary()), *(pa.nulls(1, pa.binary()) for _ in range(3)), pa.array([int(a[part[0]])], pa.int64())], names)
+                        key = a[part[:1]]
+                        yield pa.RecordBatch.from_arrays([pa.array(key % classes, pa.int32()), *(pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([np.unique(b[part]).astype("<u4").tobytes()], pa.binary()), pa.array([key.astype("<i8").tobytes()], pa.binary())), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], ["own", "h", "g", "at", "keys", "ids", "counts"])
 
-        names = ["own", "h", "g", "at", "keys", "ids", "counts", "sub_key"]
         members, held = [], 0
         for batch in batches:
             for part in pieces(batch):
                 for row in part.to_pylist():
                     words = words_of(row["text"])[0]
-                    known = np.concatenate([np.array(row["anchors"] or [], np.int64), *(np.frombuffer(k, "<i8") for k in row["known"] or [])])
+                    known = np.concatenate([np.frombuffer(k, "<i8") for k in row["anchors"]])
                     at = runs_around(window_hashes(words, block), np.unique(known), size, classes, len(words))
                     if len(at):
                         members.append((row["sub_key"], row["sub_id"], at, window_hashes(words, size)[at], window_hashes(words, size, True)[at] & _U(0xFFFFFFFF)))
@@ -232,6 +242,9 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
         by_class: dict[int, list[tuple]] = {}
         for batch in batches:
             for r in batch.to_pylist():
+                if r["h"] is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["keys"], "<i8")), pa.array([r["at"]], pa.binary())], ["sub_key", "starts"])
+                    continue
                 by_class.setdefault(r["own"], []).append(tuple(np.frombuffer(r[n], k) for n, k in (("h", "<u8"), ("g", "<u4"), ("at", "<u4"), ("keys", "<i8"), ("ids", "<i8"), ("counts", "<u4"))))
         for own in list(by_class):
             h, g, at, keys, ids, counts = (np.concatenate(x) for x in zip(*by_class.pop(own), strict=True))
@@ -240,16 +253,10 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
             h, g, at, keys, ids = h[order], g[order], at[order], keys[order], ids[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
             later = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-            keys, at = keys[later], at[later]
-            order = np.argsort(keys, kind="stable")
-            keys, at = keys[order], at[order]
-            start = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
-            lists = [x.astype("<u4").tobytes() for x in np.split(at, start[1:])] if len(keys) else []
-            yield pa.RecordBatch.from_arrays([pa.array(keys[start]), pa.array(lists, pa.binary())], ["sub_key", "starts"])
-
-    sent = written(found.mapInArrow(send, "own int, h binary, g binary, at binary, keys binary, ids binary, counts binary, sub_key bigint"))
-    dealt = sent.filter("own >= 0").select("own", "h", "g", "at", "keys", "ids", "counts").repartitionById(classes, F.col("own"))
-    starts = dealt.mapInArrow(meet, "sub_key bigint, starts binary").union(sent.filter("own < 0").select("sub_key", "at"))
+            yield from _by_key(keys[later], at[later], "<u4", "starts")
+
+    sent = found.mapInArrow(send, "own int, h binary, g binary, at binary, keys binary, ids binary, counts binary")
+    starts = sent.repartitionById(classes, F.col("own")).mapInArrow(meet, "sub_key bigint, starts binary")
     return starts.groupBy("sub_key").agg(F.collect_list("starts").alias("starts"))
 
 
