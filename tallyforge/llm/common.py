@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: White space between words: space and \t \n \v \f \r.
 SPACES = " \t\n\v\f\r"
+#: Whether Spark removes shuffle files at the end of a query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _U = np.uint64
 _P, _Q, _Q2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
@@ -28,10 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: computed once, and safe from lost executors."""
+    """df as a table in the shared folder: computed once, and safe from lost executors.
+
+    The shuffles that made it are of no use afterwards; Spark is told to remove their files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

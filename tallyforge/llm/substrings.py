@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import partitions, pieces, window_hashes, word_hashes, word_spans
+from tallyforge.llm.common import partitions, pieces, window_hashes, word_hashes, word_spans, written
 
 SIZE = 50
 LAST = (1 << 63) - 1
@@ -205,7 +205,7 @@ def _run_rows(members: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]
 def repeats(docs: DataFrame, size: int) -> DataFrame:
     """(sub_key, starts): where runs of words start that a smaller doc_id has too."""
     classes, block = partitions(docs.sparkSession), size // 2
-    found = docs.join(anchors(docs, size), "sub_key").select("sub_key", "sub_id", "text", "anchors")
+    found = docs.join(written(anchors(docs, size)), "sub_key").select("sub_key", "sub_id", "text", "anchors")
 
     def send(batches):
         import pyarrow as pa
@@ -276,7 +276,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _with_starts(docs: DataFrame, size: int) -> DataFrame:
     """docs with sub_starts; rows that are equal in doc_id and text share them."""
-    starts = repeats(_keyed(docs.select("doc_id", "text")), size)
+    starts = written(repeats(_keyed(docs.select("doc_id", "text")), size))
     return _keyed(docs).join(starts.withColumnRenamed("starts", "sub_starts"), "sub_key", "left")
 
 
