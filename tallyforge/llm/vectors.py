@@ -66,26 +66,35 @@ class Filters:
             height -= 0.1 * abs(height) + 1e-3
 
 
-def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of rows of x and y whose cosine reaches the threshold; blocks of 512 rows at once."""
+def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, seen) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows of x and y whose cosine reaches the threshold and that ``seen(rows, rows)`` doesn't hold for."""
     length_x, length_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-    i, j = [], []
+    i, j = [np.zeros(0, int)], [np.zeros(0, int)]
     for a in range(0, len(x), 512):
         for b in range(0, len(y), 512):
-            p, q = np.nonzero((x[a : a + 512] @ y[b : b + 512].T) / (length_x[a : a + 512, None] * length_y[None, b : b + 512]) >= threshold)
+            near = (x[a : a + 512] @ y[b : b + 512].T) / (length_x[a : a + 512, None] * length_y[None, b : b + 512]) >= threshold
+            if near.any():
+                near &= ~seen(slice(a, a + 512), slice(b, b + 512))
+            p, q = np.nonzero(near)
             i.append(p + a)
             j.append(q + b)
-    return (np.concatenate(i), np.concatenate(j)) if i else (np.zeros(0, int), np.zeros(0, int))
+    return np.concatenate(i), np.concatenate(j)
 
 
-def first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest filter in both rows of two arrays of sorted lists that are filled up with -1 and -2."""
-    out = np.empty(len(a), np.int64)
-    step = max(1, (1 << 22) // max(1, a.shape[1] * b.shape[1]))
-    for k in range(0, len(a), step):
-        same = (a[k : k + step, :, None] == b[k : k + step, None, :]).any(2)
-        out[k : k + step] = np.where(same, a[k : k + step], np.iinfo(np.int64).max).min(1)
-    return out
+class Earlier:
+    """Whether rows share a filter that comes before their group's own: they were compared there."""
+
+    def __init__(self, rows: np.ndarray, filters: np.ndarray, own: int, n: int):
+        before = filters < own
+        self.names, column = np.unique(filters[before], return_inverse=True)
+        self.has = np.zeros((n, len(self.names)), bool)
+        self.has[rows[before], column] = True
+
+    def shared(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), len(y)), bool)
+        for k in range(0, len(self.names), 2048):
+            out |= (self.has[x, k : k + 2048].astype(np.float32) @ self.has[y, k : k + 2048].astype(np.float32).T) > 0
+        return out
 
 
 def links(classes: DataFrame, threshold: float, words: int) -> DataFrame:
@@ -129,16 +138,13 @@ def links(classes: DataFrame, threshold: float, words: int) -> DataFrame:
         data = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         data /= np.abs(data).max(1, keepdims=True)
         lists = table.column("filters").combine_chunks()
-        n = lists.value_lengths().to_numpy(zero_copy_only=False)
-        filters = np.full((len(ids), int(n.max())), -1, np.int64)
-        filters[np.arange(filters.shape[1]) < n[:, None]] = lists.flatten().to_numpy()
+        sizes_of = lists.value_lengths().to_numpy(zero_copy_only=False)
+        earlier = Earlier(np.repeat(np.arange(len(ids)), sizes_of), lists.flatten().to_numpy(), own, len(ids))
         left, right = np.flatnonzero(sub == i), np.flatnonzero(sub == j)
-        p, q = close_pairs(data[left], data[right], threshold)
+        p, q = close_pairs(data[left], data[right], threshold, lambda x, y: earlier.shared(left[x], right[y]))
         p, q = left[p], right[q]
         kept = ids[p] < ids[q] if i == j else ids[p] != ids[q]
         p, q = p[kept], q[kept]
-        kept = first_common(filters[p], np.where(filters[q] < 0, -2, filters[q])) == own
-        p, q = p[kept], q[kept]
         return pa.table({"a": ids[p], "b": ids[q], "size_a": sizes[p], "size_b": sizes[q]})
 
     return rows.groupBy(*key, "i", "j").applyInArrow(meet, "a bigint, b bigint, size_a bigint, size_b bigint")
