@@ -1,11 +1,226 @@
-"""The catalogue of queries over the usage model, and their SQL."""
+"""The catalogue of queries over the usage model, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tallyforge.functions import expr
+from tallyforge.functions.expr import UNKNOWN_PROJECT
+from tallyforge.operators import pricing, usage as u
+from tallyforge.operators.usage import SessionFilter, UsageFilter
+from tallyforge.sources import adapters as a
+
+WINDOW = UsageFilter(since="2024-01-05T00:00:00", until="2024-01-20T12:00:00")
+ALPHA = UsageFilter(project="/work/alpha")
+#: Shorthand of the SQL: token sums, derived columns, a project's folder, the total of a row.
+SUMS = """count(*) AS requests, CAST(coalesce(sum(input), 0) AS BIGINT) AS input, CAST(coalesce(sum(output), 0) AS BIGINT) AS output,
+ CAST(coalesce(sum(cache_creation), 0) AS BIGINT) AS cache_creation, CAST(coalesce(sum(cache_read), 0) AS BIGINT) AS cache_read,
+ round(CAST(coalesce(sum(cost), 0) AS DOUBLE), 6) AS cost, CAST(coalesce(sum(input + output + cache_creation + cache_read), 0) AS BIGINT) AS total,
+ CASE WHEN coalesce(sum(input + cache_creation + cache_read), 0) = 0 THEN 0.0 ELSE round(CAST(sum(cache_read) AS DOUBLE) / CAST(sum(input + cache_creation + cache_read) AS DOUBLE), 6) END AS hit_rate"""
+TOTAL = "input + output + cache_creation + cache_read"
+PID = r"regexp_replace(project_dir, '(?s)\A(.*?)[/\\]\.claude[/\\]worktrees(?:[/\\].*)?\z', '\1')"
+IN_WINDOW = "ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20 12:00:00'"
+SEARCH = "customer#00000001"
+
+
+def _usage(f=lambda spark, d: UsageFilter()):
+    return lambda spark, d: u.where_usage(a.usage(spark, d), a.sessions(spark, d), f)
+
+
+def _filtered(f: UsageFilter):
+    return lambda s, d: u.where_usage(a.usage(s, d), a.sessions(s, d), f)
+
+
+def _sessions(f: SessionFilter):
+    return lambda s, d: u.where_sessions(a.sessions(s, d), a.usage(s, d), a.messages(s, d), f)
+
+
+PLAIN, IN_ALPHA, LOOSE = _filtered(WINDOW), _filtered(ALPHA), _filtered(UsageFilter(project=UNKNOWN_PROJECT))
+NO_FILTER = SessionFilter()
+
+
+def _conversation(s, d):
+    return u.conversation(a.messages(s, d)).select("session_id", "uuid", "turn", F.coalesce("belongs_to", F.lit("")).alias("belongs_to"))
+
+
+def _headline(s, d):
+    days = u.by(PLAIN(s, d), "day").select("day", "requests")
+    return days.agg(F.sum("requests").alias("requests"), F.round(F.sum("requests") / 16, 6).alias("per_day"), F.max_by("day", F.struct("requests", -F.datediff(F.col("day").cast("date"), F.lit("2024-01-01").cast("date")))).alias("peak"))
+
+
+def _section(s, d):
+    own = a.sessions(s, d).filter(~F.col("excluded"))
+    span = (F.unix_timestamp(F.col("last_active_at").cast("timestamp")) - F.unix_timestamp(F.col("started_at").cast("timestamp")))
+    return own.agg(F.count("*").alias("sessions"), F.round(F.avg((F.col("parent_session_id") != "").cast("double")), 6).alias("subagent_share"), F.max(span).alias("longest_s"), F.count_if(span < 900).alias("under_15m"), F.count_if(span >= 10800).alias("from_180m"))
+
+
+def _device_share(s, d):
+    per = u.by(a.usage(s, d), "device_id").select("device_id", "total")
+    return per.agg(F.count("*").alias("devices"), F.max_by("device_id", F.struct("total", "device_id")).alias("leader"), F.round(F.max("total") / F.sum("total"), 6).alias("share"))
+
+
+def _tones(s, d):
+    return a.read(s, d, "events").select(expr.stop_tone(F.concat(F.col("event_type"), F.when(F.col("event_id") % 3 == 0, "_limit").otherwise(""))).alias("tone")).groupBy("tone").count().select("tone", F.col("count").alias("n"))
+
+
+def _keys(s, d):
+    raw = F.concat(F.lit("Vendor/"), F.col("p_brand"), F.lit("-"), F.col("p_size"), F.when(F.col("p_partkey") % 2 == 0, "-20240131").when(F.col("p_partkey") % 3 == 0, "-2024-01-31").otherwise(" [beta]"))
+    return a.read(s, d, "part").select("p_partkey", expr.model_key(raw).alias("model_key"))
+
+
+def _snippets(s, d):
+    return u.search_snippets(a.messages(s, d), "the")
+
+
+def _page(rows, order, size=50, start=20):
+    return rows.orderBy(*order).offset(start).limit(u.page_limit(size))
+
+
+def _listed(f):
+    return lambda s, d: u.session_list(_sessions(f)(s, d), a.usage(s, d))
+
+
+LISTED = f"""SELECT c.id, c.device_id, c.title, {PID} AS project, c.last_active_at, CAST(coalesce(g.requests, 0) AS BIGINT) AS requests,
+ CAST(coalesce(g.tokens, 0) AS BIGINT) AS tokens, round(CAST(coalesce(g.cost, 0) AS DOUBLE), 6) AS cost
+ FROM c LEFT JOIN (SELECT session_id, device_id, count(*) AS requests, sum({TOTAL}) AS tokens, sum(cost) AS cost FROM usage GROUP BY ALL) g
+ ON g.session_id = c.id AND g.device_id = c.device_id"""
+
+
+def _chosen(condition: str) -> str:
+    return f", c AS (SELECT * FROM sessions WHERE NOT excluded AND {condition})"
+
+
+def _sql(names: str, body: str, extra: str = "") -> str:
+    return "WITH " + ",\n".join(f"{n} AS ({a.SQL[n]})" for n in names.split()) + extra + "\n" + body
+
+
+HIT = f"(contains(lower(title), '{SEARCH}') OR contains(lower({PID}), '{SEARCH}') OR id IN (SELECT session_id FROM messages WHERE contains(lower(content), '{SEARCH}')))"
+SEMI = f"WHERE EXISTS (SELECT 1 FROM sessions s WHERE s.id = usage.session_id AND s.device_id = usage.device_id AND {PID} = '/work/alpha')"
+ANTI = "WHERE NOT EXISTS (SELECT 1 FROM sessions s WHERE s.id = usage.session_id AND s.device_id = usage.device_id)"
+
+#: Name: (query, SQL).
+CATALOG = {
+    "A1_stats": (lambda s, d: u.stats(PLAIN(s, d)), _sql("usage", f"SELECT {SUMS} FROM usage WHERE {IN_WINDOW}")),
+    "P2_project": (lambda s, d: u.stats(IN_ALPHA(s, d)), _sql("usage sessions", f"SELECT {SUMS} FROM usage {SEMI}")),
+    "J7_unknown_project": (lambda s, d: u.stats(LOOSE(s, d)), _sql("usage sessions", f"SELECT {SUMS} FROM usage {ANTI}")),
+    "A2_turns": (
+        lambda s, d: u.turn_stats(a.turns(s, d)),
+        _sql("turns", """SELECT count(*) AS turns, coalesce(round(avg(duration_ms), 6), 0.0) AS avg_ms, count(*) FILTER (duration_ms < 10000) AS under_10s,
+         count(*) FILTER (duration_ms >= 10000 AND duration_ms < 30000) AS under_30s, count(*) FILTER (duration_ms >= 30000 AND duration_ms < 60000) AS under_60s,
+         count(*) FILTER (duration_ms >= 60000) AS from_60s, CAST(quantile_disc(duration_ms, 0.95) AS BIGINT) AS p95_ms FROM turns"""),
+    ),
+    "A4_models": (lambda s, d: u.by(PLAIN(s, d), "model"), _sql("usage", f"SELECT model, {SUMS} FROM usage WHERE {IN_WINDOW} GROUP BY model")),
+    "A5_trend_day": (lambda s, d: u.by(a.usage(s, d), "day"), _sql("usage", f"SELECT day, {SUMS} FROM usage GROUP BY day")),
+    "A6_trend_hour": (
+        lambda s, d: u.by(a.usage(s, d), u.hour_of("Asia/Kolkata")),
+        _sql("usage", f"SELECT strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%dT%H') AS bucket, {SUMS} FROM usage GROUP BY 1"),
+    ),
+    "A7_project_usage": (
+        lambda s, d: u.project_usage(a.usage(s, d), a.sessions(s, d)),
+        _sql("usage sessions", f"""SELECT CASE WHEN coalesce(pid, '') = '' THEN '{UNKNOWN_PROJECT}' ELSE pid END AS project, {SUMS},
+         count(DISTINCT CASE WHEN sid IS NOT NULL THEN sid || '|' || dev END) AS sessions, max(ts) AS last_ts
+         FROM usage LEFT JOIN (SELECT id AS sid, device_id AS dev, {PID} AS pid FROM sessions) ON session_id = sid AND device_id = dev GROUP BY 1"""),
+    ),
+    "A8_session_usage": (
+        lambda s, d: u.session_usage(a.usage(s, d), a.sessions(s, d), a.turns(s, d)),
+        _sql("usage sessions turns", f"""SELECT g.*, coalesce(nullif(title, ''), g.session_id) AS title, CAST(coalesce(t.turns, 0) AS BIGINT) AS turns
+         FROM (SELECT session_id, device_id, {SUMS}, max(ts) AS last_ts FROM usage GROUP BY session_id, device_id) g
+         JOIN sessions s ON s.id = g.session_id AND s.device_id = g.device_id
+         LEFT JOIN (SELECT session_id, device_id, count(*) AS turns FROM turns GROUP BY ALL) t ON t.session_id = g.session_id AND t.device_id = g.device_id"""),
+    ),
+    "A9_devices": (lambda s, d: u.by(a.usage(s, d), "device_id"), _sql("usage", f"SELECT device_id, {SUMS} FROM usage GROUP BY device_id")),
+    "A10_count": (lambda s, d: PLAIN(s, d).agg(F.count("*").alias("n")), _sql("usage", f"SELECT count(*) AS n FROM usage WHERE {IN_WINDOW}")),
+    "A11_project_stats": (
+        lambda s, d: u.project_stats(_sessions(NO_FILTER)(s, d), a.usage(s, d)),
+        _sql("usage sessions", f"""SELECT project, count(*) AS sessions, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 6) AS cost
+         FROM ({LISTED}) GROUP BY project UNION ALL SELECT '{UNKNOWN_PROJECT}', 0, count(*), CAST(sum({TOTAL}) AS BIGINT), round(CAST(sum(cost) AS DOUBLE), 6)
+         FROM usage WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.id = usage.session_id AND c.device_id = usage.device_id) HAVING count(*) > 0""", _chosen("true")),
+    ),
+    "A12_session_models": (
+        lambda s, d: u.session_models(_sessions(NO_FILTER)(s, d), a.usage(s, d), a.messages(s, d)),
+        _sql("usage sessions messages", f"""SELECT c.id, c.device_id, coalesce(m.model, '') AS model, CAST(coalesce(m.tokens, 0) AS BIGINT) AS tokens, CAST(coalesce(n.messages, 0) AS BIGINT) AS messages
+         FROM c LEFT JOIN (SELECT session_id, device_id, model, sum({TOTAL}) AS tokens FROM usage GROUP BY ALL) m ON m.session_id = c.id AND m.device_id = c.device_id
+         LEFT JOIN (SELECT session_id, device_id, count(*) AS messages FROM messages GROUP BY ALL) n ON n.session_id = c.id AND n.device_id = c.device_id""", _chosen("true")),
+    ),
+    "A13_group_counts": (lambda s, d: _sessions(NO_FILTER)(s, d).groupBy("local_group").agg(F.count("*").alias("n")), _sql("sessions", "SELECT local_group, count(*) AS n FROM c GROUP BY 1", _chosen("true"))),
+    "A15_sources": (lambda s, d: u.facet(PLAIN(s, d), "source"), _sql("usage", f"SELECT DISTINCT source AS value FROM usage WHERE source <> '' AND {IN_WINDOW}")),
+    "A16_projects": (
+        lambda s, d: a.sessions(s, d).select(expr.project_identity("project_dir").alias("value")).filter("value <> ''").distinct(),
+        _sql("sessions", f"SELECT DISTINCT {PID} AS value FROM sessions WHERE {PID} <> ''"),
+    ),
+    "A17_first_seen": (lambda s, d: a.usage(s, d).filter("device_id <> 'd0'").groupBy("device_id").agg(F.min("ts").alias("first_ts")), _sql("usage", "SELECT device_id, min(ts) AS first_ts FROM usage WHERE device_id <> 'd0' GROUP BY 1")),
+    "A19_changes": (lambda s, d: a.usage(s, d).groupBy("day", "device_id").agg(F.count("*").alias("n")), _sql("usage", "SELECT day, device_id, count(*) AS n FROM usage GROUP BY ALL")),
+    "W2_log_page": (lambda s, d: _page(PLAIN(s, d).select("uuid", "device_id", "ts", "model"), [F.desc("ts"), "uuid", "device_id"]), _sql("usage", f"SELECT uuid, device_id, ts, model FROM usage WHERE {IN_WINDOW} ORDER BY ts DESC, uuid, device_id LIMIT 50 OFFSET 20")),
+    "W3_session_page": (lambda s, d: _page(_listed(NO_FILTER)(s, d), [F.desc("last_active_at"), "id", "device_id"], 30, 10), _sql("usage sessions", LISTED + " ORDER BY last_active_at DESC, id, device_id LIMIT 30 OFFSET 10", _chosen("true"))),
+    "W4_session": (lambda s, d: _listed(NO_FILTER)(s, d).filter("id = 's5' AND device_id = 'd2'"), _sql("usage sessions", f"SELECT * FROM ({LISTED}) WHERE id = 's5' AND device_id = 'd2'", _chosen("true"))),
+    "P3_favorited": (lambda s, d: _listed(SessionFilter(favorited=True, group=""))(s, d), _sql("usage sessions", LISTED, _chosen("favorited AND local_group = ''"))),
+    "P4_model_used": (lambda s, d: _listed(SessionFilter(model="click"))(s, d), _sql("usage sessions", LISTED, _chosen("EXISTS (SELECT 1 FROM usage x WHERE x.model = 'click' AND x.session_id = sessions.id AND x.device_id = sessions.device_id)"))),
+    "P5_search": (lambda s, d: _listed(SessionFilter(search=SEARCH))(s, d), _sql("usage sessions messages", LISTED, _chosen(HIT))),
+    "C1_filled_hours": (
+        lambda s, d: u.filled_hours(u.by(PLAIN(s, d), u.hour_of("UTC")).select("bucket", "requests", "total"), "2024-01-20"),
+        _sql("usage", f"""SELECT '2024-01-20T' || lpad(CAST(h AS VARCHAR), 2, '0') AS bucket, CAST(coalesce(requests, 0) AS BIGINT) AS requests, CAST(coalesce(total, 0) AS BIGINT) AS total
+         FROM range(24) r(h) LEFT JOIN (SELECT hour(ts) AS k, count(*) AS requests, sum({TOTAL}) AS total FROM usage WHERE {IN_WINDOW} AND day = '2024-01-20' GROUP BY 1) ON k = h"""),
+    ),
+    "C5_top_models": (
+        lambda s, d: u.top_models(u.by(a.usage(s, d), "model"), 3),
+        _sql("usage", f"""SELECT CASE WHEN rank <= 3 THEN model ELSE '(rest)' END AS model, count(*) AS models, CAST(sum(total) AS BIGINT) AS total, round(sum(cost), 6) AS cost
+         FROM (SELECT *, row_number() OVER (ORDER BY total DESC, model) AS rank FROM (SELECT model, {SUMS} FROM usage GROUP BY model)) GROUP BY 1"""),
+    ),
+    "C7_sections": (
+        _section,
+        _sql("sessions", """SELECT count(*) AS sessions, round(avg(CASE WHEN parent_session_id <> '' THEN 1.0 ELSE 0.0 END), 6) AS subagent_share, max(span) AS longest_s,
+         count(*) FILTER (span < 900) AS under_15m, count(*) FILTER (span >= 10800) AS from_180m
+         FROM (SELECT *, CAST(floor(epoch(last_active_at)) - floor(epoch(started_at)) AS BIGINT) AS span FROM sessions WHERE NOT excluded)"""),
+    ),
+    "C8_device_share": (_device_share, _sql("usage", f"SELECT count(*) AS devices, arg_max(device_id, total) AS leader, round(max(total) / sum(total), 6) AS share FROM (SELECT device_id, CAST(sum({TOTAL}) AS DOUBLE) AS total FROM usage GROUP BY 1)")),
+    "C9_headline": (
+        _headline,
+        _sql("usage", f"""SELECT CAST(sum(n) AS BIGINT) AS requests, round(sum(n) / 16.0, 6) AS per_day, (SELECT day FROM (SELECT day, count(*) AS n FROM usage WHERE {IN_WINDOW} GROUP BY 1) ORDER BY n DESC, day LIMIT 1) AS peak
+         FROM (SELECT day, count(*) AS n FROM usage WHERE {IN_WINDOW} GROUP BY 1)"""),
+    ),
+    "C11_day_groups": (
+        lambda s, d: u.day_groups(a.usage(s, d)).select("device_id", "run", "day", "requests"),
+        _sql("usage", "SELECT device_id, dense_rank() OVER (PARTITION BY device_id ORDER BY day DESC) AS run, day, count(*) AS requests FROM usage GROUP BY device_id, day"),
+    ),
+    "C12_tones": (
+        _tones,
+        """SELECT CASE WHEN r LIKE '%limit%' THEN 'limit' ELSE 'other' END AS tone, count(*) AS n
+         FROM (SELECT event_type || CASE WHEN event_id % 3 = 0 THEN '_limit' ELSE '' END AS r FROM events) GROUP BY 1""",
+    ),
+    "C21_conversation": (
+        _conversation,
+        _sql("messages", """SELECT session_id, uuid, turn, CASE WHEN role = 'tool' THEN coalesce(
+           last_value(CASE WHEN role = 'assistant' THEN uuid END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           first_value(CASE WHEN role = 'assistant' THEN uuid END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), '') ELSE '' END AS belongs_to
+         FROM (SELECT *, CAST(coalesce(sum(CASE WHEN role = 'user' THEN 1 END) OVER (PARTITION BY session_id, device_id ORDER BY ts, uuid), 0) AS BIGINT) AS turn FROM messages)
+         WINDOW w AS (PARTITION BY session_id, device_id, turn ORDER BY ts, uuid)"""),
+    ),
+    "C23_snippets": (
+        _snippets,
+        _sql("messages", """SELECT session_id, uuid, CAST(at AS INTEGER) AS at, CASE WHEN greatest(at - 28, 1) > 1 THEN '…' ELSE '' END
+         || substring(content, greatest(at - 28, 1), least(at + 30, length(content)) - greatest(at - 28, 1) + 1) || CASE WHEN least(at + 30, length(content)) < length(content) THEN '…' ELSE '' END AS snippet
+         FROM (SELECT *, strpos(lower(content), 'the') AS at FROM messages) WHERE at > 0"""),
+    ),
+    "J13_transcript": (lambda s, d: u.transcript(a.messages(s, d), "d1").select("session_id", "uuid", "device_id"), _sql("messages", "SELECT session_id, uuid, device_id FROM messages QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY device_id <> 'd1', device_id) = 1")),
+    "J16_nested": (
+        lambda s, d: u.nested(_sessions(NO_FILTER)(s, d)),
+        _sql("sessions", "SELECT c.id, c.device_id, coalesce(p.id, '') AS parent FROM c LEFT JOIN c p ON p.id = c.parent_session_id AND p.device_id = c.device_id", _chosen("true")),
+    ),
+    "E3_model_keys": (
+        _keys,
+        """SELECT p_partkey, lower(p_brand) || '-' || p_size AS model_key FROM part""",
+    ),
+    "E4_priced": (
+        lambda s, d: pricing.priced(a.usage(s, d).withColumn("model", F.concat("model", F.lit("-pro-20240101"))), pricing.seed(s)).groupBy("model_key").agg(F.count("*").alias("n"), F.round(F.sum("cost").cast("double"), 6).alias("cost")),
+        _sql("usage", """SELECT model || '-pro' AS model_key, count(*) AS n, round(CAST(coalesce(sum(CASE model WHEN 'click' THEN input * 3.0 + output * 15.0 + cache_creation * 3.75 + cache_read * 0.3
+          WHEN 'view' THEN input * 1.0 + output * 4.0 + cache_creation * 1.25 + cache_read * 0.1 ELSE 0.0 END), 0) AS DOUBLE) / 1000000, 6) AS cost FROM usage GROUP BY 1"""),
+    ),
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for name, (q, _) in CATALOG.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in CATALOG.items()}
