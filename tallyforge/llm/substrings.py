@@ -86,14 +86,39 @@ def _anchor_rows(keys: list[int], hashes: list[np.ndarray], aligned: list[np.nda
             ), None
 
 
-def _by_key(keys: np.ndarray, values: np.ndarray, kind: str, name: str):
-    """A batch of one row for each key, with its values packed."""
+def _to_buckets(keys: list[np.ndarray], values: list[np.ndarray], kind: str, classes: int):
+    """A batch of one row for each bucket of keys, with keys and values packed."""
     import pyarrow as pa
 
-    order, new = _first_of_each(keys)
-    keys, start = keys[order], np.flatnonzero(new)
-    packed = [x.tobytes() for x in np.split(values[order].astype(kind), start[1:])] if len(keys) else []
-    yield pa.RecordBatch.from_arrays([pa.array(keys[start], pa.int64()), pa.array(packed, pa.binary())], ["sub_key", name])
+    if keys:
+        key, value = np.concatenate(keys).astype("<i8"), np.concatenate(values).astype(kind)
+        bucket = key % classes
+        order, new = _first_of_each(bucket)
+        parts = np.split(order, np.flatnonzero(new)[1:]) if len(order) else []
+        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[x[0]]) for x in parts], pa.int32()), *(pa.array([v[x].tobytes() for x in parts], pa.binary()) for v in (key, value))], ["bucket", "keys", "found"])
+
+
+def _gathered(found: DataFrame, kind: str, name: str, classes: int) -> DataFrame:
+    """(sub_key, name): all values of each key as one packed array."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        keys, values = [], []
+        for batch in batches:
+            keys += [np.frombuffer(k, "<i8") for k in batch.column("keys").to_pylist()]
+            values += [np.frombuffer(v, kind) for v in batch.column("found").to_pylist()]
+        if keys:
+            key, value = np.concatenate(keys), np.concatenate(values)
+            order, new = _first_of_each(key)
+            start = np.flatnonzero(new)
+            for k in range(0, len(start), 4096):
+                own = start[k : k + 4096]
+                end = start[k + 4096] if k + 4096 < len(start) else len(order)
+                parts = np.split(value[order[own[0] : end]], own[1:] - own[0])
+                yield pa.RecordBatch.from_arrays([pa.array(key[order[own]], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["sub_key", name])
+
+    return found.repartitionById(classes, F.col("bucket")).mapInArrow(run, f"sub_key bigint, {name} binary")
 
 
 def anchors(docs: DataFrame, size: int) -> DataFrame:
@@ -133,10 +158,12 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
         import pyarrow as pa
 
         by_class: dict[int, list[tuple]] = {}
+        keys, values = [], []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["blocks"] < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["keys"], "<i8")), pa.array([row["hashes"]], pa.binary())], ["sub_key", "anchors"])
+                    values.append(np.frombuffer(row["hashes"], "<i8"))
+                    keys.append(np.repeat(np.frombuffer(row["keys"], "<i8"), len(values[-1])))
                     continue
                 by_class.setdefault(row["own"], []).append((row["blocks"], np.frombuffer(row["hashes"], "<u4"), np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["counts"], "<u4")))
         for own in list(by_class):
@@ -151,11 +178,13 @@ def anchors(docs: DataFrame, size: int) -> DataFrame:
             times = np.bincount(at[hit], minlength=len(index))
             hit[hit] = times[at[hit]] > 1
             key = np.repeat(np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows]))
-            yield from _by_key(key[hit], (np.int64(own) << 32) | h[hit].astype(np.int64), "<i8", "anchors")
+            keys.append(key[hit])
+            values.append((np.int64(own) << 32) | h[hit].astype(np.int64))
+        yield from _to_buckets(keys, values, "<i8", classes)
 
     sent = docs.select("sub_key", "text").mapInArrow(send, "own int, blocks int, hashes binary, keys binary, counts binary")
-    found = sent.repartitionById(classes, F.col("own")).mapInArrow(meet, "sub_key bigint, anchors binary")
-    return found.groupBy("sub_key").agg(F.collect_list("anchors").alias("anchors"))
+    found = sent.repartitionById(classes, F.col("own")).mapInArrow(meet, "bucket int, keys binary, found binary")
+    return _gathered(found, "<i8", "anchors", classes)
 
 
 def runs_around(hashes: np.ndarray, found: np.ndarray, size: int, classes: int, n_words: int) -> np.ndarray:
@@ -225,7 +254,7 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
             for part in pieces(batch):
                 for row in part.to_pylist():
                     words = words_of(row["text"])[0]
-                    known = np.concatenate([np.frombuffer(k, "<i8") for k in row["anchors"]])
+                    known = np.frombuffer(row["anchors"], "<i8")
                     at = runs_around(window_hashes(words, block), np.unique(known), size, classes, len(words))
                     if len(at):
                         members.append((row["sub_key"], row["sub_id"], at, window_hashes(words, size)[at], window_hashes(words, size, True)[at] & _U(0xFFFFFFFF)))
@@ -240,10 +269,12 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
         import pyarrow as pa
 
         by_class: dict[int, list[tuple]] = {}
+        found_keys, found_at = [], []
         for batch in batches:
             for r in batch.to_pylist():
                 if r["h"] is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["keys"], "<i8")), pa.array([r["at"]], pa.binary())], ["sub_key", "starts"])
+                    found_at.append(np.frombuffer(r["at"], "<u4"))
+                    found_keys.append(np.repeat(np.frombuffer(r["keys"], "<i8"), len(found_at[-1])))
                     continue
                 by_class.setdefault(r["own"], []).append(tuple(np.frombuffer(r[n], k) for n, k in (("h", "<u8"), ("g", "<u4"), ("at", "<u4"), ("keys", "<i8"), ("ids", "<i8"), ("counts", "<u4"))))
         for own in list(by_class):
@@ -253,20 +284,21 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
             h, g, at, keys, ids = h[order], g[order], at[order], keys[order], ids[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
             later = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-            yield from _by_key(keys[later], at[later], "<u4", "starts")
+            found_keys.append(keys[later])
+            found_at.append(at[later])
+        yield from _to_buckets(found_keys, found_at, "<u4", classes)
 
     sent = found.mapInArrow(send, "own int, h binary, g binary, at binary, keys binary, ids binary, counts binary")
-    starts = sent.repartitionById(classes, F.col("own")).mapInArrow(meet, "sub_key bigint, starts binary")
-    return starts.groupBy("sub_key").agg(F.collect_list("starts").alias("starts"))
+    starts = sent.repartitionById(classes, F.col("own")).mapInArrow(meet, "bucket int, keys binary, found binary")
+    return _gathered(starts, "<u4", "starts", classes)
 
 
-def _covered(starts: list[bytes] | None, n_words: int, size: int) -> np.ndarray:
+def _covered(starts: bytes, n_words: int, size: int) -> np.ndarray:
     """Whether each word lies in a run that starts at one of the given places."""
     marks = np.zeros(n_words + 1, np.int64)
-    for raw in starts or ():
-        at = np.frombuffer(raw, "<u4").astype(np.int64)
-        np.add.at(marks, at, 1)
-        np.add.at(marks, at + size, -1)
+    at = np.frombuffer(starts, "<u4").astype(np.int64)
+    np.add.at(marks, at, 1)
+    np.add.at(marks, at + size, -1)
     return np.cumsum(marks)[:-1] > 0
 
 
