@@ -215,7 +215,7 @@ def search_snippets(messages: DataFrame, needle: str, around: int = 28) -> DataF
     last = F.least(F.col("at") + len(needle) - 1 + around, F.char_length("content"))
     middle = F.substring("content", first, last - first + 1)
     snippet = F.concat(F.when(first > 1, "…").otherwise(""), middle, F.when(last < F.char_length("content"), "…").otherwise(""))
-    return found.select("session_id", "uuid", "at", snippet.alias("snippet"))
+    return found.select("session_id", "uuid", F.col("at").alias("place"), snippet.alias("snippet"))
 
 
 def nested(sessions: DataFrame) -> DataFrame:

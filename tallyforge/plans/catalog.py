@@ -184,7 +184,7 @@ CATALOG = {
     ),
     "C12_tones": (
         _tones,
-        """SELECT CASE WHEN r LIKE '%limit%' THEN 'limit' ELSE 'other' END AS tone, count(*) AS n
+        """SELECT CASE WHEN r LIKE '%error%' OR r LIKE '%fail%' THEN 'error' WHEN r LIKE '%limit%' OR r LIKE '%max%' OR r LIKE '%length%' THEN 'limit' ELSE 'other' END AS tone, count(*) AS n
          FROM (SELECT event_type || CASE WHEN event_id % 3 = 0 THEN '_limit' ELSE '' END AS r FROM events) GROUP BY 1""",
     ),
     "C21_conversation": (
@@ -197,9 +197,9 @@ CATALOG = {
     ),
     "C23_snippets": (
         _snippets,
-        _sql("messages", """SELECT session_id, uuid, CAST(at AS INTEGER) AS at, CASE WHEN greatest(at - 28, 1) > 1 THEN '…' ELSE '' END
-         || substring(content, greatest(at - 28, 1), least(at + 30, length(content)) - greatest(at - 28, 1) + 1) || CASE WHEN least(at + 30, length(content)) < length(content) THEN '…' ELSE '' END AS snippet
-         FROM (SELECT *, strpos(lower(content), 'the') AS at FROM messages) WHERE at > 0"""),
+        _sql("messages", """SELECT session_id, uuid, CAST(place AS INTEGER) AS place, CASE WHEN greatest(place - 28, 1) > 1 THEN '…' ELSE '' END
+         || substring(content, greatest(place - 28, 1), least(place + 30, length(content)) - greatest(place - 28, 1) + 1) || CASE WHEN least(place + 30, length(content)) < length(content) THEN '…' ELSE '' END AS snippet
+         FROM (SELECT *, strpos(lower(content), 'the') AS place FROM messages) WHERE place > 0"""),
     ),
     "J13_transcript": (lambda s, d: u.transcript(a.messages(s, d), "d1").select("session_id", "uuid", "device_id"), _sql("messages", "SELECT session_id, uuid, device_id FROM messages QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY device_id <> 'd1', device_id) = 1")),
     "J16_nested": (

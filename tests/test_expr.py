@@ -1,5 +1,7 @@
 """Expressions of the usage model."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from tallyforge.functions import expr
@@ -42,4 +44,4 @@ def test_day_of_unreadable_text(spark):
 
 
 def test_cost_is_exact(spark):
-    assert str(one(spark, expr.cost(F.col("r").cast("decimal(16,10)"), F.col("n")), r="0.1", n=3)).rstrip("0") == "0.0000003"
+    assert one(spark, expr.cost(F.col("r").cast("decimal(16,10)"), F.col("n")), r="0.1", n=3) == Decimal("0.0000003")
