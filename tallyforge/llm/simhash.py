@@ -48,7 +48,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of each document."""
+    """doc_id, fingerprint (as a signed long) and a row key of each document; equal doc_id and text have equal keys."""
 
     def run(batches):
         import pyarrow as pa
@@ -56,9 +56,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         for batch in batches:
             for part in pieces(batch):
                 prints = np.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], _U).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints), part.column("row_key")], ["doc_id", "fp", "row_key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    return keyed.mapInArrow(run, "doc_id bigint, fp bigint, row_key bigint")
 
 
 class Ball:
@@ -144,12 +145,7 @@ def links(prints: DataFrame) -> DataFrame:
     return prints.mapInArrow(deal, "own int, prints binary").groupBy("own").applyInArrow(meet, "a bigint, b bigint")
 
 
-def linked(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of each document.
-
-    Null and empty texts have fingerprint zero and link like any other. A null doc_id counts as largest: it
-    names a component only if all its members have none. Repeated rows give repeated rows.
-    """
+def _keyed_links(docs: DataFrame, shingle: int) -> DataFrame:
     prints = written(fingerprints(docs, shingle))
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(links(distinct.select("fp")))
@@ -157,4 +153,24 @@ def linked(docs: DataFrame, shingle: int = 3) -> DataFrame:
     named = written(named)
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = named.join(least, "root").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row_key")
+
+
+def linked(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of each document.
+
+    Null and empty texts have fingerprint zero and link like any other. A null doc_id counts as largest: it
+    names a component only if all its members have none. Repeated rows give repeated rows.
+    """
+    return _keyed_links(docs, shingle).drop("row_key")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """Of each group of linked documents those with the smallest doc_id, with all their columns.
+
+    Rows are judged one by one: of two texts under one doc_id, one may go and the other stay. A null doc_id
+    counts as largest; in a group where all are null, all rows stay, as do repeated rows of the smallest doc_id.
+    """
+    larger = F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("component_id")))
+    gone = _keyed_links(docs, shingle).filter(larger).select(F.col("row_key").alias("_gone")).distinct()
+    return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["_gone"], "left_anti")
