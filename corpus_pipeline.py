@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import language, lines, packing, simhash, substrings
+from tallyforge.llm import language, lines, packing, simhash_sets, substrings
 from tallyforge.llm.catalog import BYTE_VOCABULARY
 from tallyforge.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Words of a shingle in the near-duplicate stage.
-SHINGLE = 5
+#: Words of a shingle and Jaccard similarity of the near-duplicate stage.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -36,8 +36,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
-    return simhash.deduplicated(docs.select(*COLUMNS), SHINGLE)
+    """Of each group of linked near copies the document with the smallest id stays."""
+    return simhash_sets.deduplicated(docs.select(*COLUMNS), SHINGLE, SIMILARITY)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from tallyforge.llm.graph import components
 RADIUS = 3
 #: Fewest classes of values, and fingerprints for each class before there are more.
 CLASSES, PER_CLASS = 64, 1 << 15
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
 
 
@@ -31,7 +31,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The 64-bit SimHash of a text's word shingles; 0 if it has no words."""
     import xxhash
 
-    words = (text or "").encode().translate(_LOWER).split()
+    words = (text or "").encode().translate(LOWER).split()
     if not words:
         return 0
     joined = b" ".join(words)
@@ -165,12 +165,17 @@ def linked(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return _keyed_links(docs, shingle).drop("row_key")
 
 
+def survivors(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Documents but those whose component (of doc_id, component_id, row_key) has a smaller doc_id."""
+    larger = F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("component_id")))
+    gone = keyed.filter(larger).select(F.col("row_key").alias("_gone")).distinct()
+    return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["_gone"], "left_anti")
+
+
 def deduplicated(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """Of each group of linked documents those with the smallest doc_id, with all their columns.
 
     Rows are judged one by one: of two texts under one doc_id, one may go and the other stay. A null doc_id
     counts as largest; in a group where all are null, all rows stay, as do repeated rows of the smallest doc_id.
     """
-    larger = F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("component_id")))
-    gone = _keyed_links(docs, shingle).filter(larger).select(F.col("row_key").alias("_gone")).distinct()
-    return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["_gone"], "left_anti")
+    return survivors(docs, _keyed_links(docs, shingle))

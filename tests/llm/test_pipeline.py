@@ -9,7 +9,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-import xxhash
 
 import corpus_pipeline
 from tallyforge.llm import catalog
@@ -52,19 +51,17 @@ def lines_kept(rows):
     return [(d, "\n".join(x for x in t.split("\n") if len(key(x)) < 10 or first[key(x)] == order(d))) for d, t in rows]
 
 
-def print_of(text, shingle=5):
+def shingles_of(text, shingle=5):
     words = WORD.findall(text.translate({c: c + 32 for c in range(65, 91)}))
-    grams = [" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
-    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
 
 
 def one_of_each(rows):
-    prints = [print_of(t) for _, t in rows]
+    sets = [shingles_of(t) for _, t in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if group[i] != group[j] and bin(prints[i] ^ prints[j]).count("1") <= 3:
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
     least = {g: min(order(rows[i][0]) for i in range(len(rows)) if group[i] == g) for g in set(group)}
