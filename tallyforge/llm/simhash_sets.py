@@ -10,6 +10,10 @@ decided by their shingle sets.
 A value belongs to the class of its lowest bits, so a fingerprint reaches only its own class and those one of
 these bits away. Copies cost nothing (sketches are distinct), and within a batch one fingerprint of each value
 is dealt for all that are near it: a value that a third of all rows share is a few rows in its class.
+
+These stars alone would miss pairs whose ends both meet an unlike third text. So when they are linked, all
+fingerprints meet once more, and each pair that collides, passes the screen and isn't linked yet is compared.
+Only pairs that are linked already are left out, so a group of near copies doesn't grow with its square.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ TABLES = 20
 BITS, SCREEN = TABLES * 32 + 64, 24
 #: Fewest bits that name a class of a table, and fingerprints for each class before there are more.
 CLASS_BITS, PER_CLASS = 6, 1 << 15
+#: Rows of a class beyond which it is split in blocks that meet in pairs, and pairs compared at once.
+CLASS_ROWS, AT_ONCE = 1 << 20, 1 << 20
 #: Standard deviations between the expected distance and the distances that are taken as certain.
 SIGMAS = 4
 WORDS = [f"s{k}" for k in range(BITS // 64)]
@@ -82,6 +88,31 @@ def stars(value: np.ndarray, node: np.ndarray, screen: np.ndarray) -> tuple[np.n
     return join(a, np.int64), join(b, np.int64), join(heads, np.int64)
 
 
+def apart(value: np.ndarray, node: np.ndarray, root: np.ndarray, screen: np.ndarray) -> np.ndarray:
+    """All pairs (a, b) of nodes, a below b, under equal values that have different roots and pass the screen."""
+    at = np.lexsort((root, value))
+    value, node, root, screen = value[at], node[at], root[at], screen[at]
+    place = np.arange(len(at))
+    new = np.concatenate([np.ones(1, bool), value[1:] != value[:-1]])[: len(at)]
+    fresh = new | np.concatenate([np.ones(1, bool), root[1:] != root[:-1]])[: len(at)]
+    ends = lambda starts: np.append(np.flatnonzero(starts)[1:], len(at))[np.cumsum(starts) - 1]
+    first, last = ends(fresh), ends(new)
+    open_ = np.flatnonzero(last > first)
+    place, first, partners = place[open_], first[open_], (last - first)[open_]
+    before = np.cumsum(partners) - partners
+    out = [np.zeros((0, 2), np.int64)]
+    start = 0
+    while start < len(place):
+        stop = max(start + 1, int(np.searchsorted(before, before[start] + AT_ONCE)))
+        n = partners[start:stop]
+        a = np.repeat(place[start:stop], n)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[start:stop], n)
+        near = np.bitwise_count(screen[a] ^ screen[b]) <= SCREEN
+        out.append(np.unique(np.sort(np.column_stack([node[a[near]], node[b[near]]]), axis=1), axis=0))
+        start = stop
+    return np.unique(np.concatenate(out), axis=0)
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, row_key and the words of the sketch of each document."""
 
@@ -98,11 +129,29 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id bigint, row_key bigint, " + ", ".join(f"{w} bigint" for w in WORDS))
 
 
-def colliding(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that meet under a value of a table and pass the screen; each value pairs by stars."""
-    bits, number = CLASS_BITS, nodes.count()
+def class_bits(number: int) -> int:
+    bits = CLASS_BITS
     while number > PER_CLASS << bits:
         bits += 1
+    return bits
+
+
+def classes_of(v: np.ndarray, bits: int) -> np.ndarray:
+    """The classes that values are sent to, one row for the own class and each class one bit away."""
+    return np.stack([v & np.uint32((1 << bits) - 1) ^ np.uint32(m) for m in [0] + [1 << i for i in range(bits)]]).astype(np.int64)
+
+
+def ball(rows: np.ndarray, own: int, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The values that a class's rows meet under, and the rows under them."""
+    mask = np.uint32((1 << bits) - 1)
+    home, guest = rows[rows["v"] & mask == own], rows[rows["v"] & mask != own]
+    values = [home["v"]] + [home["v"] ^ np.uint32(1 << i) for i in range(bits, 32)] + [guest["v"] & ~mask | np.uint32(own)]
+    return np.concatenate(values), [home] * (33 - bits) + [guest]
+
+
+def colliding(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that meet under a value of a table and pass the screen; each value pairs by stars."""
+    bits = class_bits(nodes.count())
     row = np.dtype([("v", "<u4"), ("node", "<i8"), ("screen", "<u8")])
 
     def deal(batches):
@@ -116,7 +165,7 @@ def colliding(nodes: DataFrame) -> DataFrame:
                 a, b, heads = stars(v, node, words[:, -1])
                 rows = np.empty(len(heads), row)
                 rows["v"], rows["node"], rows["screen"] = v[heads], node[heads], words[heads, -1]
-                own = np.concatenate([rows["v"] & np.uint32((1 << bits) - 1) ^ np.uint32(m) for m in [0] + [1 << i for i in range(bits)]]).astype(np.int64)
+                own = classes_of(rows["v"], bits).ravel()
                 order = np.argsort(own, kind="stable")
                 rows, own = np.tile(rows, bits + 1)[order], own[order]
                 found, first = np.unique(own, return_index=True)
@@ -130,15 +179,11 @@ def colliding(nodes: DataFrame) -> DataFrame:
     def meet(table):
         import pyarrow as pa
 
-        own = np.uint32(table.column("own")[0].as_py() & (1 << bits) - 1)
         rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), row)
         pairs = np.frombuffer(b"".join(table.column("pairs").to_pylist()), np.int64).reshape(-1, 2)
-        mask = np.uint32((1 << bits) - 1)
-        home = rows[rows["v"] & mask == own]
-        guest = rows[rows["v"] & mask != own]
-        balls = [home["v"]] + [home["v"] ^ np.uint32(1 << i) for i in range(bits, 32)] + [guest["v"] & ~mask | own]
-        nodes, screens = ([home[c]] * (33 - bits) + [guest[c]] for c in ("node", "screen"))
-        a, b, _ = stars(np.concatenate(balls), np.concatenate(nodes), np.concatenate(screens))
+        values, under = ball(rows, table.column("own")[0].as_py() & (1 << bits) - 1, bits)
+        nodes, screens = (np.concatenate([r[c] for r in under]) for c in ("node", "screen"))
+        a, b, _ = stars(values, nodes, screens)
         pairs = np.concatenate([pairs, np.column_stack([a, b])])
         pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
         return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
@@ -146,6 +191,62 @@ def colliding(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", *WORDS).mapInArrow(deal, "own bigint, rows binary, pairs binary").groupBy("own").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
+def unlinked(nodes: DataFrame) -> DataFrame:
+    """All pairs (a, b) of nodes that meet under a value of a table, pass the screen and have different roots."""
+    bits = class_bits(nodes.count())
+    row = np.dtype([("v", "<u4"), ("node", "<i8"), ("root", "<i8"), ("screen", "<u8")])
+
+    def values_of(batch):
+        for t in range(TABLES):
+            word = batch.column(WORDS[t // 2]).to_numpy(zero_copy_only=False).view(_U)
+            yield t, (word >> _U(32 * (t % 2))).astype(np.uint32)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        total = np.zeros(TABLES << bits, np.int64)
+        for batch in batches:
+            for t, v in values_of(batch):
+                total[t << bits : (t + 1) << bits] += np.bincount(classes_of(v, bits).ravel(), minlength=1 << bits)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["own", "n"])
+
+    split = nodes.select(*WORDS).mapInArrow(sizes, "own bigint, n bigint").groupBy("own").agg(F.sum("n").alias("n")).filter(F.col("n") > CLASS_ROWS)
+    blocks = {r["own"]: -(-r["n"] // CLASS_ROWS) for r in split.collect()}
+
+    def deal(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            node, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root"))
+            screen = batch.column(WORDS[-1]).to_numpy(zero_copy_only=False).view(_U)
+            for t, v in values_of(batch):
+                rows = np.empty(len(node), row)
+                rows["v"], rows["node"], rows["root"], rows["screen"] = v, node, root, screen
+                own = classes_of(v, bits).ravel()
+                order = np.argsort(own, kind="stable")
+                found, first = np.unique(own[order], return_index=True)
+                out = []
+                for c, part in zip((found + (t << bits)).tolist(), np.split(np.tile(rows, bits + 1)[order], first[1:]), strict=False):
+                    n = blocks.get(c, 1)
+                    sub = (mix(part["node"].view(_U) if n > 1 else np.zeros(len(part), _U)) % _U(n)).astype(int)
+                    out += [(c, min(i, j), max(i, j), part[sub == i].tobytes()) for i in range(n) for j in range(n)]
+                columns = list(zip(*[o for o in out if o[3]], strict=True)) or [()] * 4
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["own", "i", "j", "rows"])
+
+    def meet(table):
+        import pyarrow as pa
+
+        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), row)
+        values, under = ball(rows, table.column("own")[0].as_py() & (1 << bits) - 1, bits)
+        pairs = apart(values, *(np.concatenate([r[c] for r in under]) for c in ("node", "root", "screen")))
+        return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
+
+    dealt = nodes.select("node", "root", *WORDS).mapInArrow(deal, "own bigint, i int, j int, rows binary")
+    return dealt.groupBy("own", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
+
+
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     """node and shingle hashes of documents that have a node."""
 
@@ -160,30 +261,45 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node bigint, hashes array<bigint>")
 
 
+def _near(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b, ra, rb) whose shingle sets are similar enough, exactly."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row_key"), "node")
+    texts = docs.select("text", F.xxhash64("doc_id", "text").alias("row_key")).join(asked, "row_key").dropDuplicates(["node"])
+    sets = written(_sets(texts, shingle))
+    both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+    common = F.size(F.array_intersect("ha", "hb"))
+    return both.filter(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b", "ra", "rb")
+
+
+def _between(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs (a, b, …) whose ends aren't linked already, with their roots ra and rb."""
+    ra, rb = (named.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
+    return pairs.join(ra, "a").join(rb, "b").filter("ra <> rb")
+
+
+def _renamed(named: DataFrame, links: DataFrame) -> DataFrame:
+    """named (node, low, root) with the roots joined that links (ra, rb) connect."""
+    further = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).toDF("root", "next")
+    return written(named.join(further, "root", "left").select("node", "low", F.coalesce("next", "root").alias("root")))
+
+
 def _keyed_links(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     sure, most = limits(similarity)
     sketched = written(sketches(docs, shingle).withColumn("node", F.xxhash64(*WORDS)))
     nodes = written(sketched.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row_key").alias("row_key"), *[F.min(w).alias(w) for w in WORDS]))
     ends = nodes.select("node", F.array(*WORDS).alias("s"))
     distance = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(len(WORDS))), F.lit(0))
-    pairs = colliding(nodes).join(ends.toDF("a", "sa"), "a").join(ends.toDF("b", "sb"), "b")
-    pairs = written(pairs.select("a", "b", distance.alias("distance")).filter(F.col("distance") <= most))
-    roots = components(pairs.filter(F.col("distance") <= sure).select("a", "b"))
-    named = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = written(named)
-    # Pairs that the sketch can't decide and whose ends aren't linked already.
-    ra, rb = (named.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
-    unsure = written(pairs.filter(F.col("distance") > sure).join(ra, "a").join(rb, "b").filter("ra <> rb").select("a", "b", "ra", "rb"))
-    if not unsure.isEmpty():
-        asked = unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row_key"), "node")
-        texts = docs.select("text", F.xxhash64("doc_id", "text").alias("row_key")).join(asked, "row_key").dropDuplicates(["node"])
-        sets = written(_sets(texts, shingle))
-        both = unsure.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
-        common = F.size(F.array_intersect("ha", "hb"))
-        near = both.filter(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common))
-        further = components(near.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        further = further.toDF("root", "next")
-        named = written(named.join(further, "root", "left").select("node", "low", F.coalesce("next", "root").alias("root")))
+    named = nodes.select("node", "low", F.col("node").alias("root"))
+    # Stars link large groups first; what they leave apart meets in all pairs.
+    for meeting in (colliding, unlinked):
+        met = meeting(named.join(nodes.drop("low"), "node"))
+        pairs = met.join(ends.toDF("a", "sa"), "a").join(ends.toDF("b", "sb"), "b")
+        pairs = written(_between(pairs.select("a", "b", distance.alias("distance")).filter(F.col("distance") <= most), named))
+        named = _renamed(named, pairs.filter(F.col("distance") <= sure))
+        # Pairs that the sketch can't decide and whose ends aren't linked already.
+        unsure = written(_between(pairs.filter(F.col("distance") > sure).select("a", "b"), named))
+        if not unsure.isEmpty():
+            named = _renamed(named, _near(unsure, nodes, docs, shingle, similarity))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = named.join(least, "root").select("node", "component_id")
     return sketched.select("doc_id", "row_key", "node").join(ids, "node").select("doc_id", "component_id", "row_key")

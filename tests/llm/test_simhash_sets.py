@@ -55,5 +55,49 @@ def test_large_group_of_near_copies_keeps_one(spark):
     assert [r.doc_id for r in kept.collect()] == [0]
 
 
+def family(rng, members, twins, size=900):
+    """Texts of a template, alike at 0.74 to 0.8, and for the first of them copies alike at 0.85."""
+    places, chosen, texts = range(10, size - 10, 10), [], []
+    while len(chosen) < members:
+        edits = set(rng.sample(places, 13))
+        if all(len(edits & e) < 6 for e in chosen):
+            chosen.append(edits)
+            texts.append([f"{len(texts)}e{k}" if k in edits else f"w{k}" for k in range(size)])
+    copies = [list(t) for t in texts[:twins]]
+    for d, c in enumerate(copies):
+        for k in rng.sample(places, 14):
+            c[k + 5] = f"{d}c{k}"
+    return [" ".join(t) for t in texts + copies]
+
+
+def test_apart_gives_every_pair_of_different_roots():
+    rng = np.random.default_rng(4)
+    value, node, root = rng.integers(0, 9, 200).astype(np.uint32), np.arange(200), rng.integers(0, 5, 200)
+    screen = np.where(rng.random(200) < 0.5, np.uint64(0), ~np.uint64(0)).astype(np.uint64)
+    wanted = {(i, j) for i in range(200) for j in range(i + 1, 200) if value[i] == value[j] and root[i] != root[j] and screen[i] == screen[j]}
+    assert {tuple(p) for p in s.apart(value, node, root, screen).tolist()} == wanted
+    assert len(s.apart(*(x[:0] for x in (value, node, root, screen)))) == 0
+
+
+def test_pairs_under_a_third_text_are_compared(spark, monkeypatch):
+    """The stars pair 1 and 2 with 0 alone, which is like neither."""
+    words = np.zeros((3, len(s.WORDS)), np.int64)
+    words[1, -1], words[2, -1] = (1 << 20) - 1, (1 << 21) - 1
+    rows = [(i, i, *map(int, w)) for i, w in enumerate(words)]
+    nodes = spark.createDataFrame(rows, "node bigint, root bigint, " + ", ".join(f"{w} bigint" for w in s.WORDS)).coalesce(1)
+    assert {tuple(r) for r in s.colliding(nodes).collect()} == {(0, 1), (0, 2)}
+    for most in (s.CLASS_ROWS, 1):
+        monkeypatch.setattr(s, "CLASS_ROWS", most)
+        assert {tuple(r) for r in s.unlinked(nodes).collect()} == {(0, 1), (0, 2), (1, 2)}
+        assert s.unlinked(nodes.withColumn("root", nodes.root * 0)).isEmpty()
+
+
+def test_copies_in_a_family_of_a_template(spark):
+    rows = list(enumerate(family(random.Random(3), 300, 60)))
+    assert jaccard(rows[0][1], rows[300][1]) > 0.84 and jaccard(rows[0][1], rows[1][1]) < 0.8
+    kept = {r.doc_id for r in s.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()}
+    assert kept >= set(range(300)) and len(kept) <= 301
+
+
 def test_empty_table(spark):
     assert s.deduplicated(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
