@@ -14,6 +14,11 @@ is dealt for all that are near it: a value that a third of all rows share is a f
 These stars alone would miss pairs whose ends both meet an unlike third text. So when they are linked, all
 fingerprints meet once more, and each pair that collides, passes the screen and isn't linked yet is compared.
 Only pairs that are linked already are left out, so a group of near copies doesn't grow with its square.
+
+The bits of short texts differ more often than the similarity tells, so pairs whose smaller set has at most
+SHORT shingles don't depend on fingerprints: of sets of n, two at a similarity of s or more share one of the
+n - ceil(s n) + 1 shingles that come first in any one order. Rare shingles come first; texts that share one of
+these and aren't linked yet are compared exactly.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ BITS, SCREEN = TABLES * 32 + 64, 24
 CLASS_BITS, PER_CLASS = 6, 1 << 15
 #: Rows of a class beyond which it is split in blocks that meet in pairs, and pairs compared at once.
 CLASS_ROWS, AT_ONCE = 1 << 20, 1 << 20
+#: Shingles up to which a set's partners are found exactly, and shared shingles for each class of them.
+SHORT, PER_PART = 64, 1 << 17
 #: Standard deviations between the expected distance and the distances that are taken as certain.
 SIGMAS = 4
 WORDS = [f"s{k}" for k in range(BITS // 64)]
@@ -113,20 +120,25 @@ def apart(value: np.ndarray, node: np.ndarray, root: np.ndarray, screen: np.ndar
     return np.unique(np.concatenate(out), axis=0)
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, row_key and the words of the sketch of each document."""
+def sketches(docs: DataFrame, shingle: int, few: int) -> DataFrame:
+    """doc_id, row_key, the words of the sketch of each document, and its shingles if it has 1 to ``few``."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for part in pieces(batch):
-                rows = np.array([sketch(shingle_set(t, shingle)) for t in part.column("text").to_pylist()], _U).reshape(-1, len(WORDS)).view(np.int64)
-                words = [pa.array(np.ascontiguousarray(column)) for column in rows.T]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), *words], ["doc_id", "row_key", *WORDS])
+                rows, short = np.zeros((part.num_rows, len(WORDS)), _U), []
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    hashes = shingle_set(text, shingle)
+                    rows[i] = sketch(hashes)
+                    short.append(hashes.view(np.int64) if 0 < len(hashes) <= few else None)
+                words = [pa.array(np.ascontiguousarray(column)) for column in rows.view(np.int64).T]
+                columns = [part.column("doc_id"), part.column("row_key"), *words, pa.array(short, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", *WORDS, "few"])
 
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    return keyed.mapInArrow(run, "doc_id bigint, row_key bigint, " + ", ".join(f"{w} bigint" for w in WORDS))
+    return keyed.mapInArrow(run, "doc_id bigint, row_key bigint, " + ", ".join(f"{w} bigint" for w in WORDS) + ", few array<bigint>")
 
 
 def class_bits(number: int) -> int:
@@ -261,11 +273,46 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node bigint, hashes array<bigint>")
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b, ra, rb) whose shingle sets are similar enough, exactly."""
+def first_shingles(n, similarity: float):
+    """How many shingles of a set of n come first: similar sets share one of them."""
+    return n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1
+
+
+def _short(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, hash) of the first shingles, rare ones first, of each of the sets (node, few)."""
+    each = written(sets.select("node", F.size("few").alias("n"), F.explode("few").alias("hash")))
+    shared = each.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1")
+    # Shingles of one text come first and are shared with none: only their number counts.
+    known = each.join(shared, "hash").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "hash"))).alias("s"))
+    left = first_shingles(F.col("n"), similarity) - (F.col("n") - F.size("s"))
+    return written(known.withColumn("left", left.cast("int")).filter("left > 0").select("node", F.explode(F.slice("s", F.lit(1), F.col("left"))["hash"]).alias("hash")))
+
+
+def sharing(first: DataFrame, named: DataFrame) -> DataFrame:
+    """All pairs (a, b) of nodes with a common hash and different roots."""
+    rows = first.join(named.select("node", "root"), "node")
+    parts = -(-first.count() // PER_PART)
+
+    def meet(table):
+        import pyarrow as pa
+
+        value, node, root = (table.column(c).to_numpy() for c in ("hash", "node", "root"))
+        pairs = apart(value, node, root, np.zeros(len(node), _U))
+        return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
+
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(max(64, parts))))
+    return dealt.groupBy("part").applyInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def _sets_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """node and shingle hashes of the ends of pairs."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row_key"), "node")
     texts = docs.select("text", F.xxhash64("doc_id", "text").alias("row_key")).join(asked, "row_key").dropDuplicates(["node"])
-    sets = written(_sets(texts, shingle))
+    return written(_sets(texts, shingle))
+
+
+def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, ra, rb) whose sets (node, hashes) are similar enough, exactly."""
     both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
     common = F.size(F.array_intersect("ha", "hb"))
     return both.filter(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b", "ra", "rb")
@@ -285,7 +332,7 @@ def _renamed(named: DataFrame, links: DataFrame) -> DataFrame:
 
 def _keyed_links(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     sure, most = limits(similarity)
-    sketched = written(sketches(docs, shingle).withColumn("node", F.xxhash64(*WORDS)))
+    sketched = written(sketches(docs, shingle, int(SHORT / similarity + 1e-9)).withColumn("node", F.xxhash64(*WORDS)))
     nodes = written(sketched.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row_key").alias("row_key"), *[F.min(w).alias(w) for w in WORDS]))
     ends = nodes.select("node", F.array(*WORDS).alias("s"))
     distance = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(len(WORDS))), F.lit(0))
@@ -299,7 +346,11 @@ def _keyed_links(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
         # Pairs that the sketch can't decide and whose ends aren't linked already.
         unsure = written(_between(pairs.filter(F.col("distance") > sure).select("a", "b"), named))
         if not unsure.isEmpty():
-            named = _renamed(named, _near(unsure, nodes, docs, shingle, similarity))
+            named = _renamed(named, _near(unsure, _sets_of(unsure, nodes, docs, shingle), similarity))
+    short = written(sketched.filter("few IS NOT NULL").select("node", "few").dropDuplicates(["node"]))
+    few = written(_between(sharing(_short(short, similarity), named), named))
+    if not few.isEmpty():
+        named = _renamed(named, _near(few, short, similarity))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = named.join(least, "root").select("node", "component_id")
     return sketched.select("doc_id", "row_key", "node").join(ids, "node").select("doc_id", "component_id", "row_key")

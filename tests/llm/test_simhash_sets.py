@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -99,5 +100,22 @@ def test_copies_in_a_family_of_a_template(spark):
     assert kept >= set(range(300)) and len(kept) <= 301
 
 
+def test_short_texts_lose_no_copy(spark):
+    """Pairs at 0.8 or just above, by number of words: words are added at the end until the next would be too many."""
+    rows, gone = [], Counter()
+    for n in (8, 9, 10, 12, 14, 19, 24, 34, 44, 68):
+        for k in range(40):
+            text = [f"t{n}x{k}w{i}" for i in range(n)]
+            more = text + [f"t{n}x{k}m{i}" for i in range((n - 4) // 4)]
+            pair = [" ".join(text), " ".join(more)]
+            assert 0.8 <= jaccard(*pair) <= 0.86
+            rows += [(len(rows), pair[0]), (len(rows) + 1, pair[1])]
+            gone[n] += 1
+    rows += [(10_000 + k, f"some words in common and then {k} else") for k in range(50)]
+    size = {d: len(t.split()) for d, t in rows}
+    kept = [r.doc_id for r in s.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()]
+    assert {n for d, n in size.items() if d % 2 and d < 10_000 and d in kept} == set() and len(kept) == len(rows) - sum(gone.values())
+
+
 def test_empty_table(spark):
     assert s.deduplicated(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
