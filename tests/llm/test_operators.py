@@ -190,6 +190,17 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i, _, _ in odd)
 
 
+@pytest.mark.parametrize("words", [9, 19, 33, 64])
+def test_filters_meet_at_every_number_of_codewords(words):
+    rng = np.random.default_rng(6)
+    x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 400, 64)))
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    filters = vectors.Filters(64, words)
+    met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(filters.passed(x), filters.passed(y))]
+    assert np.mean(met) >= 0.99
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)], 0, 1) for i in range(350)] + [(700, None, 1, 1), (800, [float("inf")], 1, 1), (900, [1.0, None], 1, 1)]
