@@ -24,9 +24,12 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (null texts, texts without a letter) go."""
+    """Null texts and texts without a letter go, also where no row tells a language to learn from."""
     docs = docs.select(*COLUMNS)
-    told = language.predicted(docs, language.fitted(docs), COLUMNS)
+    model = language.fitted(docs)
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    told = language.predicted(docs, model, COLUMNS)
     return told.filter(F.col("lang_pred") != language.UNDETERMINED).select(*COLUMNS)
 
 

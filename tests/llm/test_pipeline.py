@@ -110,6 +110,13 @@ def test_language_rejects_only_texts_without_letters(kept):
     assert Counter(texts(kept["language"])) == Counter(expected)
 
 
+def test_language_keeps_texts_where_none_is_told(spark):
+    rows = [(i, t, None, "s", len(t or ""), "k", 1) for i, t, *_ in sample()]
+    got = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, SHAPE), "unused")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert Counter(texts(got)) == Counter((i, t) for i, t, *_ in rows if t and any(c.isalpha() for c in t))
+
+
 def test_lines(kept):
     got = texts(kept["lines"])
     assert Counter(got) == Counter(lines_kept(texts(kept["language"])))
