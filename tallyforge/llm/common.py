@@ -13,7 +13,7 @@ SPACES = " \t\n\v\f\r"
 #: Whether Spark removes shuffle files at the end of a query.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _U = np.uint64
-_P, _Q, _Q2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+_Q, _Q2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share; on one machine, a temporary one where none is set, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -42,7 +44,26 @@ def written(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discarded(*tables: DataFrame | None) -> None:
+    """Removes tables that ``written`` made and that nothing reads any more."""
+    for table in tables:
+        if table is not None:
+            jvm = table.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(table.written_to)
+            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, lengthened until it is none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
@@ -74,28 +95,18 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _WORDS, _WORDS2 = _Powers(_P), _Powers(_Q), _Powers(_Q2)
-
+_WORDS, _WORDS2 = _Powers(_Q), _Powers(_Q2)
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words start and end in bytes; words are maximal runs without white space."""
-    word = np.empty(len(data) + 2, np.int8)
-    word[0] = word[-1] = 0
-    word[1:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    step = np.diff(word & 1)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
+def word_digests(raw: bytes) -> np.ndarray:
+    """The XXH3-128 digest of each word of a text, as two 64-bit columns; words are maximal runs without white space."""
+    import xxhash
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    up, down = _BYTES.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(_U) * _U(_P))
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw.split())), _U).reshape(-1, 2)
 
 
 def window_hashes(words: np.ndarray, size: int, second: bool = False) -> np.ndarray:
-    """A 64-bit hash of every run of ``size`` words (one for each start; none if there are too few words)."""
+    """A 64-bit hash of every run of ``size`` words, given a digest of each (one for each start; none if there are too few)."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, _U)

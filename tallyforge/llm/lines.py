@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SPACES, pieces, written
+from tallyforge.llm.common import SPACES, free_name, pieces, written
 
 #: Bits of a filter for each byte-estimated line, its bounds, bits of a slice, bits set for a key.
 MOST_BITS, LEAST_BITS, SLICE, HASHES = 1 << 28, 1 << 20, 1 << 16, 2
@@ -158,8 +158,9 @@ def later_lines(docs: DataFrame, least: int = 10) -> DataFrame:
 
 def without_later_lines(docs: DataFrame, least: int, columns: list[str], finish, schema: str) -> DataFrame:
     """Applies ``finish(columns of a piece, kept lines of each row, lines before)`` to all documents."""
-    marked = docs.withColumn("dedup_id", F.coalesce("doc_id", F.lit(LAST)))
-    joined = marked.join(later_lines(docs, least).select(F.col("doc_id").alias("dedup_id"), F.col("keys").alias("dedup_keys")), "dedup_id", "left")
+    key, gone_keys = free_name(columns, "dedup_id"), free_name(columns, "dedup_keys")
+    marked = docs.withColumn(key, F.coalesce("doc_id", F.lit(LAST)))
+    joined = marked.join(later_lines(docs, least).select(F.col("doc_id").alias(key), F.col("keys").alias(gone_keys)), key, "left")
 
     def run(batches):
         import xxhash
@@ -167,7 +168,7 @@ def without_later_lines(docs: DataFrame, least: int, columns: list[str], finish,
         for batch in batches:
             for part in pieces(batch):
                 kept, before = [], []
-                for text, lost in zip(part.column("text").to_pylist(), part.column("dedup_keys").to_pylist(), strict=True):
+                for text, lost in zip(part.column("text").to_pylist(), part.column(gone_keys).to_pylist(), strict=True):
                     own = (text or "").split("\n")
                     before.append(len(own))
                     if lost:
@@ -177,7 +178,7 @@ def without_later_lines(docs: DataFrame, least: int, columns: list[str], finish,
                     kept.append(own)
                 yield finish(part, kept, before)
 
-    return joined.select(*columns, "dedup_keys").mapInArrow(run, schema)
+    return joined.select(*columns, gone_keys).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, least: int = 10) -> DataFrame:

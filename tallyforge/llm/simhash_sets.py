@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import mix, pieces, window_hashes, word_hashes, word_spans, written
+from tallyforge.llm.common import mix, pieces, window_hashes, word_digests, written
 from tallyforge.llm.graph import components
 from tallyforge.llm.simhash import LOWER, survivors
 
@@ -50,8 +50,7 @@ _U = np.uint64
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """Distinct 64-bit hashes of a text's word shingles (A-Z lower-cased; fewer words: the whole sequence)."""
-    data = np.frombuffer((text or "").encode().translate(LOWER), np.uint8)
-    words = word_hashes(data, *word_spans(data))
+    words = word_digests((text or "").encode().translate(LOWER))[:, 0]
     return np.unique(window_hashes(words, min(shingle, max(1, len(words)))))
 
 

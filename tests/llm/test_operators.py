@@ -89,6 +89,35 @@ def test_substrings(docs, size):
     assert sorted(map(str, got)) == sorted(map(str, brute_substrings(sample_texts(), size)))
 
 
+def test_substrings_tells_words_apart_that_differ_in_few_bytes(spark):
+    """Words of 1,024 bytes made of two letters by the parity of their place, and with all letters swapped."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    same = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, f"{same} {one} {same}"), (2, f"{same} {other} {same}"), (3, f"{same} {other} {same}")]
+    got = {r.doc_id: r.n_removed for r in substrings.digests(documents(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 61}
+
+
+@pytest.mark.parametrize("limits", [(1 << 10, 1 << 12), (1 << 8, 1 << 9)])
+def test_substrings_in_many_small_classes(docs, monkeypatch, limits):
+    monkeypatch.setattr(substrings, "CLASS_BYTES", limits[0])
+    monkeypatch.setattr(substrings, "PART_BYTES", limits[1])
+    got = [tuple(r) for r in substrings.digests(docs, 10).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute_substrings(sample_texts(), 10)))
+
+
+def test_callers_columns_keep_their_values(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    names = ["dedup_id", "dedup_keys", "sub_key", "sub_id", "sub_starts", "_gone", "row_key"]
+    rows = [(d, t, *(f"{n}{d}" for n in names)) for d, t in ((1, text), (2, text), (3, "other " * 20))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    for run in (lines.deduplicated, substrings.deduplicated, simhash.deduplicated):
+        out = run(docs)
+        assert out.columns == docs.columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+
+
 def test_lines(docs):
     rows = sample_texts()
     key = lambda x: x.strip(" \t\n\v\f\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
@@ -190,15 +219,44 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i, _, _ in odd)
 
 
-@pytest.mark.parametrize("words", [9, 19, 33, 64])
-def test_filters_meet_at_every_number_of_codewords(words):
+@pytest.mark.parametrize("size", [4, 8, 16, 32, 64, 768])
+@pytest.mark.parametrize("number", [100, 5000, 1_000_000])
+def test_filters_meet_at_every_size(size, number):
     rng = np.random.default_rng(6)
-    x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 400, 64)))
+    x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 400, size)))
     z -= (z * x).sum(1, keepdims=True) * x
     y = 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    filters = vectors.Filters(64, words)
+    filters = vectors.Filters(size, *vectors.design(size, number, 0.93))
     met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(filters.passed(x), filters.passed(y))]
-    assert np.mean(met) >= 0.99
+    assert np.mean(met) >= 0.97
+
+
+def test_vectors_components_threshold_and_crowded_filters(spark, monkeypatch):
+    """Chains, a pair exactly at the threshold and one below, repeated ids, and groups split in blocks."""
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    rows = [(i, [3.0, 4.0, 0.0, 0.0] if i == 0 else [1.0, 0.0, 0.0, 0.0], 7) for i in range(2)]
+    chain = [[float(np.cos(0.3 * k)), float(np.sin(0.3 * k)), 0.0, 0.0] for k in range(8)]
+    rows += [(10 + k, v, 8) for k, v in enumerate(chain)]
+    crowd = rng.standard_normal(4) + 0.05 * rng.standard_normal((120, 4))
+    rows += [(100 + k, [float(np.float32(x)) for x in v], 9) for k, v in enumerate(crowd)]
+    rows += [(10, chain[0], 8), (100, rows[10][1], 9)]
+    got = vectors.linked(spark.createDataFrame([(*r, 1) for r in rows], VECTORS)).collect()
+    x = np.array([np.array(r[1], np.float32).astype(float) for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.array([r[2] for r in rows])
+    near = (x @ x.T >= 0.93) & (y[:, None] == y)
+    np.fill_diagonal(near, False)
+    root = np.array([r[0] for r in rows])
+    for _ in rows:
+        root = np.minimum(root, [root[n].min(initial=1 << 30) for n in near])
+    expected = sorted((r[0], int(near[i].sum()), int(root[i]), bool(r[0] == root[i])) for i, r in enumerate(rows))
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == expected
+    at = [([1.0, 0.0], [0.93, float(np.sqrt(1 - 0.93**2))]), ([1.0, 0.0], [0.92, 0.4])]
+    for a, b in at:
+        cosine = np.dot(np.float64(np.float32(a)), np.float64(np.float32(b))) / np.linalg.norm(np.float64(np.float32(a))) / np.linalg.norm(np.float64(np.float32(b)))
+        pair = vectors.linked(spark.createDataFrame([(1, a, 1, 1), (2, b, 1, 1)], VECTORS)).collect()
+        assert {r.n_links for r in pair} == {int(cosine >= 0.93)}
 
 
 def test_topk(spark):
