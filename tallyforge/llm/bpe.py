@@ -3,7 +3,7 @@
 Merging: a segment tree over the adjacent pairs of a word holds rank * width + place for each pair that
 may merge; its root is the leftmost pair of the lowest rank. A merge changes at most three leaves, each
 updated along one path. The trees of many words are rows of one array, so that every step is done for all
-words that still have a pair. Words are encoded once and kept in a bounded table.
+words that still have a pair. Words are encoded once and kept in a bounded table. Decoding starts from the ids.
 
 Null texts count as empty. Empty texts have no ids. Repeated rows give repeated rows; other columns of the
 input are ignored. Texts of any length are encoded whole; a long word is a wide tree, not a special case.
@@ -137,9 +137,9 @@ class WordEncoder:
         self.first = np.array([self.vocab[c] for c in letters], np.int64)
         self.last = np.array([self.vocab[c + self.suffix] for c in letters], np.int64)
         self.numbers = {i: str(i) for i in self.tokens}
-        #: Ids and tokens, joined by spaces, of each chunk (a text without white space) that was met.
+        self.token_of = {str(i): t for i, t in self.tokens.items()}
+        #: Ids, joined by spaces, of each chunk (a text without white space) that was met.
         self.kept_ids: dict[str, str] = {}
-        self.kept_tokens: dict[str, str] = {}
 
     @staticmethod
     def normal(text: str) -> str:
@@ -156,7 +156,6 @@ class WordEncoder:
             self._learn_words(new)
         for c, ws in words.items():
             self.kept_ids[c] = " ".join([self.kept_ids[w] for w in ws])
-            self.kept_tokens[c] = " ".join([self.kept_tokens[w] for w in ws])
 
     def _learn_words(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
@@ -165,10 +164,10 @@ class WordEncoder:
         ids, ends = self.first[data], np.cumsum(length)
         ids[ends - 1] = self.last[data[ends - 1]]
         merged, n = merge_words(ids, length, self.table)
-        numbers, tokens = [self.numbers[i] for i in merged.tolist()], [self.tokens[i] for i in merged.tolist()]
+        numbers = [self.numbers[i] for i in merged.tolist()]
         first = 0
         for w, last in zip(words, np.cumsum(n).tolist(), strict=True):
-            self.kept_ids[w], self.kept_tokens[w] = " ".join(numbers[first:last]), " ".join(tokens[first:last])
+            self.kept_ids[w] = " ".join(numbers[first:last])
             first = last
 
     def split(self, text: str) -> list[str]:
@@ -182,25 +181,21 @@ class WordEncoder:
         # split() also splits at these four, which the vocabulary's pattern takes for words
         return self.words.findall(self.normal(text)) if SEPARATORS.search(text) else self.normal(text).split()
 
-    def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(number of ids, ids, decoded text) of each text; the last two joined by spaces."""
+    def encode(self, texts: list[str]) -> list[str]:
+        """The ids of each text, as decimal numbers joined by spaces."""
         if len(self.kept_ids) > KEPT_WORDS:
             self.kept_ids.clear()
-            self.kept_tokens.clear()
         for x, i in self.special.items():
-            self.kept_ids[" " + x], self.kept_tokens[" " + x] = str(i), x
+            self.kept_ids[" " + x] = str(i)
         parts = [self.split(t) for t in texts]
         if new := list(set().union(*parts) - self.kept_ids.keys()):
             self.learn(new)
-        ids_of, tokens_of, out = self.kept_ids.__getitem__, self.kept_tokens.__getitem__, []
-        for own in parts:
-            ids = " ".join(map(ids_of, own))
-            out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join(map(tokens_of, own))))
-        return out
+        ids_of = self.kept_ids.__getitem__
+        return [" ".join(map(ids_of, own)) for own in parts]
 
-    def decode(self, ids: list[int]) -> str:
-        """The tokens of ids joined by spaces, as a vocabulary without a decoder has it."""
-        return " ".join(self.tokens[i] for i in ids)
+    def decode(self, ids: str) -> str:
+        """The tokens of ids (decimal numbers joined by spaces) joined by spaces, as a vocabulary without a decoder has it."""
+        return " ".join(map(self.token_of.__getitem__, ids.split()))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -225,12 +220,13 @@ def encoded(docs: DataFrame, vocabulary: str, digests_only: bool = False) -> Dat
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             for part in pieces(batch):
-                rows = own.encode([t or "" for t in part.column("text").to_pylist()])
-                n = pa.array([r[0] for r in rows], pa.int64())
+                ids = own.encode([t or "" for t in part.column("text").to_pylist()])
+                decoded = map(own.decode, ids)
+                n = pa.array([i.count(" ") + 1 if i else 0 for i in ids], pa.int64())
                 if digests_only:
-                    rest = [pa.array([sha(r[1]) for r in rows], pa.string()), pa.array([sha(r[2]) for r in rows], pa.string())]
+                    rest = [pa.array(map(sha, ids), pa.string()), pa.array(map(sha, decoded), pa.string())]
                 else:
-                    rest = [pa.array([[int(i) for i in r[1].split()] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())]
+                    rest = [pa.array([[int(i) for i in row.split()] for row in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, *rest], names)
 
     names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests_only else ("ids", "decoded"))]

@@ -7,8 +7,9 @@ to classes by a linear hash, for which hash(x ^ m) = hash(x) ^ hash(m): a class
 alone and works out which of its values it holds, so that a shuffled value costs a fraction of its size.
 Colliding values are verified, and each value links its fingerprints by a star, not by all pairs.
 
-Fingerprints are made distinct before, so copies cost nothing. A class receives a bounded number of
-fingerprints as their number grows, since the number of classes grows with it.
+Fingerprints are made distinct before, so copies cost nothing. The number of classes grows with the
+fingerprints, so that about PER_CLASS of them reach a class at every size; a fingerprint is sent to the classes
+that it reaches and to no other (at most 65 with an even number of set bits, 2,081 with an odd one).
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from tallyforge.llm.common import pieces, written
 from tallyforge.llm.graph import components
 
 RADIUS = 3
-#: Fewest classes of values, and fingerprints for each class before there are more.
-CLASSES, PER_CLASS = 64, 1 << 15
+#: Fewest classes of values, fingerprints that reach a class before there are more, and fingerprints dealt at once.
+CLASSES, PER_CLASS, DEALT = 64, 1 << 20, 1 << 12
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
 
@@ -48,7 +49,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fingerprint (as a signed long) and a row key of each document; equal doc_id and text have equal keys."""
+    """doc_id, fingerprint (as a signed long) and a key of each document's text; doc_id and key tell rows apart."""
 
     def run(batches):
         import pyarrow as pa
@@ -58,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 prints = np.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], _U).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints), part.column("row_key")], ["doc_id", "fp", "row_key"])
 
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("row_key"))
     return keyed.mapInArrow(run, "doc_id bigint, fp bigint, row_key bigint")
 
 
@@ -69,11 +70,16 @@ class Ball:
         self.bits = classes.bit_length() - 1
         rng = np.random.default_rng(20240917)
         self.rows = rng.integers(1, 1 << 63, self.bits, dtype=np.uint64) * _U(2) + _U(1)
-        one = [0] + [1 << i for i in range(64)]
-        two = [1 << i | 1 << j for i in range(64) for j in range(i)]
-        self.one, self.two = ([np.array(m, _U)[self.hash(np.array(m, _U)) == c] for c in range(classes)] for m in (one, two))
-        #: Whether a fingerprint of class 0 has values in a class: for an even and for an odd number of set bits.
-        self.reach = np.array([[len(a) > 0 for a in self.one], [len(a) + len(b) > 0 for a, b in zip(self.one, self.two, strict=True)]])
+        one = np.array([0] + [1 << i for i in range(64)], _U)
+        two = np.array([1 << i | 1 << j for i in range(64) for j in range(i)], _U)
+        self.one, self.two = self._by_class(one), self._by_class(two)
+        #: Classes that the values of a fingerprint of class 0 are in: for an even and for an odd number of set bits.
+        near = np.array(sorted(self.one), np.int64)
+        self.reach = [near, np.union1d(near, np.array(sorted(self.two), np.int64))]
+
+    def _by_class(self, masks: np.ndarray) -> dict[int, np.ndarray]:
+        own = self.hash(masks)
+        return {int(c): masks[own == c] for c in np.unique(own)}
 
     def hash(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), np.int64)
@@ -82,15 +88,20 @@ class Ball:
         return out
 
 
+_NO_MASKS = np.zeros(0, _U)
+
+
 def class_links(prints: np.ndarray, own: int, ball: Ball) -> tuple[np.ndarray, np.ndarray]:
     """Linked fingerprints (two arrays) by the values that class ``own`` holds."""
     prints = np.unique(prints)
     where, odd = ball.hash(prints), (np.bitwise_count(prints) & 1).astype(bool)
-    near, near_of = [], []
-    for c in np.unique(where):
-        x, masks = prints[where == c], ball.one[own ^ int(c)]
-        near.append((x[:, None] ^ masks).ravel())
-        near_of.append(np.repeat(x, len(masks)))
+    by_class = np.argsort(where, kind="stable")
+    groups = np.split(by_class, np.flatnonzero(np.diff(where[by_class])) + 1)
+    near, near_of = [_NO_MASKS], [_NO_MASKS]
+    for at in groups:
+        masks = ball.one.get(own ^ int(where[at[0]]), _NO_MASKS)
+        near.append((prints[at, None] ^ masks).ravel())
+        near_of.append(np.repeat(prints[at], len(masks)))
     near, near_of = np.concatenate(near), np.concatenate(near_of)
     order = np.lexsort((near_of, near))
     near, near_of = near[order], near_of[order]
@@ -102,38 +113,48 @@ def class_links(prints: np.ndarray, own: int, ball: Ball) -> tuple[np.ndarray, n
     even = (np.bitwise_count(near_of) & 1) == 0
     values, first = np.unique(near[even], return_index=True)
     heads = near_of[even][first]
-    if len(values):
-        for c in np.unique(where[odd]):
-            x, masks = prints[odd & (where == c)], ball.two[own ^ int(c)]
-            step = max(1, (1 << 21) // max(1, len(masks)))
-            for k in range(0, len(x), step):
-                far = (x[k : k + step, None] ^ masks).ravel()
-                at = np.minimum(np.searchsorted(values, far), len(values) - 1)
-                hit = np.flatnonzero(values[at] == far)
-                a.append(heads[at[hit]])
-                b.append(x[k : k + step][hit // max(1, len(masks))])
+    for at in groups if len(values) else ():
+        x, masks = prints[at[odd[at]]], ball.two.get(own ^ int(where[at[0]]), _NO_MASKS)
+        step = max(1, (1 << 21) // max(1, len(masks)))
+        for k in range(0, len(x) if len(masks) else 0, step):
+            far = (x[k : k + step, None] ^ masks).ravel()
+            at_value = np.minimum(np.searchsorted(values, far), len(values) - 1)
+            hit = np.flatnonzero(values[at_value] == far)
+            a.append(heads[at_value[hit]])
+            b.append(x[k : k + step][hit // len(masks)])
     a, b = np.concatenate(a), np.concatenate(b)
     true = np.bitwise_count(a ^ b) <= RADIUS
     pairs = np.unique(np.column_stack([np.minimum(a, b)[true], np.maximum(a, b)[true]]), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) that connect whatever fingerprints (column fp, distinct) lie within the radius of each other."""
+def classes_for(number: int) -> int:
+    """A power of two of classes, so that about PER_CLASS of so many fingerprints reach each of them."""
     classes = CLASSES
-    number = prints.count()
-    while number > classes * PER_CLASS:
+    while number * sum(len(r) for r in Ball(classes).reach) / 2 > classes * PER_CLASS:
         classes *= 2
+    return classes
+
+
+def links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) that connect whatever fingerprints (column fp, distinct) lie within the radius of each other."""
+    classes = classes_for(prints.count())
 
     def deal(batches):
         import pyarrow as pa
 
         ball = Ball(classes)
         for batch in batches:
-            x = batch.column("fp").to_numpy(zero_copy_only=False).view(_U)
-            where, odd = ball.hash(x), (np.bitwise_count(x) & 1).astype(np.int64)
-            blobs = [x[ball.reach[odd, own ^ where]].tobytes() for own in range(classes)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(classes), pa.int32()), pa.array(blobs, pa.binary())], ["own", "prints"])
+            every = batch.column("fp").to_numpy(zero_copy_only=False).view(_U)
+            for first in range(0, len(every), DEALT):
+                x = every[first : first + DEALT]
+                where, odd = ball.hash(x), (np.bitwise_count(x) & 1).astype(bool)
+                own = np.concatenate([(where[o][:, None] ^ r).ravel() for o, r in ((~odd, ball.reach[0]), (odd, ball.reach[1]))])
+                value = np.concatenate([np.repeat(x[o], len(r)) for o, r in ((~odd, ball.reach[0]), (odd, ball.reach[1]))])
+                order = np.argsort(own, kind="stable")
+                own, value = own[order], value[order]
+                start = np.flatnonzero(np.diff(own, prepend=-1))
+                yield pa.RecordBatch.from_arrays([pa.array(own[start]), pa.array([v.tobytes() for v in np.split(value, start[1:])], pa.binary())], ["own", "prints"])
 
     def meet(table):
         import pyarrow as pa
@@ -142,7 +163,7 @@ def links(prints: DataFrame) -> DataFrame:
         a, b = class_links(prints, table.column("own")[0].as_py(), Ball(classes)) if len(prints) else (prints, prints)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return prints.mapInArrow(deal, "own int, prints binary").groupBy("own").applyInArrow(meet, "a bigint, b bigint")
+    return prints.mapInArrow(deal, "own bigint, prints binary").groupBy("own").applyInArrow(meet, "a bigint, b bigint")
 
 
 def _keyed_links(docs: DataFrame, shingle: int) -> DataFrame:
@@ -168,8 +189,8 @@ def linked(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def survivors(docs: DataFrame, keyed: DataFrame) -> DataFrame:
     """Documents but those whose component (of doc_id, component_id, row_key) has a smaller doc_id."""
     larger = F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("component_id")))
-    gone = keyed.filter(larger).select(F.col("row_key").alias("_gone")).distinct()
-    return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["_gone"], "left_anti")
+    gone = keyed.filter(larger).select(F.col("row_key").alias("key"), F.col("doc_id").alias("id")).distinct()
+    return docs.join(gone, (F.xxhash64(docs["text"]) == gone["key"]) & docs["doc_id"].eqNullSafe(gone["id"]), "left_anti")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 3) -> DataFrame:

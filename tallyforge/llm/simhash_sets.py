@@ -44,6 +44,7 @@ CLASS_ROWS, AT_ONCE = 1 << 20, 1 << 20
 SHORT, PER_PART = 64, 1 << 17
 #: Standard deviations between the expected distance and the distances that are taken as certain.
 SIGMAS = 4
+LAST = (1 << 63) - 1
 WORDS = [f"s{k}" for k in range(BITS // 64)]
 _U = np.uint64
 
@@ -120,7 +121,7 @@ def apart(value: np.ndarray, node: np.ndarray, root: np.ndarray, screen: np.ndar
 
 
 def sketches(docs: DataFrame, shingle: int, few: int) -> DataFrame:
-    """doc_id, row_key, the words of the sketch of each document, and its shingles if it has 1 to ``few``."""
+    """doc_id, row_key (of the text), the words of the sketch of each document, and its shingles if it has 1 to ``few``."""
 
     def run(batches):
         import pyarrow as pa
@@ -136,7 +137,7 @@ def sketches(docs: DataFrame, shingle: int, few: int) -> DataFrame:
                 columns = [part.column("doc_id"), part.column("row_key"), *words, pa.array(short, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", *WORDS, "few"])
 
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("row_key"))
     return keyed.mapInArrow(run, "doc_id bigint, row_key bigint, " + ", ".join(f"{w} bigint" for w in WORDS) + ", few array<bigint>")
 
 
@@ -305,8 +306,8 @@ def sharing(first: DataFrame, named: DataFrame) -> DataFrame:
 
 def _sets_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """node and shingle hashes of the ends of pairs."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row_key"), "node")
-    texts = docs.select("text", F.xxhash64("doc_id", "text").alias("row_key")).join(asked, "row_key").dropDuplicates(["node"])
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "of.*"), "node")
+    texts = docs.select("text", F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("row_key")).join(asked, ["id", "row_key"]).dropDuplicates(["node"])
     return written(_sets(texts, shingle))
 
 
@@ -331,14 +332,16 @@ def _renamed(named: DataFrame, links: DataFrame) -> DataFrame:
 
 def _keyed_links(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     sure, most = limits(similarity)
-    sketched = written(sketches(docs, shingle, int(SHORT / similarity + 1e-9)).withColumn("node", F.xxhash64(*WORDS)))
-    nodes = written(sketched.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row_key").alias("row_key"), *[F.min(w).alias(w) for w in WORDS]))
+    sketched = written(sketches(docs, shingle, int(SHORT / similarity + 1e-9)))
+    one_of = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "row_key")).alias("of")
+    nodes = sketched.groupBy(*WORDS).agg(F.min("doc_id").alias("low"), one_of, F.min("few").alias("few"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
     ends = nodes.select("node", F.array(*WORDS).alias("s"))
     distance = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(len(WORDS))), F.lit(0))
     named = nodes.select("node", "low", F.col("node").alias("root"))
     # Stars link large groups first; what they leave apart meets in all pairs.
     for meeting in (colliding, unlinked):
-        met = meeting(named.join(nodes.drop("low"), "node"))
+        met = meeting(named.join(nodes.select("node", *WORDS), "node"))
         pairs = met.join(ends.toDF("a", "sa"), "a").join(ends.toDF("b", "sb"), "b")
         pairs = written(_between(pairs.select("a", "b", distance.alias("distance")).filter(F.col("distance") <= most), named))
         named = _renamed(named, pairs.filter(F.col("distance") <= sure))
@@ -346,13 +349,13 @@ def _keyed_links(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
         unsure = written(_between(pairs.filter(F.col("distance") > sure).select("a", "b"), named))
         if not unsure.isEmpty():
             named = _renamed(named, _near(unsure, _sets_of(unsure, nodes, docs, shingle), similarity))
-    short = written(sketched.filter("few IS NOT NULL").select("node", "few").dropDuplicates(["node"]))
+    short = nodes.filter("few IS NOT NULL").select("node", "few")
     few = written(_between(sharing(_short(short, similarity), named), named))
     if not few.isEmpty():
         named = _renamed(named, _near(few, short, similarity))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = named.join(least, "root").select("node", "component_id")
-    return sketched.select("doc_id", "row_key", "node").join(ids, "node").select("doc_id", "component_id", "row_key")
+    ids = nodes.select("node", *WORDS).join(named.join(least, "root").select("node", "component_id"), "node")
+    return sketched.select("doc_id", "row_key", *WORDS).join(ids, WORDS).select("doc_id", "component_id", "row_key")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

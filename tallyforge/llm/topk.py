@@ -8,7 +8,8 @@ blocks' winners are merged by score and id.
 Vectors that are null, empty or hold null or non-finite components, and rows without an id, take no part.
 Missing components of shorter vectors count as 0. Rows with a query's id are the query's own. A query id that
 occurs twice is asked once (by the row with the smaller vector); candidates count as often as they occur.
-Scores are 64-bit integers and wrap beyond them. Other columns are ignored.
+Scores are 64-bit integers: components beyond 2^63 / scale count as that, and sums beyond it wrap. Other columns
+are ignored. Candidates are sent once for each QUERY_BLOCK queries, so with fewer queries than that each is sent once.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import partitions
 
 #: Rows of a block of queries and of a block of candidates; queries scored together.
-QUERY_BLOCK, CANDIDATE_BLOCK, TOGETHER = 1024, 8192, 64
+QUERY_BLOCK, CANDIDATE_BLOCK, TOGETHER = 32768, 8192, 64
 
 
 def accumulated(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -98,7 +99,7 @@ WITH v AS (
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+  FROM (SELECT vec_id, min(e) AS e FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id) q JOIN v c ON q.vec_id <> c.vec_id
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 )

@@ -1,18 +1,23 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 A bounded, documented sample of labelled documents (PER_CLASS of each label, those of the smallest hash of
-doc_id) gives the vocabulary, words and word beginnings that tell the labels apart, and the examples of the
-index. All words without such a term count as one more term, so that a single hit weighs less in a long
-text. Document frequencies for IDF are counted over all documents. The examples lie in an inverted index in
-blocks; for each term and block the largest weight is known, so that blocks are scored exactly in the order
-of their bounds until none can reach the k-th neighbour. The neighbours vote, weighted by cosine and by how
-many documents of the learning rows an example stands for; the vote is drawn towards the overall share of
-toxic documents by a fixed weight. Evidence: the best neighbour and the terms shared with it.
-
-Null and empty texts, and texts without a term of the vocabulary, are told from each other by nothing: their
-score is the share of toxic documents among examples of that kind. Labels other than 0 and 1, and documents
-labelled both ways, teach nothing. Without labels every score is 0. Repeated rows give repeated rows; other
-columns are ignored. Texts are read whole.
+doc_id) makes the examples. All their words are terms, and so are the beginnings (BEGINNING letters, marked by
+an asterisk) of their longer words, so that forms of a word count as alike. Document frequencies for IDF are counted over all
+documents. A term's weight is its IDF times FLOOR plus what it tells about toxicity: the lower bound, at
+Z standard errors, of the logarithm of how much more often toxic examples have it. Words outside the sample
+have no weight.
+
+The examples lie in an inverted index: postings by term, in blocks of examples, and the largest weight of each
+term in each block. Blocks are scored exactly, through their postings, in the order of their bounds until none
+can reach the k-th neighbour. The neighbours vote, weighted by cosine and by how many documents of the
+learning rows an example stands for. What a vote is worth is learned from the examples, each voted on by the
+others: an isotonic regression, weighted as above, turns votes into shares of toxic documents. Evidence: the
+best neighbour and the heaviest terms shared with it.
+
+Null and empty texts, and texts without a term of the index, are told from each other by nothing: their score
+is the share of toxic documents among examples of that kind, or else among all. Labels other than 0 and 1, and
+documents labelled both ways, teach nothing. Without labels every score is 0. Repeated rows give repeated rows;
+other columns are ignored. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -21,200 +26,260 @@ from collections import Counter
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import pieces, written
 from tallyforge.llm.language import held_out
 
-#: Examples of each label, terms of the vocabulary, toxic examples a term is in at least, neighbours, examples of a block.
-PER_CLASS, TERMS, LEAST, NEIGHBOURS, BLOCK = {1: 2000, 0: 6000}, 1024, 5, 25, 64
-#: Lengths of word beginnings that are terms, marked by an asterisk.
-BEGINNINGS = (4, 5, 6)
-#: The weight of the overall share of toxic documents in a vote.
-PRIOR_WEIGHT = 0.05
+#: Examples of each label, neighbours, examples of a block.
+PER_CLASS, NEIGHBOURS, BLOCK = {1: 2000, 0: 6000}, 25, 256
+#: What a term weighs that tells nothing, and the standard errors of the lower bound of what it tells.
+FLOOR, Z = 0.05, 2.0
+BEGINNING = 5
 THRESHOLD = 0.3
 WORDS = regex.compile(r"\p{L}+")
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) >= n)]
-
-
-def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+def terms_of(text: str | None) -> dict[str, int]:
+    """How often each term is in a text."""
+    counts = Counter(WORDS.findall(text.lower()) if text else ())
+    begun = {}
+    for word, n in counts.items():
+        if len(word) > BEGINNING:
+            start = word[:BEGINNING] + "*"
+            begun[start] = begun.get(start, 0) + n
+    counts |= begun
+    return counts
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     """The examples (doc_id, text, toxic), written, and the number of learning rows of each label."""
-    told = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most")
-    rows = docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text")
-    ids = written(rows.select("doc_id").distinct().join(told.select("doc_id", "toxic"), "doc_id"))
-    number = {int(r["toxic"]): r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    most = F.when(F.col("toxic") == 1, PER_CLASS[1]).otherwise(PER_CLASS[0])
-    chosen = ids.withColumn("place", place).filter(F.col("place") <= max(PER_CLASS.values())).filter(F.col("place") <= most).select("doc_id", "toxic")
-    return written(rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])), number
+    told = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most")
+    ids = written(told.select("doc_id", "toxic").join(docs.select("doc_id").distinct(), "doc_id"))
+    number = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
+    first = [ids.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in PER_CLASS.items()]
+    return written(docs.select("doc_id", "text").join(F.broadcast(first[0].union(first[1])), "doc_id").dropDuplicates(["doc_id"])), number
 
 
-def vocabulary(examples: DataFrame) -> list[str]:
-    """At most TERMS terms that speak for toxic examples, by log-likelihood ratio."""
+def tallied(examples: DataFrame) -> list[tuple[int, int, dict[str, int]]]:
+    """(doc_id, toxic, words and counts) of each example, by doc_id."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for part in pieces(batch):
-                counts = {0: Counter(), 1: Counter()}
-                for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
-                    counts[toxic].update({t for w in set(words_of(text)) for t in terms_of(w)})
-                for toxic, c in counts.items():
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["term", "toxic", "n"])
-
-    n = {int(r["toxic"]): r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not n.get(1) or not n.get(0):
-        return []
-    counted = examples.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "term string, toxic int, n bigint")
-    by_term = counted.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    share = F.lit((n[1]) / (n[1] + n[0]))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    ratio = a * F.log(F.greatest(a, F.lit(1e-9)) / ((a + b) * share)) + b * F.log(F.greatest(b, F.lit(1e-9)) / ((a + b) * (1 - share)))
-    telling = by_term.filter((a >= LEAST) & (a / n[1] > 3 * (b + 0.5) / n[0]))
-    return [r["term"] for r in telling.orderBy(ratio.desc(), "term").limit(TERMS).collect()]
-
-
-class _Terms(dict):
-    """The places of a word's terms in the vocabulary, worked out once for each word."""
-
-    def __init__(self, terms: list[str]):
-        super().__init__()
-        self.places = {t: i for i, t in enumerate(terms)}
-
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found = [self.places[t] for t in terms_of(word) if t in self.places]
-        return found
-
-
-def counted(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """The given columns but text, and the terms (places) and counts of each text.
-
-    The place after the last term is that of all other words.
-    """
-    names = [c for c in docs.columns if c != "text"]
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+                counts = [terms_of(t) for t in part.column("text").to_pylist()]
+                lists = [pa.array([list(side(c)) for c in counts], kind) for side, kind in ((dict.keys, pa.list_(pa.string())), (dict.values, pa.list_(pa.int32())))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *lists], ["doc_id", "toxic", "words", "counts"])
+
+    found = examples.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id bigint, toxic int, words array<string>, counts array<int>").toArrow().sort_by("doc_id")
+    return [(i, y, dict(zip(w, c, strict=True))) for i, y, w, c in zip(*(found.column(n).to_pylist() for n in ("doc_id", "toxic", "words", "counts")), strict=True)]
 
-    def run(batches):
-        import pyarrow as pa
 
-        own = _Terms(shared.value)
+def document_frequencies(docs: DataFrame, places: dict[str, int]) -> tuple[int, np.ndarray]:
+    """The number of documents and, for each term, of those that have it."""
+    shared = docs.sparkSession.sparkContext.broadcast(places)
 
-        def tally(text: str | None) -> Counter:
-            words = words_of(text)
-            hits = list(filter(None, map(own.__getitem__, words)))
-            found = Counter(i for places in hits for i in places)
-            if len(words) > len(hits):
-                found[len(own.places)] = len(words) - len(hits)
-            return found
+    def run(batches):
+        import pyarrow as pa
 
+        own = shared.value
+        df, rows = np.zeros(len(own) + 1, np.int64), 0
         for batch in batches:
             for part in pieces(batch):
-                rows = [tally(t) for t in part.column("text").to_pylist()]
-                lists = [pa.array([list(x) for x in side], pa.list_(pa.int32())) for side in ([r.keys() for r in rows], [r.values() for r in rows])]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *lists], [*names, "terms", "counts"])
+                rows += part.num_rows
+                for text in part.column("text").to_pylist():
+                    at = [own[w] for w in terms_of(text) if w in own]
+                    df[at] += 1
+        df[-1] = rows
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], ["term", "n"])
+
+    found = docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(places) + 1, np.int64)
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return int(out[-1]), out[:-1]
+
+
+def term_weights(n_docs: int, df: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n: dict[int, int]) -> np.ndarray:
+    """The weight of each term, from documents that have it: all, toxic and other examples; n examples of each label."""
+    idf = np.log((1 + n_docs) / (1 + df)) + 1
+    ratio = np.log((toxic + 0.5) / (n[1] + 1)) - np.log((clean + 0.5) / (n[0] + 1))
+    return idf * (FLOOR + np.maximum(0, ratio - Z * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))))
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*names, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", terms array<int>, counts array<int>")
+
+def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, … of each range, one range after the other."""
+    return np.arange(length.sum()) + np.repeat(start - np.cumsum(length) + length, length)
 
 
 class Index:
     """Examples by term, in blocks with the largest weight of each term."""
 
-    def __init__(self, idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]], number: dict[int, int]):
-        self.idf, self.ids = idf, np.array([e[0] for e in examples], np.int64)
-        self.toxic = np.array([e[1] for e in examples], np.float64)
-        n = {y: max(1, int((self.toxic == y).sum())) for y in (0, 1)}
-        self.stands_for = np.where(self.toxic == 1, number.get(1, 0) / n[1], number.get(0, 0) / n[0]) / max(1, sum(number.values()))
-        self.prior = number.get(1, 0) / max(1, sum(number.values()))
-        width = -(-max(1, len(examples)) // BLOCK) * BLOCK
-        self.weights = np.zeros((len(idf), width), np.float32)
-        for i, (_, _, terms, counts) in enumerate(examples):
-            if terms:
-                self.weights[terms, i] = self.unit(terms, counts)
-        self.bounds = self.weights.reshape(len(idf), -1, BLOCK).max(2)
-        bare = np.array([self.is_bare(e[2]) for e in examples], bool)
-        mass = (self.stands_for * bare).sum() if len(examples) else 0.0
-        self.bare = float((self.stands_for * self.toxic * bare).sum() / mass) if mass else self.prior
-
-    def is_bare(self, terms: list[int]) -> bool:
-        return all(t == len(self.idf) - 1 for t in terms)
-
-    def unit(self, terms: list[int], counts: list[int]) -> np.ndarray:
-        w = (1 + np.log(np.array(counts, np.float64))) * self.idf[terms]
-        return w / np.linalg.norm(w)
-
-    def nearest(self, terms: list[int], q: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples and their cosines, exactly; the first of equal ones first."""
-        n = len(self.ids)
-        bounds = q @ self.bounds[terms]
+    def __init__(self, places: dict[str, int], weight: np.ndarray, examples: list[tuple[int, int, dict[str, int]]], number: dict[int, int]):
+        self.places, self.weight = places, weight
+        vectors = [self.vector(c) for _, _, c in examples]
+        # Examples that are alike stand together: by label, most frequent word and heaviest term.
+        frequent = [max(c, key=lambda w, c=c: (c[w], w)) if c else "" for _, _, c in examples]
+        heaviest = [t[np.argmax(w)] if len(t) else -1 for t, w in vectors]
+        order = sorted(range(len(examples)), key=lambda i: (examples[i][1], frequent[i], heaviest[i], examples[i][0]))
+        self.ids = np.array([examples[i][0] for i in order], np.int64)
+        self.toxic = np.array([examples[i][1] for i in order], np.float64)
+        n = [max(1, int((self.toxic == y).sum())) for y in (0, 1)]
+        learned = max(1, sum(number.values()))
+        self.stands_for = np.where(self.toxic == 1, number.get(1, 0) / n[1], number.get(0, 0) / n[0]) / learned
+        self.prior = number.get(1, 0) / learned
+        self.blocks = max(1, -(-len(order) // BLOCK))
+        sizes = [len(vectors[i][0]) for i in order]
+        row = np.repeat(np.arange(len(order)), sizes)
+        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
+        value = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
+        self.own_terms = np.split(term, np.cumsum(sizes)[:-1]) if order else []
+        by_term = np.lexsort((row, term))
+        term, self.row, self.value = term[by_term], row[by_term].astype(np.int32), value[by_term]
+        key = term * self.blocks + self.row // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.first = np.append(first, len(key))
+        self.block_of = (key[first] % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
+        self.of_term = np.searchsorted(key[first] // self.blocks, np.arange(len(weight) + 1))
+        #: The score of each vote, learned by ``calibrate``, and that of texts without a term.
+        self.votes, self.shares, self.bare = np.array([0.0, 1.0]), np.array([0.0, 1.0]), self.prior
+
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of a text, ascending, and their weights, of length 1."""
+        places = self.places
+        terms = np.array([places.get(w, -1) for w in counts], np.int64)
+        n = np.fromiter(counts.values(), np.float64, len(counts))
+        order = np.argsort(terms)[np.count_nonzero(terms < 0) :]
+        terms = terms[order]
+        w = (1 + np.log(n[order])) * self.weight[terms]
+        return terms, w / np.linalg.norm(w) if len(w) else w
+
+    def nearest(self, terms: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the k nearest examples (but one of the id ``but``) and their cosines, exactly; of equal ones the smallest ids."""
+        start, length = self.of_term[terms], self.of_term[terms + 1] - self.of_term[terms]
+        at, weight = _ragged(start, length), np.repeat(q, length)
+        block = self.block_of[at]
+        bounds = np.bincount(block, weight * self.most[at], self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        at, cosines, least, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 4
-        for first in range(0, len(order), step):
-            blocks = order[first : first + step]
-            blocks = blocks[(bounds[blocks] >= least - 1e-6) & (bounds[blocks] > 0)]
-            if not len(blocks):
+        found, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        done, step = 0, 2
+        while done < len(order):
+            chosen = order[done : done + step]
+            chosen = chosen[(bounds[chosen] > 0) & (bounds[chosen] >= least - 1e-9)]
+            if not len(chosen):
                 break
-            columns = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            columns = columns[columns < n]
-            found = q @ self.weights[np.ix_(terms, columns)]
-            at, cosines = np.concatenate([at, columns[found > 0]]), np.concatenate([cosines, found[found > 0]])
-            if len(at) > k:
-                best = np.lexsort((at, -cosines))[:k]
-                at, cosines = at[best], cosines[best]
+            wanted = np.zeros(self.blocks, bool)
+            wanted[chosen] = True
+            here = wanted[block]
+            posting, n = self.first[at[here]], self.first[at[here] + 1] - self.first[at[here]]
+            entry = _ragged(posting, n)
+            scores = np.bincount(self.row[entry], np.repeat(weight[here], n) * self.value[entry], len(self.ids))
+            if but is not None:
+                scores[self.ids == but] = 0
+            new = np.flatnonzero(scores)
+            found, cosines = np.concatenate([found, new]), np.concatenate([cosines, scores[new]])
+            if len(found) > k:
+                best = np.lexsort((self.ids[found], -cosines))[:k]
+                found, cosines = found[best], cosines[best]
                 least = cosines[-1]
-        best = np.lexsort((at, -cosines))[:k]
-        return at[best], cosines[best]
-
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, int | None, list[int]]:
-        """(score, doc_id of the nearest example, places of the terms shared with it)."""
-        if self.is_bare(terms) or not len(self.ids):
-            return self.bare, None, []
-        q = self.unit(terms, counts)
-        at, cosines = self.nearest(terms, q)
+            done, step = done + step, 2 * step
+        best = np.lexsort((self.ids[found], -cosines))[:k]
+        return found[best], cosines[best]
+
+    def vote(self, counts: dict[str, int], but: int | None = None) -> tuple[float | None, int | None, np.ndarray]:
+        """(vote, place of the nearest example, terms shared with it by weight); nothing for texts without a term."""
+        terms, q = self.vector(counts)
+        at, cosines = self.nearest(terms, q, but=but)
         if not len(at):
-            return self.prior, None, []
+            return None, None, terms
         weight = cosines * self.stands_for[at]
-        drawn = PRIOR_WEIGHT * self.stands_for[at].mean()
-        score = ((weight * self.toxic[at]).sum() + drawn * self.prior) / (weight.sum() + drawn)
-        shared = self.weights[terms, at[0]] * q
-        told = [terms[i] for i in np.argsort(-shared, kind="stable") if shared[i] > 0 and terms[i] < len(self.idf) - 1]
-        return float(min(1.0, max(0.0, score))), int(self.ids[at[0]]), told[:3]
+        return float((weight * self.toxic[at]).sum() / weight.sum()), int(at[0]), terms[np.argsort(-q, kind="stable")]
+
+    def in_common(self, at: int, terms: np.ndarray, most: int = 3) -> list[int]:
+        """The first of the terms that an example has too."""
+        own = self.own_terms[at]
+        return terms[own[np.minimum(np.searchsorted(own, terms), len(own) - 1)] == terms][:most].tolist()
+
+    def calibrate(self, told: list[tuple[int, int, float | None]]) -> None:
+        """Learns what votes are worth from (doc_id, toxic, vote) of the examples."""
+        stands_for = dict(zip(self.ids.tolist(), self.stands_for, strict=True))
+        bare = [(stands_for[i], y) for i, y, v in told if v is None]
+        if bare:
+            self.bare = sum(w * y for w, y in bare) / sum(w for w, _ in bare)
+        rest = sorted((v, y, stands_for[i]) for i, y, v in told if v is not None)
+        if rest:
+            self.votes, self.shares = isotonic(*(np.array(c, np.float64) for c in zip(*rest, strict=True)))
+
+    def score(self, vote: float | None) -> float:
+        return float(self.bare if vote is None else np.interp(vote, self.votes, self.shares))
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means of x and y in the groups of the rising step function that is nearest to y; x must be sorted."""
+    groups: list[list[float]] = []
+    for a in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1):
+        groups.append([w[a].sum(), (w[a] * x[a]).sum(), (w[a] * y[a]).sum()])
+        while len(groups) > 1 and groups[-2][2] * groups[-1][0] >= groups[-1][2] * groups[-2][0]:
+            last = groups.pop()
+            groups[-1] = [p + q for p, q in zip(groups[-1], last, strict=True)]
+    total, sx, sy = np.array(groups).T
+    return sx / total, sy / total
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> Index | None:
+    """The calibrated index; none where no documents of both labels are known."""
+    sample, number = sampled(docs, labels)
+    examples = tallied(sample)
+    n = Counter(y for _, y, _ in examples)
+    if not n[0] or not n[1]:
+        return None
+    places = {w: i for i, w in enumerate(sorted({w for _, _, c in examples for w in c}))}
+    have = np.zeros((2, len(places)), np.int64)
+    for _, y, counts in examples:
+        have[y, [places[w] for w in counts]] += 1
+    n_docs, df = document_frequencies(docs, places)
+    index = Index(places, term_weights(n_docs, df, have[1], have[0], n), examples, number)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        import pyarrow as pa
+
+        own = shared.value
+        for batch in batches:
+            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            votes = [own.vote(terms_of(t), i)[0] for i, t in zip(ids.to_pylist(), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, batch.column("toxic"), pa.array(votes, pa.float64())], ["doc_id", "toxic", "vote"])
+
+    spread = sample.select("doc_id", "toxic", "text").repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
+    index.calibrate([tuple(r) for r in spread.mapInArrow(run, "doc_id bigint, toxic int, vote double").collect()])
+    shared.unpersist()
+    return index
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, nearest_example, evidence of each document."""
-    spark = docs.sparkSession
-    examples, number = sampled(docs, labels)
-    terms = vocabulary(examples)
-    found = written(counted(docs.select("doc_id", "text", held_out().alias("held_out")), terms))
-    total = found.count()
-    df = np.zeros(len(terms) + 1)
-    for r in found.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        df[r["t"]] = r["count"]
-    idf = np.log((1 + total) / (1 + df)) + 1
-    rows = counted(examples.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"), terms).orderBy("doc_id").collect()
-    index = spark.sparkContext.broadcast((Index(idf, [(r["doc_id"], r["toxic"], r["terms"], r["counts"]) for r in rows], number), terms))
+    index = fitted(docs, labels)
+    names = ["doc_id", "held_out", "score", "predicted", "nearest_example", "evidence"]
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         import pyarrow as pa
 
-        own, words = index.value
+        own = shared.value
+        words = sorted(own.places) if own else []
         for batch in batches:
-            out = [own.score(t, c) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
-            score = np.array([o[0] for o in out], np.float64)
-            evidence = pa.array([" ".join(words[i] for i in o[2]) for o in out], pa.string())
-            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array([o[1] for o in out], pa.int64()), evidence]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "nearest_example", "evidence"])
-
-    return found.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, nearest_example bigint, evidence string")
+            for part in pieces(batch):
+                out = []
+                for text in part.column("text").to_pylist():
+                    vote, at, terms = own.vote(terms_of(text)) if own else (None, None, [])
+                    evidence = None if at is None else " ".join(words[t] for t in own.in_common(at, terms))
+                    out.append((own.score(vote) if own else 0.0, None if at is None else int(own.ids[at]), evidence))
+                score = np.array([o[0] for o in out], np.float64)
+                columns = [part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, nearest_example bigint, evidence string")
