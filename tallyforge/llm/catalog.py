@@ -44,6 +44,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op7_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations packed whole, under limits on tokens, segments and the assistant's tokens."""
+    return packing.packed_examples(packing.instruction_sizes(table(spark, sf_dir, "conversations"), BYTE_VOCABULARY))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substrings, op2_embeddings, op3_lines, op4_warc, op5_bpe, op6_topk, op7_packing, op8_simhash, op9_toxicity, op10_language)}
+    return {f.__name__: f for f in (op1_substrings, op2_embeddings, op3_lines, op4_warc, op5_bpe, op6_topk, op7_packing, op7_instructions, op8_simhash, op9_toxicity, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,6 +21,7 @@ import zlib
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyforge.llm.bpe import byte_letters
 from tallyforge.llm.common import pieces
@@ -192,11 +193,38 @@ def packed_documents(docs: DataFrame, vocabulary: str, limits: tuple[int, int, i
     return docs.select("doc_id", "text").mapInArrow(run, SHAPE)
 
 
-def packed_examples(examples: DataFrame, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS)) -> DataFrame:
-    """Instruction data, whole examples: columns example_id, n_tokens, n_loss give example_id, sequence_id, offset.
+#: Limits of a sequence of instruction data.
+INSTRUCTION_LIMITS = (2048, 8, 768)
 
-    Nulls count as 0 tokens. An example beyond a limit stands alone in a sequence of its own.
+
+def instruction_sizes(turns: DataFrame, vocabulary: str, key: str = "conv_id") -> DataFrame:
+    """example_id, n_tokens, n_loss of each conversation: a turn's ids and one that closes it; loss is borne by those of the assistant.
+
+    A null text has its closing id alone; turns without a conversation are one example of a null id.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        own = _ENCODERS.setdefault(vocabulary, None) or TextEncoder(vocabulary)
+        _ENCODERS[vocabulary] = own
+        for batch in batches:
+            for part in pieces(batch):
+                n = np.array([len(own.encode(t)) // 4 + 1 for t in part.column("text").to_pylist()], np.int64)
+                loss = np.array([r == "assistant" for r in part.column("role").to_pylist()], bool)
+                yield pa.RecordBatch.from_arrays([part.column("example_id"), pa.array(n), pa.array(n * loss)], ["example_id", "n_tokens", "n_loss"])
+
+    counted = turns.select(turns[key].cast("bigint").alias("example_id"), "role", "text").mapInArrow(run, "example_id bigint, n_tokens bigint, n_loss bigint")
+    return counted.groupBy("example_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_loss")])
+
+
+def packed_examples(examples: DataFrame, limits: tuple[int, int, int] = INSTRUCTION_LIMITS) -> DataFrame:
+    """Instruction data, whole examples: columns example_id, n_tokens, n_loss, with sequence_id and offset.
+
+    A sequence keeps all three limits: tokens, segments and loss-bearing tokens. Nulls count as 0 tokens. An
+    example beyond a limit stands alone in a sequence of its own. Repeated rows are packed as often as they occur.
     """
+    names = ["example_id", "n_tokens", "n_loss", "sequence_id", "offset"]
 
     def run(batches):
         import pyarrow as pa
@@ -204,20 +232,21 @@ def packed_examples(examples: DataFrame, limits: tuple[int, int, int] = (TOKENS,
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
             ids = batch.column("example_id").to_pylist()
-            need = np.array([[t or 0, n or 0] for t, n in zip(batch.column("n_tokens").to_pylist(), batch.column("n_loss").to_pylist(), strict=True)], float).reshape(-1, 2)
+            need = np.array([[t or 0, n or 0] for t, n in zip(batch.column("n_tokens").to_pylist(), batch.column("n_loss").to_pylist(), strict=True)], np.int64).reshape(-1, 2)
             large = (need > np.array([limits[0], limits[2]])).any(1)
-            groups = [[(int(i), 0, 0)] for i in np.flatnonzero(large)]
+            groups = [[int(i)] for i in np.flatnonzero(large)]
             for first in range(0, len(ids), BLOCK):
                 rows = first + np.flatnonzero(~large[first : first + BLOCK])
-                groups += [[(int(rows[i]), 0, 0) for i, _, _ in own] for own in fill(need[rows], np.array(limits), cut=False)]
+                groups += [[int(rows[i]) for i, _, _ in own] for own in fill(need[rows], np.array(limits), cut=False)]
             out = []
             for own in groups:
                 offset = 0
-                for i, _, _ in own:
-                    out.append((ids[i], number, offset))
+                for i in own:
+                    out.append((ids[i], *need[i].tolist(), number, offset))
                     offset += int(need[i, 0])
                 number += 1
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["example_id", "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 
-    return examples.selectExpr("example_id", "n_tokens", "n_loss").mapInArrow(run, "example_id bigint, sequence_id bigint, offset bigint")
+    source = examples.selectExpr("CAST(example_id AS bigint) AS example_id", "n_tokens", "n_loss")
+    return source.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))

@@ -205,6 +205,46 @@ def test_packing(docs):
         assert sum(r.length for r in own) <= 1024 and len(own) <= packing.SEGMENTS
 
 
+def test_pieces_carry_their_ids_crc(docs):
+    import zlib
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(catalog.BYTE_VOCABULARY)
+    ids = {(d, n): i for d, t in sample_texts() for i in [[*library.encode(t or "", add_special_tokens=False).ids, 0]] for n in [len(i)]}
+    copies = Counter((d, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for d, t in sample_texts())
+    rows = packing.packed_documents(docs, catalog.BYTE_VOCABULARY).collect()
+    covered = Counter()
+    for r in rows:
+        own = ids[r.doc_id, r.doc_tokens][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes()) and len(own) == r.length
+        covered.update({(r.doc_id, r.doc_tokens, k): 1 for k in range(r.start, r.start + r.length)})
+    assert covered == Counter({(*key, k): n for key, n in copies.items() for k in range(key[1])})
+
+
+def test_instructions_keep_all_three_limits(spark):
+    rng = random.Random(12)
+    limits = (300, 4, 120)
+    rows = [(c, t, ("user", "assistant", "system")[t % 3], "word " * rng.randrange(0, 60)) for c in range(300) for t in range(rng.randrange(1, 5))] + [(1000, 0, "assistant", "long " * 20_000), (None, 0, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    sizes = {r.example_id: (r.n_tokens, r.n_loss) for r in packing.instruction_sizes(turns, catalog.BYTE_VOCABULARY).collect()}
+    assert sizes[None] == (1, 0) and sizes[1000][1] == sizes[1000][0] > 20_000
+    got = packing.packed_examples(packing.instruction_sizes(turns, catalog.BYTE_VOCABULARY), limits).collect()
+    assert sorted((str(r.example_id), r.n_tokens, r.n_loss) for r in got) == sorted((str(k), *v) for k, v in sizes.items())
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append(r)
+    full = [0, 0, 0]
+    for own in by.values():
+        own.sort(key=lambda r: (r.offset, r.n_tokens))
+        assert [r.offset for r in own] == np.cumsum([0, *(r.n_tokens for r in own)])[:-1].tolist()
+        used = (sum(r.n_tokens for r in own), len(own), sum(r.n_loss for r in own))
+        assert len(own) == 1 or all(u <= m for u, m in zip(used, limits))
+        full = [f + (u > 0.9 * m) for f, u, m in zip(full, used, limits)]
+    assert min(full) > 0  # each limit binds somewhere
+
+
 def test_fill_keeps_all_limits():
     rng = np.random.default_rng(1)
     need = np.column_stack([n := rng.integers(1, 900, 300), rng.integers(0, n + 1)])
@@ -402,13 +442,71 @@ def test_isotonic_rises_and_keeps_the_mean():
     assert share.min() >= 0 and share.max() <= 1
 
 
+PAGES = "page_id bigint, url string, html string, payload string, date int"
+
+
 def test_warc(spark):
-    pages = spark.createDataFrame([(1, "http://a/", "<html><head><title>T &amp; U</title></head><body><p>One</p><!-- x --><script>no</script><p>Two</body>"), (2, None, None), (None, "u", "")], "page_id bigint, url string, html string")
-    rows = warc.derivatives(warc.responses(pages)).collect()
-    assert len(rows) == 6 and len({r.record_id for r in rows}) == 6
-    one = next(r for r in rows if r.page_id == 1 and r.record_type == "conversion")
-    assert one.block == "T & U\nOne\nTwo" and one.block_digest == "sha256:" + hashlib.sha256(one.block.encode()).hexdigest()
-    assert len(warc.as_warc(warc.derivatives(warc.responses(pages)), "2024-01-01T00:00:00Z").collect()) == 6
+    html = """<html><head><title>T &amp; U</title></head><body><p title="a > b">One</p><!-- x --><script a='>'>no</script><p>Two&#8212;&#x27;&eacute;&nosuch;&#0; &amp;lt;&#38;gt;</body>"""
+    rows = [(1, "http://a/", html, "p", 1), (1, "http://a/", html, "p", 1), (2, None, None, None, None), (None, "u", "", "", 3)]
+    got = warc.derivatives(warc.responses(spark.createDataFrame(rows, PAGES))).collect()
+    assert len(got) == 8 and len({r.record_id for r in got}) == 6
+    one = next(r for r in got if r.page_id == 1 and r.record_type == "conversion")
+    assert one.block == "T & U\nOne\nTwo—'é&nosuch;&#0; &lt;&gt;" and one.block_digest == "sha256:" + hashlib.sha256(one.block.encode()).hexdigest()
+    assert {r.block for r in got if r.page_id == 2 and r.record_type == "conversion"} == {""}
+    assert warc.derivatives(warc.responses(spark.createDataFrame([], PAGES))).count() == 0
+
+
+def test_warc_sql_agrees_on_odd_pages(spark):
+    import duckdb
+    import pandas as pd
+
+    odd = ["", None, "<p", "<!--", "a<!-- b", "<script>x", "<a href='>'>t</a>", '<a b="c', "&", "&&amp;", "&#x1F600;&#55296;&#1114112;", "<style>.</style >z", "x < y > z", "<p>1<br/>2<pre> 3\n 4</pre>", "&nbsp;a&NBSP;"]
+    pages = pd.DataFrame({"page_id": range(len(odd)), "url": "u", "html": odd})
+    spark_rows = warc.derivatives(warc.responses(spark.createDataFrame([(i, "u", h, "", 1) for i, h in enumerate(odd)], PAGES))).collect()
+    con = duckdb.connect()
+    con.register("pages", pages)
+    found = con.execute(warc.sql())
+    names = [c[0] for c in found.description]
+    assert sorted(str(sorted(r.asDict().items())) for r in spark_rows) == sorted(str(sorted(zip(names, r))) for r in found.fetchall())
+
+
+def test_warc_time_grows_with_length_alone(spark):
+    import time
+
+    long = ["<script>" * 400_000, "<script" * 400_000, '<a b="' * 400_001, "<!--" * 700_000, "<" * 3_000_000, "&#" * 1_000_000, "</script " * 300_000, "word <b>and</b> " * 200_000]
+    start = time.time()
+    rows = warc.derivatives(warc.responses(spark.createDataFrame([(i, "u", h, "", 1) for i, h in enumerate(long)], PAGES))).collect()
+    assert len(rows) == 2 * len(long) and time.time() - start < 60
+
+
+def test_warc_files_round_trip(spark, tmp_path):
+    """Response records are read from plain and gzip files; what is written parses back, hostile URIs and dates as well."""
+    import gzip
+
+    html = "<p>Grüße &amp; more</p>"
+    http = f"HTTP/1.1 200 OK\r\nServer: x\r\nContent-Length: {len(html.encode())}".encode()
+
+    def record(kind, name, uri, block):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {name}\r\nWARC-Target-URI: {uri}\r\nWARC-Date: 2020-02-02T00:00:00Z\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    records = [record("warcinfo", "<urn:i>", "", b"x: y\r\n"), record("response", "<urn:1>", "http://a/", http + b"\r\n\r\n" + html.encode()), record("response", "<urn:2>", "http://b/", b"HTTP/1.1 204 No Content")]
+    (tmp_path / "a.warc").write_bytes(b"".join(records) + b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\ncut")
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    read = warc.read_responses(spark, str(tmp_path))
+    assert sorted(r.record_id for r in read.collect()) == ["<urn:1>", "<urn:1>", "<urn:2>", "<urn:2>"]
+    hostile = spark.createDataFrame([(None, "<urn:9>", "http://c/\r\nWARC-Type: response\r\n\r\nx y", "1\r\n2", "H: 1\r\n", "t")], read.schema)
+    made = warc.derivatives(read.dropDuplicates(["record_id"]).union(hostile))
+    expected = {r.record_id: r for r in made.collect()}
+    content = "".join(r.value for r in warc.as_warc(made, "2024-01-01T00:00:00Z").collect()).encode()
+    parsed = list(warc.records_of(content))
+    assert len(parsed) == 6
+    for headers, block in parsed:
+        r = expected[headers["warc-record-id"]]
+        assert (headers["warc-type"], headers["warc-refers-to"], block.decode()) == (r.record_type, r.refers_to, r.block)
+        assert headers["warc-block-digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
+        assert headers["warc-date"] == ("2020-02-02T00:00:00Z" if r.refers_to != "<urn:9>" else "1%0D%0A2")
+    facts = next(b for h, b in parsed if h["warc-refers-to"] == "<urn:1>" and h["warc-type"] == "metadata").decode()
+    assert f"source-headers: HTTP/1.1 200 OK; Server: x; Content-Length: {len(html.encode())}\r\n" in facts
 
 
 def test_empty_tables(spark, empty):
