@@ -24,13 +24,16 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Null texts and texts without a letter go, also where no row tells a language to learn from."""
+    """lang becomes the predicted language; null texts and texts without a letter, which have none, go.
+
+    Where no row tells a language to learn from, lang stays as it is.
+    """
     docs = docs.select(*COLUMNS)
     model = language.fitted(docs)
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    told = language.predicted(docs, model, COLUMNS)
-    return told.filter(F.col("lang_pred") != language.UNDETERMINED).select(*COLUMNS)
+    told = language.predicted(docs, model, COLUMNS).filter(F.col("lang_pred") != language.UNDETERMINED)
+    return told.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
