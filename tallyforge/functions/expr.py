@@ -60,11 +60,23 @@ def utc_day(ts: Column) -> Column:
     return F.coalesce(F.date_format(F.try_to_timestamp(ts), "yyyy-MM-dd"), F.when(F.length(ts) >= 10, F.substring(ts, 1, 10)), F.lit("0000-00-00"))
 
 
+#: What a stop reason holds and its tone, in the order in which they are tried.
+STOP_TONES = [("end_turn", "success"), ("tool_use", "tool"), ("max_tokens", "warn"), ("context_window", "warn"), ("exceeded", "warn"), ("refusal", "error"), ("error", "error")]
+
+
 def stop_tone(reason: Column) -> Column:
-    """What a stop reason means: exact names first, then what it contains, in order of weight."""
-    r = ascii_lower(F.coalesce(reason, F.lit("")))
-    has = lambda *words: F.greatest(*(r.contains(w).cast("int") for w in words), F.lit(0)) == 1
-    return F.when(r == "", "none").when(r.isin("end_turn", "stop", "stop_sequence"), "done").when(r == "tool_use", "tool").when(has("error", "fail"), "error").when(has("max", "length", "limit"), "limit").when(has("cancel", "abort"), "cancelled").otherwise("other")
+    """What a stop reason means: the whole name first, then what it contains, in order; null if nothing fits."""
+    r = F.lower(F.coalesce(reason, F.lit("")))
+    rules = [(r == name, tone) for name, tone in STOP_TONES] + [(r.contains(name), tone) for name, tone in STOP_TONES]
+    tone = F.when(*rules[0])
+    for condition, value in rules[1:]:
+        tone = tone.when(condition, value)
+    return tone
+
+
+def basename(path: Column) -> Column:
+    """The last part of a path, by either separator."""
+    return F.regexp_extract(path, r"([^/\\]*)[/\\]*$", 1)
 
 
 def cost(rate_per_million: Column, tokens: Column) -> Column:

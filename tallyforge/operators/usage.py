@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from datetime import date
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,13 @@ class SessionFilter:
     search: str | None = None
 
 
+def window_days(f: UsageFilter) -> int:
+    """The days from the first to the last of a filter's bounds, both counted; 1 where a bound is missing."""
+    if not f.since or not f.until:
+        return 1
+    return max(1, (date.fromisoformat(f.until[:10]) - date.fromisoformat(f.since[:10])).days + 1)
+
+
 def page_limit(n: int) -> int:
     return min(max(n, 1), 1000)
 
@@ -53,7 +61,9 @@ def _session_keys(sessions: DataFrame) -> DataFrame:
 def where_usage(rows: DataFrame, sessions: DataFrame, f: UsageFilter) -> DataFrame:
     """Rows that a filter leaves; by project through a semi join, or an anti join for usage without a session."""
     for c, v in (("model", f.model), ("source", f.source), ("device_id", f.device)):
-        if v and c in rows.columns:
+        if v:
+            if c not in rows.columns:
+                raise ValueError(f"rows have no column {c} to filter by")
             rows = rows.filter(F.col(c) == v)
     if f.since:
         rows = rows.filter(F.col("ts") >= F.lit(f.since).cast("timestamp_ntz"))
@@ -70,7 +80,7 @@ def where_usage(rows: DataFrame, sessions: DataFrame, f: UsageFilter) -> DataFra
 
 
 def where_sessions(sessions: DataFrame, usage: DataFrame, messages: DataFrame, f: SessionFilter) -> DataFrame:
-    """Sessions that aren't excluded and that a filter leaves; a search looks at title, project and all messages."""
+    """Sessions that aren't excluded and that a filter leaves; a search looks at title, folder and all messages."""
     rows = sessions.filter(~F.col("excluded"))
     for c, v in (("source", f.source), ("device_id", f.device)):
         rows = rows.filter(F.col(c) == v) if v else rows
@@ -87,10 +97,10 @@ def where_sessions(sessions: DataFrame, usage: DataFrame, messages: DataFrame, f
     if f.model:
         used = usage.filter(F.col("model") == f.model).select(F.col("session_id").alias("id"), "device_id")
         rows = rows.join(used, ["id", "device_id"], "left_semi")
-    if f.search:
-        needle = ascii_lower(F.lit(f.search))
+    if f.search and f.search.strip():
+        needle = ascii_lower(F.lit(f.search.strip()))
         hits = messages.filter(ascii_lower("content").contains(needle)).select(F.col("session_id").alias("id")).distinct().withColumn("hit", F.lit(True))
-        named = ascii_lower("title").contains(needle) | ascii_lower(project_identity("project_dir")).contains(needle)
+        named = ascii_lower("title").contains(needle) | ascii_lower("project_dir").contains(needle)
         rows = rows.join(hits, "id", "left").filter(named | F.col("hit")).drop("hit")
     return rows
 
@@ -164,16 +174,35 @@ def session_models(chosen: DataFrame, usage: DataFrame, messages: DataFrame) ->
     return joined.select("id", "device_id", F.coalesce("model", F.lit("")).alias("model"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "messages")))
 
 
-def project_stats(sessions: DataFrame, usage: DataFrame) -> DataFrame:
-    """Sessions by project, those without usage too, and a row for usage without any session."""
-    listed = session_list(sessions, usage)
+def project_stats(sessions: DataFrame, usage: DataFrame, messages: DataFrame, f: SessionFilter) -> DataFrame:
+    """Sessions by project, those without usage too, and a row for usage without any session.
+
+    Usage of a session that the filter or a soft delete leaves out belongs to a session: it isn't in that row.
+    The row is left out where the filter asks for something that only sessions have.
+    """
+    listed = session_list(where_sessions(sessions, usage, messages, f), usage)
     known = listed.groupBy("project").agg(F.count("*").alias("sessions"), F.sum("requests").alias("requests"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"))
-    keys = _session_keys(sessions).select(*SESSION_KEY)
-    loose = usage.join(keys, SESSION_KEY, "left_anti").agg(F.count("*").alias("requests"), F.sum(total_tokens()).alias("tokens"), F.sum("cost").alias("cost"))
+    if f.favorited or f.group is not None or (f.search and f.search.strip()) or (f.project and f.project != UNKNOWN_PROJECT):
+        return known
+    own = UsageFilter(f.since, f.until, f.model, f.source, f.device, UNKNOWN_PROJECT)
+    loose = where_usage(usage, sessions, own).agg(F.count("*").alias("requests"), F.sum(total_tokens()).alias("tokens"), F.sum("cost").alias("cost"))
     unknown = loose.filter("requests > 0").select(F.lit(UNKNOWN_PROJECT).alias("project"), F.lit(0).cast("bigint").alias("sessions"), "requests", "tokens", F.round(F.col("cost").cast("double"), 6).alias("cost"))
     return known.unionByName(unknown)
 
 
+def projects(sessions: DataFrame, usage: DataFrame, messages: DataFrame, f: UsageFilter) -> DataFrame:
+    """The projects of sessions that aren't excluded, and the unknown one if any usage has no session."""
+    listed = where_sessions(sessions, usage, messages, SessionFilter(f.since, f.until, f.model, f.source, f.device))
+    known = listed.select(project_identity("project_dir").alias("value")).filter("value <> ''").distinct()
+    loose = where_usage(usage, sessions, replace(f, project=UNKNOWN_PROJECT)).limit(1).select(F.lit(UNKNOWN_PROJECT).alias("value"))
+    return known.union(loose)
+
+
+def first_seen(usage: DataFrame, devices: DataFrame) -> DataFrame:
+    """The earliest call of each device that isn't registered."""
+    return usage.join(devices.select("device_id"), "device_id", "left_anti").groupBy("device_id").agg(F.min("ts").alias("first_ts"))
+
+
 def top_models(per_model: DataFrame, n: int) -> DataFrame:
     """The n models with the most tokens, and the rest as one row."""
     order = Window.orderBy(F.desc("total"), "model")  # one row for each model: few
@@ -208,7 +237,10 @@ def conversation(messages: DataFrame) -> DataFrame:
 
 
 def search_snippets(messages: DataFrame, needle: str, around: int = 28) -> DataFrame:
-    """Where a text first occurs in each message, and what stands around it."""
+    """Where a text first occurs in each message, and what stands around it; a blank text occurs nowhere."""
+    needle = needle.strip()
+    if not needle:
+        messages = messages.filter(F.lit(False))
     at = F.instr(F.lower("content"), needle.lower())
     found = messages.withColumn("at", at).filter("at > 0")
     first = F.greatest(F.col("at") - around, F.lit(1))
@@ -226,14 +258,14 @@ def nested(sessions: DataFrame) -> DataFrame:
 
 def day_groups(usage: DataFrame) -> DataFrame:
     """Runs of calls on the same day, newest first, for each device."""
-    order = Window.partitionBy("device_id").orderBy(F.desc("ts"), "uuid")
+    order = Window.partitionBy("device_id").orderBy(F.desc("ts"), "uuid")  # one page of a device's log
     new = (F.lag("day").over(order).isNull() | (F.lag("day").over(order) != F.col("day"))).cast("int")
     marked = usage.withColumn("new", new).withColumn("run", F.sum("new").over(order))
     return marked.groupBy("device_id", "run").agg(F.min("day").alias("day"), F.count("*").alias("requests"))
 
 
-def latest(rows: DataFrame, keys: list[str], stamp: str) -> DataFrame:
-    """The newest row of each key; of equally new ones the first by the other columns."""
-    rest = [c for c in rows.columns if c not in (*keys, stamp)]
-    order = Window.partitionBy(*keys).orderBy(F.desc(stamp), *rest)
-    return rows.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
+def latest(rows: DataFrame, keys: list[str], stamp: str, seen: str) -> DataFrame:
+    """The newest row of each key; of equally new ones the one seen first (the least of column ``seen``)."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(stamp), -F.col(seen))).alias("r"))
+    return best.select(*keys, "r.*")

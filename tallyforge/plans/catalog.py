@@ -23,10 +23,6 @@ IN_WINDOW = "ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20 12:00:
 SEARCH = "customer#00000001"
 
 
-def _usage(f=lambda spark, d: UsageFilter()):
-    return lambda spark, d: u.where_usage(a.usage(spark, d), a.sessions(spark, d), f)
-
-
 def _filtered(f: UsageFilter):
     return lambda s, d: u.where_usage(a.usage(s, d), a.sessions(s, d), f)
 
@@ -45,7 +41,7 @@ def _conversation(s, d):
 
 def _headline(s, d):
     days = u.by(PLAIN(s, d), "day").select("day", "requests")
-    return days.agg(F.sum("requests").alias("requests"), F.round(F.sum("requests") / 16, 6).alias("per_day"), F.max_by("day", F.struct("requests", -F.datediff(F.col("day").cast("date"), F.lit("2024-01-01").cast("date")))).alias("peak"))
+    return days.agg(F.sum("requests").alias("requests"), F.round(F.sum("requests") / u.window_days(WINDOW), 6).alias("per_day"), F.max_by("day", F.struct("requests", -F.datediff(F.col("day").cast("date"), F.lit("2024-01-01").cast("date")))).alias("peak"))
 
 
 def _section(s, d):
@@ -59,8 +55,13 @@ def _device_share(s, d):
     return per.agg(F.count("*").alias("devices"), F.max_by("device_id", F.struct("total", "device_id")).alias("leader"), F.round(F.max("total") / F.sum("total"), 6).alias("share"))
 
 
+#: Stop reasons of the test view, by event_id modulo 10.
+REASONS = ["End_Turn", "tool_use", "MAX_TOKENS", "context_window_exceeded", "limit_exceeded", "refusal", "api_error", "my_tool_use_error", "stop", ""]
+
+
 def _tones(s, d):
-    return a.read(s, d, "events").select(expr.stop_tone(F.concat(F.col("event_type"), F.when(F.col("event_id") % 3 == 0, "_limit").otherwise(""))).alias("tone")).groupBy("tone").count().select("tone", F.col("count").alias("n"))
+    reason = F.element_at(F.array(*map(F.lit, REASONS)), (F.col("event_id") % 10 + 1).cast("int"))
+    return a.read(s, d, "events").groupBy(F.coalesce(expr.stop_tone(reason), F.lit("none")).alias("tone")).agg(F.count("*").alias("n"))
 
 
 def _keys(s, d):
@@ -91,16 +92,20 @@ def _chosen(condition: str) -> str:
 
 
 def _sql(names: str, body: str, extra: str = "") -> str:
-    return "WITH " + ",\n".join(f"{n} AS ({a.SQL[n]})" for n in names.split()) + extra + "\n" + body
+    return a.with_sql(names) + extra + "\n" + body
 
 
-HIT = f"(contains(lower(title), '{SEARCH}') OR contains(lower({PID}), '{SEARCH}') OR id IN (SELECT session_id FROM messages WHERE contains(lower(content), '{SEARCH}')))"
+HIT = f"(contains(lower(title), '{SEARCH}') OR contains(lower(project_dir), '{SEARCH}') OR id IN (SELECT session_id FROM messages WHERE contains(lower(content), '{SEARCH}')))"
 SEMI = f"WHERE EXISTS (SELECT 1 FROM sessions s WHERE s.id = usage.session_id AND s.device_id = usage.device_id AND {PID} = '/work/alpha')"
 ANTI = "WHERE NOT EXISTS (SELECT 1 FROM sessions s WHERE s.id = usage.session_id AND s.device_id = usage.device_id)"
 
 #: Name: (query, SQL).
 CATALOG = {
     "A1_stats": (lambda s, d: u.stats(PLAIN(s, d)), _sql("usage", f"SELECT {SUMS} FROM usage WHERE {IN_WINDOW}")),
+    "A1_all": (lambda s, d: u.stats(a.usage(s, d)), _sql("usage", f"SELECT {SUMS} FROM usage")),
+    "A4_all": (lambda s, d: u.by(a.usage(s, d), "model"), _sql("usage", f"SELECT model, {SUMS} FROM usage GROUP BY model")),
+    "A10_all": (lambda s, d: a.usage(s, d).agg(F.count("*").alias("n")), _sql("usage", "SELECT count(*) AS n FROM usage")),
+    "P5_worktrees": (lambda s, d: _listed(SessionFilter(search="  WORKTREES "))(s, d), _sql("usage sessions messages", LISTED, _chosen("(contains(lower(title), 'worktrees') OR contains(lower(project_dir), 'worktrees') OR id IN (SELECT session_id FROM messages WHERE contains(lower(content), 'worktrees')))"))),
     "P2_project": (lambda s, d: u.stats(IN_ALPHA(s, d)), _sql("usage sessions", f"SELECT {SUMS} FROM usage {SEMI}")),
     "J7_unknown_project": (lambda s, d: u.stats(LOOSE(s, d)), _sql("usage sessions", f"SELECT {SUMS} FROM usage {ANTI}")),
     "A2_turns": (
@@ -131,10 +136,10 @@ CATALOG = {
     "A9_devices": (lambda s, d: u.by(a.usage(s, d), "device_id"), _sql("usage", f"SELECT device_id, {SUMS} FROM usage GROUP BY device_id")),
     "A10_count": (lambda s, d: PLAIN(s, d).agg(F.count("*").alias("n")), _sql("usage", f"SELECT count(*) AS n FROM usage WHERE {IN_WINDOW}")),
     "A11_project_stats": (
-        lambda s, d: u.project_stats(_sessions(NO_FILTER)(s, d), a.usage(s, d)),
+        lambda s, d: u.project_stats(a.sessions(s, d), a.usage(s, d), a.messages(s, d), NO_FILTER),
         _sql("usage sessions", f"""SELECT project, count(*) AS sessions, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 6) AS cost
          FROM ({LISTED}) GROUP BY project UNION ALL SELECT '{UNKNOWN_PROJECT}', 0, count(*), CAST(sum({TOTAL}) AS BIGINT), round(CAST(sum(cost) AS DOUBLE), 6)
-         FROM usage WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.id = usage.session_id AND c.device_id = usage.device_id) HAVING count(*) > 0""", _chosen("true")),
+         FROM usage {ANTI} HAVING count(*) > 0""", _chosen("true")),
     ),
     "A12_session_models": (
         lambda s, d: u.session_models(_sessions(NO_FILTER)(s, d), a.usage(s, d), a.messages(s, d)),
@@ -145,10 +150,13 @@ CATALOG = {
     "A13_group_counts": (lambda s, d: _sessions(NO_FILTER)(s, d).groupBy("local_group").agg(F.count("*").alias("n")), _sql("sessions", "SELECT local_group, count(*) AS n FROM c GROUP BY 1", _chosen("true"))),
     "A15_sources": (lambda s, d: u.facet(PLAIN(s, d), "source"), _sql("usage", f"SELECT DISTINCT source AS value FROM usage WHERE source <> '' AND {IN_WINDOW}")),
     "A16_projects": (
-        lambda s, d: a.sessions(s, d).select(expr.project_identity("project_dir").alias("value")).filter("value <> ''").distinct(),
-        _sql("sessions", f"SELECT DISTINCT {PID} AS value FROM sessions WHERE {PID} <> ''"),
+        lambda s, d: u.projects(a.sessions(s, d), a.usage(s, d), a.messages(s, d), UsageFilter()),
+        _sql("usage sessions", f"SELECT DISTINCT {PID} AS value FROM sessions WHERE NOT excluded AND {PID} <> '' UNION ALL SELECT '{UNKNOWN_PROJECT}' WHERE EXISTS (SELECT 1 FROM usage {ANTI})"),
+    ),
+    "A17_first_seen": (
+        lambda s, d: u.first_seen(a.usage(s, d), a.sessions(s, d).filter("NOT excluded AND favorited").select("device_id").distinct().filter("device_id <> 'd1'")),
+        _sql("usage sessions", "SELECT device_id, min(ts) AS first_ts FROM usage WHERE device_id NOT IN (SELECT device_id FROM sessions WHERE NOT excluded AND favorited AND device_id <> 'd1') GROUP BY 1"),
     ),
-    "A17_first_seen": (lambda s, d: a.usage(s, d).filter("device_id <> 'd0'").groupBy("device_id").agg(F.min("ts").alias("first_ts")), _sql("usage", "SELECT device_id, min(ts) AS first_ts FROM usage WHERE device_id <> 'd0' GROUP BY 1")),
     "A19_changes": (lambda s, d: a.usage(s, d).groupBy("day", "device_id").agg(F.count("*").alias("n")), _sql("usage", "SELECT day, device_id, count(*) AS n FROM usage GROUP BY ALL")),
     "W2_log_page": (lambda s, d: _page(PLAIN(s, d).select("uuid", "device_id", "ts", "model"), [F.desc("ts"), "uuid", "device_id"]), _sql("usage", f"SELECT uuid, device_id, ts, model FROM usage WHERE {IN_WINDOW} ORDER BY ts DESC, uuid, device_id LIMIT 50 OFFSET 20")),
     "W3_session_page": (lambda s, d: _page(_listed(NO_FILTER)(s, d), [F.desc("last_active_at"), "id", "device_id"], 30, 10), _sql("usage sessions", LISTED + " ORDER BY last_active_at DESC, id, device_id LIMIT 30 OFFSET 10", _chosen("true"))),
@@ -184,8 +192,10 @@ CATALOG = {
     ),
     "C12_tones": (
         _tones,
-        """SELECT CASE WHEN r LIKE '%error%' OR r LIKE '%fail%' THEN 'error' WHEN r LIKE '%limit%' OR r LIKE '%max%' OR r LIKE '%length%' THEN 'limit' ELSE 'other' END AS tone, count(*) AS n
-         FROM (SELECT event_type || CASE WHEN event_id % 3 = 0 THEN '_limit' ELSE '' END AS r FROM events) GROUP BY 1""",
+        """WITH r AS (SELECT lower(list_extract(['End_Turn', 'tool_use', 'MAX_TOKENS', 'context_window_exceeded', 'limit_exceeded', 'refusal', 'api_error', 'my_tool_use_error', 'stop', ''], CAST(event_id % 10 + 1 AS INTEGER))) AS r FROM events)
+         SELECT CASE WHEN r = 'end_turn' THEN 'success' WHEN r = 'tool_use' THEN 'tool' WHEN r IN ('max_tokens', 'context_window', 'exceeded') THEN 'warn' WHEN r IN ('refusal', 'error') THEN 'error'
+          WHEN r LIKE '%end\\_turn%' ESCAPE '\\' THEN 'success' WHEN r LIKE '%tool\\_use%' ESCAPE '\\' THEN 'tool' WHEN r LIKE '%max\\_tokens%' ESCAPE '\\' THEN 'warn' WHEN r LIKE '%context\\_window%' ESCAPE '\\' THEN 'warn' WHEN r LIKE '%exceeded%' THEN 'warn'
+          WHEN r LIKE '%refusal%' THEN 'error' WHEN r LIKE '%error%' THEN 'error' ELSE 'none' END AS tone, count(*) AS n FROM r GROUP BY 1""",
     ),
     "C21_conversation": (
         _conversation,

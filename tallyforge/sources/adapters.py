@@ -65,15 +65,18 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each transcript message."""
-    return read(spark, sf_dir, "conversations").select(
+    """One row for each transcript message; every third comes from two devices, and even assistant turns use a tool before."""
+    base = read(spark, sf_dir, "conversations").select(
         F.concat(F.lit("s"), F.col("conv_id")).alias("session_id"),
         F.concat(F.lit("d"), F.col("conv_id") % 3).alias("device_id"),
         F.concat_ws("-", "conv_id", "turn").alias("uuid"),
         "role",
-        F.col("turn").alias("ts"),
+        (F.col("turn") * 2 + 1).alias("ts"),
         F.coalesce("text", F.lit("")).alias("content"),
     )
+    tools = base.filter("role = 'assistant' AND ts % 4 = 3").withColumns({"uuid": F.concat("uuid", F.lit("#tool0")), "role": F.lit("tool"), "ts": F.col("ts") - F.when(F.col("session_id").endswith("1"), 1).otherwise(-1), "content": F.lit('{"path":"x"}')})
+    own = base.union(tools)
+    return own.union(own.filter("ts % 3 = 0").withColumn("device_id", F.lit("d9")))
 
 
 _SESSION = "CASE WHEN event_id % 11 = 0 THEN '' ELSE 's' || user_id END"
@@ -97,11 +100,14 @@ SQL = {
         CASE WHEN u.user_id % 9 = 0 THEN 's' || (u.user_id - 3) ELSE '' END AS parent_session_id, started_at, last_active_at
         FROM (SELECT user_id, min(ts) AS started_at, max(ts) AS last_active_at FROM events WHERE user_id % 7 <> 0 GROUP BY user_id) u
         LEFT JOIN customer ON c_custkey = u.user_id""",
-    "messages": """SELECT 's' || conv_id AS session_id, 'd' || (conv_id % 3) AS device_id, conv_id || '-' || turn AS uuid, role,
-        turn AS ts, coalesce(text, '') AS content FROM conversations""",
+    "messages": """SELECT * FROM (SELECT * FROM base UNION ALL SELECT session_id, device_id, uuid || '#tool0', 'tool', ts - CASE WHEN session_id LIKE '%1' THEN 1 ELSE -1 END, '{"path":"x"}' FROM base WHERE role = 'assistant' AND ts % 4 = 3)
+        UNION ALL SELECT session_id, 'd9', uuid, role, ts, content FROM (SELECT * FROM base UNION ALL SELECT session_id, device_id, uuid || '#tool0', 'tool', ts - CASE WHEN session_id LIKE '%1' THEN 1 ELSE -1 END, '{"path":"x"}' FROM base WHERE role = 'assistant' AND ts % 4 = 3) WHERE ts % 3 = 0""",
+    "base": """SELECT 's' || conv_id AS session_id, 'd' || (conv_id % 3) AS device_id, conv_id || '-' || turn AS uuid, role,
+        turn * 2 + 1 AS ts, coalesce(text, '') AS content FROM conversations""",
 }
 
 
-def sql(body: str, *names: str) -> str:
-    """A query over some of the views."""
-    return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in names) + "\n" + body
+def with_sql(names: str) -> str:
+    """The views of the given names as common table expressions."""
+    wanted = [n for name in names.split() for n in (("base", name) if name == "messages" else (name,))]
+    return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in wanted)
