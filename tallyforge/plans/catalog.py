@@ -8,6 +8,7 @@ from tallyforge.functions import expr
 from tallyforge.functions.expr import UNKNOWN_PROJECT
 from tallyforge.operators import pricing, usage as u
 from tallyforge.operators.usage import SessionFilter, UsageFilter
+from tallyforge.plans import log_catalog
 from tallyforge.sources import adapters as a
 
 WINDOW = UsageFilter(since="2024-01-05T00:00:00", until="2024-01-20T12:00:00")
@@ -228,9 +229,13 @@ CATALOG = {
 }
 
 
+def _all() -> dict:
+    return CATALOG | log_catalog.CATALOG
+
+
 def queries() -> dict:
-    return {name: q for name, (q, _) in CATALOG.items()}
+    return {name: q for name, (q, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in CATALOG.items()}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
