@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import free_name, partitions, pieces, window_hashes, word_digests, written
+from tallyforge.llm.common import free_name, mix, partitions, pieces, window_hashes, word_digests, written
 
 SIZE = 50
 LAST = (1 << 63) - 1
@@ -59,6 +59,11 @@ def class_of(h: np.ndarray, classes: int) -> np.ndarray:
     return ((h >> _U(32)) % _U(classes)).astype(np.int64)
 
 
+def bucket_of(key: np.ndarray, own_id: np.ndarray, classes: int) -> np.ndarray:
+    """The class where a document's findings gather; copies of a text are in different ones."""
+    return (mix(key.astype(_U) ^ mix(own_id.astype(_U))) % _U(classes)).astype(np.int64)
+
+
 def _starts(*columns: np.ndarray) -> np.ndarray:
     """Where a new value of sorted columns starts."""
     n = len(columns[0])
@@ -99,7 +104,7 @@ def _by_class(sent: DataFrame, parts: int, run, schema: str) -> DataFrame:
 
 
 class _Found:
-    """Places found for documents, handed on packed by class of the document's key."""
+    """Places found for documents, handed on packed by the document's class."""
 
     def __init__(self, kind: str, classes: int):
         self.kind, self.classes, self.held, self.rows = kind, classes, 0, []
@@ -115,7 +120,7 @@ class _Found:
         if self.rows:
             key, own_id, value = (np.concatenate(c) for c in zip(*self.rows, strict=True))
             self.held, self.rows = 0, []
-            own = (key.astype(_U) % _U(self.classes)).astype(np.int64)
+            own = bucket_of(key, own_id, self.classes)
             order = np.lexsort((own_id, key, own))
             key, own_id, own, value = key[order], own_id[order], own[order], value[order].astype(self.kind)
             doc = _starts(own, key, own_id)
@@ -147,12 +152,13 @@ def _gathered(found: DataFrame, kind: str, name: str, parts: int) -> DataFrame:
     return _by_class(found, parts, run, f"sub_key bigint, sub_id bigint, {name} binary")
 
 
-def _per_document(key: np.ndarray, own_id: np.ndarray, value: np.ndarray):
-    """(key, id, values) of each document."""
+def _per_document(key: np.ndarray, own_id: np.ndarray, value: np.ndarray, classes: int):
+    """(class, key, id, values) of each document."""
     order = np.lexsort((own_id, key))
     start = _starts(key[order], own_id[order])
-    for at in np.split(order, start[1:]) if len(order) else ():
-        yield key[at[0]], own_id[at[0]], np.unique(value[at])
+    own = bucket_of(key[order][start], own_id[order][start], classes).tolist()
+    for c, at in zip(own, np.split(order, start[1:]) if len(order) else (), strict=True):
+        yield c, key[at[0]], own_id[at[0]], np.unique(value[at])
 
 
 def _anchor_rows(docs: list[tuple[int, int, np.ndarray, np.ndarray]], classes: int) -> Iterator[tuple]:
@@ -168,8 +174,8 @@ def _anchor_rows(docs: list[tuple[int, int, np.ndarray, np.ndarray]], classes: i
     several = np.logical_or.reduceat(doc != doc[first][group], first)
     is_block = np.logical_or.reduceat(block, first)
     known = several[group]
-    for key, own_id, found in _per_document(keys[doc[known]], ids[doc[known]], low[known]):
-        yield int(key.astype(_U) % _U(classes)), 1, 0, found.astype("<i8").tobytes(), key.tobytes(), own_id.tobytes(), None
+    for own, key, own_id, found in _per_document(keys[doc[known]], ids[doc[known]], low[known], classes):
+        yield own, 1, 0, found.astype("<i8").tobytes(), key.tobytes(), own_id.tobytes(), None
     owner, low = doc[first], low[first]
     ends = np.searchsorted(low >> 32, np.arange(classes + 1))
     for c in np.flatnonzero(np.diff(ends)):
@@ -250,8 +256,8 @@ def _run_rows(members: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]
     first = _starts(h, g)
     least = np.repeat(ids[doc[first]], np.diff(np.append(first, len(h))))
     later = ids[doc] > least
-    for key, own_id, found in _per_document(keys[doc[later]], ids[doc[later]], at[later]):
-        yield int(key.astype(_U) % _U(classes)), 1, None, None, found.astype("<u4").tobytes(), key.tobytes(), own_id.tobytes(), None
+    for own, key, own_id, found in _per_document(keys[doc[later]], ids[doc[later]], at[later], classes):
+        yield own, 1, None, None, found.astype("<u4").tobytes(), key.tobytes(), own_id.tobytes(), None
     doc, at, h, g = doc[~later], at[~later], h[~later], g[~later]
     own = class_of(h, classes)
     order = np.lexsort((at, doc, own))

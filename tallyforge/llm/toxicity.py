@@ -1,8 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 A bounded, documented sample of labelled documents (PER_CLASS of each label, those of the smallest hash of
-doc_id) makes the examples. All their words are terms, and so are the beginnings (BEGINNING letters, marked by
-an asterisk) of their longer words, so that forms of a word count as alike. Document frequencies for IDF are counted over all
+doc_id) makes the examples. All their words are terms. Document frequencies for IDF are counted over all
 documents. A term's weight is its IDF times FLOOR plus what it tells about toxicity: the lower bound, at
 Z standard errors, of the logarithm of how much more often toxic examples have it. Words outside the sample
 have no weight.
@@ -26,6 +25,7 @@ from collections import Counter
 
 import numpy as np
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,24 +33,16 @@ from tallyforge.llm.common import pieces, written
 from tallyforge.llm.language import held_out
 
 #: Examples of each label, neighbours, examples of a block.
-PER_CLASS, NEIGHBOURS, BLOCK = {1: 2000, 0: 6000}, 25, 256
+PER_CLASS, NEIGHBOURS, BLOCK = {1: 1000, 0: 3000}, 25, 256
 #: What a term weighs that tells nothing, and the standard errors of the lower bound of what it tells.
 FLOOR, Z = 0.05, 2.0
-BEGINNING = 5
 THRESHOLD = 0.3
 WORDS = regex.compile(r"\p{L}+")
 
 
 def terms_of(text: str | None) -> dict[str, int]:
-    """How often each term is in a text."""
-    counts = Counter(WORDS.findall(text.lower()) if text else ())
-    begun = {}
-    for word, n in counts.items():
-        if len(word) > BEGINNING:
-            start = word[:BEGINNING] + "*"
-            begun[start] = begun.get(start, 0) + n
-    counts |= begun
-    return counts
+    """How often each word is in a text."""
+    return Counter(WORDS.findall(text.lower()) if text else ())
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
@@ -98,6 +90,7 @@ def document_frequencies(docs: DataFrame, places: dict[str, int]) -> tuple[int,
         yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], ["term", "n"])
 
     found = docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     out = np.zeros(len(places) + 1, np.int64)
     out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return int(out[-1]), out[:-1]
@@ -136,17 +129,14 @@ class Index:
         row = np.repeat(np.arange(len(order)), sizes)
         term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
         value = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        self.own_terms = np.split(term, np.cumsum(sizes)[:-1]) if order else []
         by_term = np.lexsort((row, term))
-        term, self.row, self.value = term[by_term], row[by_term].astype(np.int32), value[by_term]
+        term, self.row, self.value = term[by_term], row[by_term].astype(np.int32), value[by_term].astype(np.float32)
         key = term * self.blocks + self.row // BLOCK
         first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.first = np.append(first, len(key))
-        self.block_of = (key[first] % self.blocks).astype(np.int32)
-        self.most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
-        self.of_term = np.searchsorted(key[first] // self.blocks, np.arange(len(weight) + 1))
-        #: The score of each vote, learned by ``calibrate``, and that of texts without a term.
-        self.votes, self.shares, self.bare = np.array([0.0, 1.0]), np.array([0.0, 1.0]), self.prior
+        self.first = np.append(first, len(key)).astype(np.int32)
+        self.block_of = (key[first] % self.blocks).astype(np.int16)
+        self.most = np.maximum.reduceat(self.value, first) if len(first) else self.value
+        self.of_term = np.searchsorted(key[first] // self.blocks, np.arange(len(weight) + 1)).astype(np.int32)
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms of a text, ascending, and their weights, of length 1."""
@@ -166,7 +156,7 @@ class Index:
         bounds = np.bincount(block, weight * self.most[at], self.blocks)
         order = np.argsort(-bounds, kind="stable")
         found, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        done, step = 0, 2
+        done, step = 0, 4
         while done < len(order):
             chosen = order[done : done + step]
             chosen = chosen[(bounds[chosen] > 0) & (bounds[chosen] >= least - 1e-9)]
@@ -201,18 +191,26 @@ class Index:
 
     def in_common(self, at: int, terms: np.ndarray, most: int = 3) -> list[int]:
         """The first of the terms that an example has too."""
-        own = self.own_terms[at]
-        return terms[own[np.minimum(np.searchsorted(own, terms), len(own) - 1)] == terms][:most].tolist()
-
-    def calibrate(self, told: list[tuple[int, int, float | None]]) -> None:
-        """Learns what votes are worth from (doc_id, toxic, vote) of the examples."""
-        stands_for = dict(zip(self.ids.tolist(), self.stands_for, strict=True))
+        out = []
+        for t in terms.tolist():
+            own = self.row[self.first[self.of_term[t]] : self.first[self.of_term[t + 1]]]
+            k = int(np.searchsorted(own, at))
+            if k < len(own) and own[k] == at:
+                out.append(t)
+                if len(out) == most:
+                    break
+        return out
+
+
+class Calibration:
+    """What votes are worth, learned from (doc_id, toxic, vote) of the examples, and the score of texts without a vote."""
+
+    def __init__(self, index: Index, told: list[tuple[int, int, float | None]]):
+        stands_for = dict(zip(index.ids.tolist(), index.stands_for.tolist(), strict=True))
         bare = [(stands_for[i], y) for i, y, v in told if v is None]
-        if bare:
-            self.bare = sum(w * y for w, y in bare) / sum(w for w, _ in bare)
-        rest = sorted((v, y, stands_for[i]) for i, y, v in told if v is not None)
-        if rest:
-            self.votes, self.shares = isotonic(*(np.array(c, np.float64) for c in zip(*rest, strict=True)))
+        self.bare = sum(w * y for w, y in bare) / sum(w for w, _ in bare) if bare else index.prior
+        rest = sorted((v, y, stands_for[i]) for i, y, v in told if v is not None) or [(0.0, index.prior, 1.0)]
+        self.votes, self.shares = isotonic(*(np.array(c, np.float64) for c in zip(*rest, strict=True)))
 
     def score(self, vote: float | None) -> float:
         return float(self.bare if vote is None else np.interp(vote, self.votes, self.shares))
@@ -230,8 +228,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return sx / total, sy / total
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> Index | None:
-    """The calibrated index; none where no documents of both labels are known."""
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, Calibration] | None:
+    """The index, sent to the executors, and its calibration; nothing where no documents of both labels are known."""
     sample, number = sampled(docs, labels)
     examples = tallied(sample)
     n = Counter(y for _, y, _ in examples)
@@ -255,21 +253,19 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Index | None:
             yield pa.RecordBatch.from_arrays([ids, batch.column("toxic"), pa.array(votes, pa.float64())], ["doc_id", "toxic", "vote"])
 
     spread = sample.select("doc_id", "toxic", "text").repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
-    index.calibrate([tuple(r) for r in spread.mapInArrow(run, "doc_id bigint, toxic int, vote double").collect()])
-    shared.unpersist()
-    return index
+    told = [tuple(r) for r in spread.mapInArrow(run, "doc_id bigint, toxic int, vote double").collect()]
+    return shared, Calibration(index, told)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, nearest_example, evidence of each document."""
-    index = fitted(docs, labels)
+    shared, calibration = fitted(docs, labels) or (None, None)
     names = ["doc_id", "held_out", "score", "predicted", "nearest_example", "evidence"]
-    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         import pyarrow as pa
 
-        own = shared.value
+        own = shared.value if shared else None
         words = sorted(own.places) if own else []
         for batch in batches:
             for part in pieces(batch):
@@ -277,7 +273,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 for text in part.column("text").to_pylist():
                     vote, at, terms = own.vote(terms_of(text)) if own else (None, None, [])
                     evidence = None if at is None else " ".join(words[t] for t in own.in_common(at, terms))
-                    out.append((own.score(vote) if own else 0.0, None if at is None else int(own.ids[at]), evidence))
+                    out.append((calibration.score(vote) if own else 0.0, None if at is None else int(own.ids[at]), evidence))
                 score = np.array([o[0] for o in out], np.float64)
                 columns = [part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names)
