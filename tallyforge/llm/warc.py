@@ -51,27 +51,33 @@ def _possessive(pattern: str) -> str:
 
 
 def _resolved(text: Column) -> Column:
-    """A text with its character references resolved, each once."""
+    """A text (a column, which is named several times) with its character references resolved, each once."""
     names = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))
-    parts = F.split(text, "&", -1)
+    # Each step names what the one before worked out, so that nothing is worked out twice.
+    parts = F.transform(F.split(text, "&", -1), lambda p, i: F.struct(p.alias("p"), F.when(i > 0, F.regexp_extract(p, REFERENCE, 1)).alias("ref")))
+    number = lambda r: F.when(r.rlike("^#[xX]"), F.conv(F.substring(r, F.lit(3), F.lit(8)), 16, 10)).when(r.startswith("#"), F.substring(r, F.lit(2), F.lit(8))).cast("int")
+    parts = F.transform(parts, lambda x: F.struct(x["p"].alias("p"), x["ref"].alias("ref"), F.when(x["ref"] != "", number(x["ref"])).alias("code")))
 
-    def part(p: Column) -> Column:
-        ref = F.regexp_extract(p, REFERENCE, 1)
-        code = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, F.lit(3), F.lit(8)), 16, 10)).when(ref.startswith("#"), F.substring(ref, F.lit(2), F.lit(8))).cast("int")
+    def char(x: Column) -> Column:
+        code = x["code"]
         valid = ((code >= 1) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
-        char = F.when(ref.startswith("#"), F.when(code == 160, F.lit(" ")).when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).when(ref != "", F.element_at(names, ref))
-        return F.coalesce(F.concat(char, F.substring(p, F.length(ref) + 2, F.length(p))), F.concat(F.lit("&"), p))
+        return F.when(code == 160, F.lit(" ")).when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(code.isNull() & (x["ref"] != ""), F.element_at(names, x["ref"]))
 
-    tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), part)
-    return F.when(text.contains("&"), F.concat(F.element_at(parts, 1), F.array_join(tail, ""))).otherwise(text)
+    def joined(x: Column) -> Column:
+        resolved = F.when(x["ref"] != "", F.concat(char(x), F.substring(x["p"], F.length(x["ref"]) + 2, F.length(x["p"]))))
+        return F.when(x["ref"].isNull(), x["p"]).otherwise(F.coalesce(resolved, F.concat(F.lit("&"), x["p"])))
 
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, joined), "")).otherwise(text)
 
-def plain_text(html: Column) -> Column:
-    """The text of an HTML page."""
-    text = html
+
+def bare(html: Column) -> Column:
+    """HTML without markup; character references stay."""
     for pattern, new in STEPS:
-        text = F.regexp_replace(text, _possessive(pattern), new)
-    text = _resolved(text)
+        html = F.regexp_replace(html, _possessive(pattern), new)
+    return html
+
+
+def folded(text: Column) -> Column:
     for pattern, new in FOLDS:
         text = F.regexp_replace(text, pattern, new)
     return text
@@ -149,8 +155,10 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 
 def derivatives(source: DataFrame) -> DataFrame:
     """Two records of each response: one of type metadata, one of type conversion."""
-    text = source.select("page_id", "record_id", "target_uri", "date", "http_headers", "payload", plain_text(F.col("payload")).alias("plain"))
-    title = _resolved(F.regexp_extract("payload", r"(?is)<title[^<>]*>([^<]*)", 1))
+    named = F.regexp_extract("payload", r"(?is)<title[^<>]*>([^<]*)", 1)
+    text = source.select("page_id", "record_id", "target_uri", "date", "http_headers", "payload", bare(F.col("payload")).alias("bare"), named.alias("title"))
+    text = text.withColumn("plain", folded(_resolved(F.col("bare"))))
+    title = _resolved(F.col("title"))
     lang = F.regexp_extract("payload", r'(?i)<html[^<>]*\slang="([^">]*)"', 1)
     links = F.regexp_count("payload", F.lit(r"(?i)<a\s[^<>]*href="))
     line = lambda c: F.regexp_replace(c, r"\s+", " ")
