@@ -36,6 +36,8 @@ from tallyforge.llm.language import held_out
 PER_CLASS, NEIGHBOURS, BLOCK = {1: 1000, 0: 3000}, 25, 256
 #: What a term weighs that tells nothing, and the standard errors of the lower bound of what it tells.
 FLOOR, Z = 0.05, 2.0
+#: Share of the examples from which a term's postings are kept whole.
+OFTEN = 1 / 16
 THRESHOLD = 0.3
 WORDS = regex.compile(r"\p{L}+")
 
@@ -112,7 +114,7 @@ class Index:
     """Examples by term, in blocks with the largest weight of each term."""
 
     def __init__(self, places: dict[str, int], weight: np.ndarray, examples: list[tuple[int, int, dict[str, int]]], number: dict[int, int]):
-        self.places, self.weight = places, weight
+        self.places, self.weight, self.size = places, weight, BLOCK
         vectors = [self.vector(c) for _, _, c in examples]
         # Examples that are alike stand together: by label, most frequent word and heaviest term.
         frequent = [max(c, key=lambda w, c=c: (c[w], w)) if c else "" for _, _, c in examples]
@@ -137,6 +139,13 @@ class Index:
         self.block_of = (key[first] % self.blocks).astype(np.int16)
         self.most = np.maximum.reduceat(self.value, first) if len(first) else self.value
         self.of_term = np.searchsorted(key[first] // self.blocks, np.arange(len(weight) + 1)).astype(np.int32)
+        # Postings of terms that many examples have are kept whole, with zeros where an example lacks the term.
+        often = np.flatnonzero(np.bincount(term, minlength=len(weight)) >= max(2, len(order) * OFTEN))
+        self.whole = np.full(len(weight), -1, np.int32)
+        self.whole[often] = np.arange(len(often))
+        self.postings = np.zeros((len(often), len(order)), np.float32)
+        held = self.whole[term] >= 0
+        self.postings[self.whole[term[held]], self.row[held]] = self.value[held]
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms of a text, ascending, and their weights, of length 1."""
@@ -153,31 +162,36 @@ class Index:
         start, length = self.of_term[terms], self.of_term[terms + 1] - self.of_term[terms]
         at, weight = _ragged(start, length), np.repeat(q, length)
         block = self.block_of[at]
+        own = self.whole[terms]
+        frequent = own >= 0
+        sums = (q[frequent].astype(np.float32) @ self.postings[own[frequent]]).astype(np.float64)
+        rare = np.repeat(~frequent, length)
         bounds = np.bincount(block, weight * self.most[at], self.blocks)
         order = np.argsort(-bounds, kind="stable")
         found, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
         done, step = 0, 4
         while done < len(order):
             chosen = order[done : done + step]
-            chosen = chosen[(bounds[chosen] > 0) & (bounds[chosen] >= least - 1e-9)]
+            chosen = chosen[(bounds[chosen] > 0) & (bounds[chosen] >= least - 1e-6)]
             if not len(chosen):
                 break
             wanted = np.zeros(self.blocks, bool)
             wanted[chosen] = True
-            here = wanted[block]
+            here = rare & wanted[block]
             posting, n = self.first[at[here]], self.first[at[here] + 1] - self.first[at[here]]
             entry = _ragged(posting, n)
             scores = np.bincount(self.row[entry], np.repeat(weight[here], n) * self.value[entry], len(self.ids))
+            scores = scores + np.where(np.repeat(wanted, self.size)[: len(scores)], sums, 0)
             if but is not None:
                 scores[self.ids == but] = 0
             new = np.flatnonzero(scores)
             found, cosines = np.concatenate([found, new]), np.concatenate([cosines, scores[new]])
             if len(found) > k:
-                best = np.lexsort((self.ids[found], -cosines))[:k]
+                best = np.lexsort((self.ids[found], -np.round(cosines, 6)))[:k]  # equal examples aren't told apart by the order of additions
                 found, cosines = found[best], cosines[best]
                 least = cosines[-1]
             done, step = done + step, 2 * step
-        best = np.lexsort((self.ids[found], -cosines))[:k]
+        best = np.lexsort((self.ids[found], -np.round(cosines, 6)))[:k]
         return found[best], cosines[best]
 
     def vote(self, counts: dict[str, int], but: int | None = None) -> tuple[float | None, int | None, np.ndarray]:
