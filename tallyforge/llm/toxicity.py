@@ -22,6 +22,7 @@ other columns are ignored. Texts are read whole.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import regex
@@ -110,6 +111,17 @@ def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(length.sum()) + np.repeat(start - np.cumsum(length) + length, length)
 
 
+def _best(ids: np.ndarray, cosines: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest cosines, largest first, of equal ones the smallest ids.
+
+    Cosines are compared to six digits, so that equal examples aren't told apart by the order of additions.
+    """
+    at = np.arange(len(cosines))
+    if len(cosines) > k:
+        at = np.flatnonzero(cosines >= np.partition(cosines, -k)[-k] - 1e-6)
+    return at[np.lexsort((ids[at], -np.round(cosines[at], 6)))[:k]]
+
+
 class Index:
     """Examples by term, in blocks with the largest weight of each term."""
 
@@ -150,7 +162,7 @@ class Index:
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms of a text, ascending, and their weights, of length 1."""
         places = self.places
-        terms = np.array([places.get(w, -1) for w in counts], np.int64)
+        terms = np.fromiter(map(places.get, counts, repeat(-1)), np.int64, len(counts))
         n = np.fromiter(counts.values(), np.float64, len(counts))
         order = np.argsort(terms)[np.count_nonzero(terms < 0) :]
         terms = terms[order]
@@ -187,11 +199,11 @@ class Index:
             new = np.flatnonzero(scores)
             found, cosines = np.concatenate([found, new]), np.concatenate([cosines, scores[new]])
             if len(found) > k:
-                best = np.lexsort((self.ids[found], -np.round(cosines, 6)))[:k]  # equal examples aren't told apart by the order of additions
+                best = _best(self.ids[found], cosines, k)
                 found, cosines = found[best], cosines[best]
                 least = cosines[-1]
             done, step = done + step, 2 * step
-        best = np.lexsort((self.ids[found], -np.round(cosines, 6)))[:k]
+        best = _best(self.ids[found], cosines, k)
         return found[best], cosines[best]
 
     def vote(self, counts: dict[str, int], but: int | None = None) -> tuple[float | None, int | None, np.ndarray]:
