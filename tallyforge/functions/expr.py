@@ -74,6 +74,11 @@ def stop_tone(reason: Column) -> Column:
     return tone
 
 
+def iso_millis(ms: Column) -> Column:
+    """Milliseconds since 1970 as a UTC time, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_millis(ms), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def basename(path: Column) -> Column:
     """The last part of a path, by either separator."""
     return F.regexp_extract(path, r"([^/\\]*)[/\\]*$", 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.expr import TITLE_LIMIT, fresh_input, truncated
+from tallyforge.functions.expr import TITLE_LIMIT, fresh_input, iso_millis, truncated
 from tallyforge.operators.thread_log import _trimmed
 
 CHAT = """sessionId string, startTime string, lastUpdated string, messages array<struct<id: string, type: string, timestamp: string, model: string, content: string,
@@ -63,3 +63,50 @@ def update_usage(lines: DataFrame) -> DataFrame:
     fresh, cached = fresh_input(n("inputTokens"), n("cachedReadTokens"))
     out = each.select(F.concat_ws(":", F.lit("grok:turn"), "session_id", "turn", "model").alias("uuid"), "timestamp", "model", F.lit("grok").alias("source"), "session_id", fresh.alias("input"), n("outputTokens").alias("output"), F.lit(0).cast("bigint").alias("cache_creation"), cached.alias("cache_read"))
     return out.filter("input > 0 OR output > 0 OR cache_read > 0")
+
+
+SUMMARY = "info struct<id: string, cwd: string>, generated_title string, session_summary string, created_at string, last_active_at string, updated_at string"
+HISTORY = "type string, content string, name string, tool_name string, timestamp string, ts string"
+FOLDER, FOLDER_NAME = r"^(.*)[/\\][^/\\]+$", r"([^/\\]+)[/\\][^/\\]+$"
+
+
+def _instant(told: Column) -> Column:
+    """Seconds or (beyond 1e11) milliseconds since 1970, or a time with its offset, as a UTC time; empty if it is none."""
+    n = F.when(told.rlike(r"\A-?[0-9]{1,18}\z"), told.cast("bigint"))
+    whole = F.when(n > 100_000_000_000, F.floor(n / 1000)).otherwise(n).cast("bigint")
+    stamp = F.when(told.rlike(r"\A\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)\z"), F.unix_millis(F.try_to_timestamp(F.upper(told))))
+    return F.coalesce(iso_millis(F.coalesce(whole * 1000, stamp)), F.lit(""))
+
+
+def _history(lines: DataFrame) -> DataFrame:
+    """Lines of transcripts with ``said``, the text of their content (a text, or a list of blocks), trimmed."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), "$.content", "variant"))
+    texts = F.filter(F.from_json("e.content", "array<struct<type: string, text: string>>"), lambda b: (b["type"] == "text") & b["text"].isNotNull())
+    said = F.when(kind == "STRING", F.col("e.content")).when(kind.startswith("ARRAY"), F.array_join(F.transform(texts, lambda b: b["text"]), "\n"))
+    rows = lines.select("path", "after", "line", "value", F.from_json("value", HISTORY).alias("e"))
+    return rows.select("path", "after", "line", "e", _trimmed(F.coalesce(said, F.lit(""))).alias("said"))
+
+
+def update_sessions(summaries: DataFrame, history: DataFrame) -> DataFrame:
+    """One row for each summary file (path, value); history has the lines of the transcripts beside them.
+
+    The title is the one generated, else the summary's, else the first text of a user. A folder with a transcript but
+    without a summary is a session that tells its name alone.
+    """
+    said = _history(history).filter("e.type = 'user' AND said <> ''").groupBy(F.regexp_extract("path", FOLDER, 1).alias("folder")).agg(F.min_by("said", "line").alias("said"))
+    told = summaries.select(F.regexp_extract("path", FOLDER, 1).alias("folder"), F.regexp_extract("path", FOLDER_NAME, 1).alias("name"), F.from_json("value", SUMMARY).alias("s"))
+    filled = lambda c: F.nullif(_trimmed(F.col(c)), F.lit(""))
+    title = truncated(F.coalesce(filled("s.generated_title"), filled("s.session_summary"), "said", F.lit("")), TITLE_LIMIT)
+    full = told.join(said, "folder", "left").select(F.coalesce(F.nullif("s.info.id", F.lit("")), "name").alias("id"), F.coalesce("s.info.cwd", F.lit("")).alias("project_dir"), title.alias("title_orig"), _instant(F.col("s.created_at")).alias("started_at"), _instant(F.coalesce("s.last_active_at", "s.updated_at")).alias("last_active_at"))
+    empty = F.lit("")
+    bare = history.select(F.regexp_extract("path", FOLDER, 1).alias("folder"), F.regexp_extract("path", FOLDER_NAME, 1).alias("id")).distinct().join(told.select("folder"), "folder", "left_anti")
+    both = full.unionByName(bare.select("id", empty.alias("project_dir"), empty.alias("title_orig"), empty.alias("started_at"), empty.alias("last_active_at")))
+    return both.select("id", F.lit("grok").alias("source"), "project_dir", "title_orig", "started_at", "last_active_at", empty.alias("agent_type"), empty.alias("parent_session_id"))
+
+
+def update_messages(lines: DataFrame) -> DataFrame:
+    """Transcript messages with a text; a message is known by its line."""
+    rows = _history(lines).filter("line > after AND said <> '' AND e.type IN ('user', 'assistant', 'tool', 'system')")
+    session = F.regexp_extract("path", FOLDER_NAME, 1)
+    name = F.when(F.col("e.type") == "tool", F.coalesce("e.name", "e.tool_name"))
+    return rows.select(F.concat(F.lit("grok:msg:"), session, F.lit(":line"), F.col("line")).alias("uuid"), session.alias("session_id"), _instant(F.coalesce("e.timestamp", "e.ts")).alias("ts"), F.col("e.type").alias("role"), F.lit(None).cast("string").alias("model"), name.alias("name"), truncated(F.col("said")).alias("content"))
