@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, language, lines, packing, simhash, substrings, topk, toxicity, vectors, warc
+from tallyforge.llm import bpe, language, lines, middle, packing, shards, simhash, substrings, topk, toxicity, vectors, warc, whitening
 from tallyforge.llm.common import table
 
 #: Vocabulary files; every executor has them.
@@ -61,9 +61,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.manifest(table(spark, sf_dir, "documents"), shards.balanced(shards.SHARDS))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substrings, op2_embeddings, op3_lines, op4_warc, op5_bpe, op6_topk, op7_packing, op7_instructions, op8_simhash, op9_toxicity, op10_language)}
+    return {f.__name__: f for f in (op1_substrings, op2_embeddings, op3_lines, op4_warc, op5_bpe, op6_topk, op7_packing, op7_instructions, op8_simhash, op9_toxicity, op10_language, op11_whitening, op12_middle, op13_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lines": lines.sql(), "op4_warc": warc.sql(), "op6_topk": topk.sql()}
+    return {"op3_lines": lines.sql(), "op4_warc": warc.sql(), "op6_topk": topk.sql(), "op12_middle": middle.sql(), "op13_shards": shards.sql()}
