@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.expr import utc_day
 from tallyforge.operators.pricing import priced, rebilled
 
 USAGE_KEY, SESSION_KEY = ["uuid", "device_id"], ["id", "device_id"]
@@ -30,9 +31,7 @@ def landed(stored: DataFrame, new: DataFrame, keys: list[str], order: Column | N
 
 def recorded(calls: DataFrame, rates: DataFrame, device_id: str) -> DataFrame:
     """Calls as rows of the store: with device, UTC day, pricing key and cost."""
-    stamp = F.try_to_timestamp("timestamp")
-    day = F.coalesce(F.date_format(stamp, "yyyy-MM-dd"), F.when(F.length("timestamp") >= 10, F.substring("timestamp", 1, 10)), F.lit("0000-00-00"))
-    return priced(calls.withColumns({"device_id": F.lit(device_id), "day": day}), rates)
+    return priced(calls.withColumns({"device_id": F.lit(device_id), "day": utc_day(F.col("timestamp"))}), rates)
 
 
 def corrected(stored: DataFrame, corrections: DataFrame, columns: tuple[str, ...] = ("model", "model_key", "cost")) -> DataFrame:

@@ -27,6 +27,35 @@ INPUT_LIMIT = 1024
 KNOWN = ("session_meta", "turn_context", "event_msg", "response_item")
 
 
+def _identity() -> tuple[Column, Column, Column, Column]:
+    """Of an event: whether it tells its thread, the thread's id, whether it is forked, whether it takes over."""
+    p = lambda name: F.col(f"payload.{name}")
+    thread = F.coalesce(p("id"), p("thread_id"), p("threadId"), p("session_id"), p("sessionId"))
+    session = F.coalesce(p("session_id"), p("sessionId"))
+    fork = (F.coalesce(p("forked_from_id"), F.lit("")) != "") | F.get_json_object(p("source"), "$.subagent").isNotNull() | F.coalesce(session != thread, F.lit(False))
+    takeover = F.col("type").startswith("inter_agent_communication") | ((F.col("type") == "event_msg") & (p("type") == "thread_settings_applied"))
+    return (F.col("type") == "session_meta") & thread.isNotNull(), thread, fork, takeover
+
+
+def _counters() -> tuple[Column, Column, Column]:
+    """Of an event: the model that it tells, its total counters and its single ones, as far as it has any."""
+    info = F.col("payload.info")
+    is_count = (F.col("type") == "event_msg") & (F.col("payload.type") == "token_count") & info.isNotNull()
+    told = F.when(F.col("type") == "turn_context", F.coalesce(F.col("payload.model"), info["model"])).when(is_count, F.coalesce(info["model"], info["model_name"], F.col("payload.model")))
+    counters = lambda c: F.when(is_count & c.isNotNull(), F.struct(F.coalesce(c["input_tokens"], F.lit(0)).alias("i"), F.coalesce(c["cached_input_tokens"], c["cache_read_input_tokens"], F.lit(0)).alias("c"), F.coalesce(c["output_tokens"], F.lit(0)).alias("o")))
+    return model_key(told), counters(info["total_token_usage"]), counters(info["last_token_usage"])
+
+
+def steps(lines: DataFrame) -> DataFrame:
+    """What each line tells on its own, for folds that hold a thread's state: identity, takeover, model, counters."""
+    events = lines.withColumn("e", F.from_json("value", EVENT)).select(*lines.columns, "e.*").filter("type IS NOT NULL")
+    meta, thread, fork, takeover = _identity()
+    told, total, single = _counters()
+    rows = events.select(*(c for c in lines.columns if c != "value"), F.coalesce(meta, F.lit(False)).alias("meta"), thread.alias("thread"), fork.alias("fork"), F.coalesce(takeover, F.lit(False)).alias("takeover"), told.alias("told"), total.isNotNull().alias("total"), F.coalesce(total, single).alias("n"), F.col("timestamp").alias("stamp"))
+    counts = [F.coalesce(F.col(f"n.{k}"), F.lit(0)).alias(k) for k in "ico"]
+    return rows.select(*(c for c in rows.columns if c != "n"), F.col("n").isNotNull().alias("counted"), *counts).filter("meta OR takeover OR told IS NOT NULL OR counted")
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """Events of the known types and those that mark a takeover, with what the whole file tells about its thread.
 
@@ -34,12 +63,8 @@ def parsed(lines: DataFrame) -> DataFrame:
     starts on its own; a thread that isn't forked has none.
     """
     rows = lines.select("path", "after", "line", F.from_json("value", EVENT).alias("e")).select("path", "after", "line", "e.*").filter("type IS NOT NULL")
-    p = lambda name: F.col(f"payload.{name}")
-    thread = F.coalesce(p("id"), p("thread_id"), p("threadId"), p("session_id"), p("sessionId"))
-    session = F.coalesce(p("session_id"), p("sessionId"))
-    fork = (F.coalesce(p("forked_from_id"), F.lit("")) != "") | F.get_json_object(p("source"), "$.subagent").isNotNull() | F.coalesce(session != thread, F.lit(False))
-    meta = F.when((F.col("type") == "session_meta") & thread.isNotNull(), F.col("line"))
-    takeover = F.col("type").startswith("inter_agent_communication") | ((F.col("type") == "event_msg") & (p("type") == "thread_settings_applied"))
+    meta, thread, fork, takeover = _identity()
+    meta = F.when(meta, F.col("line"))
     file = Window.partitionBy("path")
     rows = rows.withColumns({"_meta": meta, "_thread": thread, "_fork": fork, "_over": F.when(takeover, F.col("line"))})
     rows = rows.withColumns({"thread_id": F.min_by("_thread", "_meta").over(file), "is_fork": F.coalesce(F.min_by("_fork", "_meta").over(file), F.lit(False)), "boundary": F.min("_over").over(file)})
@@ -54,11 +79,8 @@ def session_id(path: Column, thread_id: Column) -> Column:
 
 def _calls(events: DataFrame, collected_at: str) -> DataFrame:
     """Calls of all lines, with the model that is known at their line and the first that the file tells."""
-    info = F.col("payload.info")
-    is_count = (F.col("type") == "event_msg") & (F.col("payload.type") == "token_count") & info.isNotNull()
-    told = F.when(F.col("type") == "turn_context", F.coalesce(F.col("payload.model"), info["model"])).when(is_count, F.coalesce(info["model"], info["model_name"], F.col("payload.model")))
-    counters = lambda c: F.when(is_count & c.isNotNull(), F.struct(F.coalesce(c["input_tokens"], F.lit(0)).alias("i"), F.coalesce(c["cached_input_tokens"], c["cache_read_input_tokens"], F.lit(0)).alias("c"), F.coalesce(c["output_tokens"], F.lit(0)).alias("o")))
-    rows = events.withColumns({"told": model_key(told), "total": counters(info["total_token_usage"]), "single": counters(info["last_token_usage"])})
+    told, total, single = _counters()
+    rows = events.withColumns({"told": told, "total": total, "single": single})
     ordered = Window.partitionBy("path").orderBy("line")
     before, upto, whole = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(Window.unboundedPreceding, 0), ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumns({"known": F.last("told", True).over(upto), "first": F.first("told", True).over(whole), "prev": F.last("total", True).over(before)})

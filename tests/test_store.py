@@ -9,7 +9,6 @@ from tallyforge.operators import message_log as m
 from tallyforge.operators import store, thread_log as t
 from tallyforge.operators.pricing import RATES
 from tallyforge.sources import logs
-from tallyforge.streaming import collect as c
 
 
 def call(uuid, mid, output, reason=None, ts="2024-01-02T03:04:05Z", **more):
@@ -186,22 +185,6 @@ def test_prices(spark, tmp_path):
     assert sorted(r.model_key for r in merged.collect()) == ["p/z", "x"]
 
 
-def test_the_stream_lands_each_call_once(spark, tmp_path):
-    logs_dir, out, point = tmp_path / "logs", str(tmp_path / "store"), str(tmp_path / "point")
-    logs_dir.mkdir()
-    (logs_dir / "s1.jsonl").write_text("\n".join([call("a", "1", 1), call("b", "2", 2)]) + "\n")
-    rates = spark.createDataFrame([], RATES)
-    run = lambda: c.collect(c.file_lines(spark, str(logs_dir)), lambda x: m.usage(m.parsed(x)), rates, "dev", out, point).awaitTermination()
-    run()
-    (logs_dir / "s2.jsonl").write_text("\n".join([call("b", "2", 2), call("z", "3", 3, ts="bad")]) + "\n")
-    run()
-    rows = spark.read.parquet(out).collect()
-    assert sorted((r.uuid, str(r.day)) for r in rows) == [("a", "2024-01-02"), ("b", "2024-01-02"), ("z", "0000-00-00")]
-    again = spark.read.parquet(out)
-    c.land(again.withColumn("day", F.col("day").cast("string")).select(*again.columns), out)
-    assert spark.read.parquet(out).count() == 3
-
-
 def test_session_updates_give_a_row_for_each_model(spark):
     from tallyforge.operators import chat_log
 
