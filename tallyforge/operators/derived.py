@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.expr import UNKNOWN_PROJECT, total_tokens
-
 #: Argument names that sum up a tool call, in the order in which they are tried; longest summary.
 SUMMARY_KEYS = ("file_path", "notebook_path", "url", "pattern", "query", "command", "path", "prompt", "description")
 SUMMARY_LIMIT = 96
@@ -28,24 +26,6 @@ def day_so_far(per_hour: DataFrame, day: str, hour: int) -> DataFrame:
     return sums.select(F.round(F.when(F.col("yesterday") > 0, (F.col("today") - F.col("yesterday")) / F.col("yesterday")), 6).alias("change"), F.round(F.col("today") / (hour + 1), 6).alias("hourly_avg"))
 
 
-def project_ranking(per_project: DataFrame, n: int) -> DataFrame:
-    """The n known projects with the most tokens, the other known ones as one row, and the unknown one, each with its share of all.
-
-    place: 1 to n, n + 1 for the rest, null for the unknown project.
-    """
-    order = Window.orderBy(F.desc("total"), "project")  # one row for each project
-    known = per_project.filter(F.col("project") != UNKNOWN_PROJECT).withColumn("place", F.least(F.row_number().over(order), F.lit(n + 1)))
-    rows = known.unionByName(per_project.filter(F.col("project") == UNKNOWN_PROJECT).withColumn("place", F.lit(None).cast("int")))
-    name = F.when(F.col("place") > n, "(rest)").otherwise(F.col("project"))
-    grouped = rows.groupBy("place", name.alias("project")).agg(F.count("*").alias("projects"), *(F.sum(c).alias(c) for c in ("total", "requests", "sessions")))
-    return grouped.withColumn("share", F.round(F.col("total") / F.greatest(F.sum("total").over(Window.partitionBy()), F.lit(1)), 6))
-
-
-def project_nodes(listed: DataFrame) -> DataFrame:
-    """Sessions bucketed by project: how many, their tokens and their last activity."""
-    return listed.groupBy("project").agg(F.count("*").alias("sessions"), F.sum("tokens").alias("tokens"), F.max("last_active_at").alias("last_active_at"))
-
-
 def by_group(sessions: DataFrame, known: DataFrame, column: str = "local_group") -> DataFrame:
     """Sessions with the group they are shown in: '' for none and for a group that isn't known any more."""
     groups = known.select(F.col("id").alias(column), F.lit(True).alias("there"))
@@ -65,21 +45,27 @@ def models_used(usage: DataFrame) -> DataFrame:
     return first.groupBy("session_id", "device_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "model"))), lambda x: x["model"]).alias("models"))
 
 
-def session_set(usage: DataFrame) -> DataFrame:
-    """Tokens, share and number of sessions of each model over a set of sessions."""
-    per = usage.groupBy("model").agg(F.sum(total_tokens()).alias("tokens"), F.count_distinct("session_id", "device_id").alias("sessions"))
-    return per.withColumn("share", F.round(F.col("tokens") / F.greatest(F.sum("tokens").over(Window.partitionBy()), F.lit(1)), 6))
-
-
 def tool_summary(content: Column) -> Column:
-    """One line about a tool call: the first of the usual arguments that is a text, else the first text, else the first line of what isn't JSON."""
-    text = F.trim(content)
-    value = F.try_parse_json(text)
-    kind = F.schema_of_variant(value)
-    is_text = lambda key: F.schema_of_variant(F.try_variant_get(value, f"$.{key}", "variant")) == "STRING"
-    usual = F.coalesce(*(F.when(is_text(k), F.try_variant_get(value, f"$.{k}", "string")) for k in SUMMARY_KEYS))
-    raw = F.from_json(text, "map<string, string>")
-    texts = F.filter(F.json_object_keys(F.when(kind.startswith("OBJECT"), text)), lambda k: F.regexp_like(text, F.concat(F.lit(r'"\Q'), k, F.lit(r'\E"\s*:\s*"'))))
-    found = F.when(kind.startswith("OBJECT"), F.coalesce(usual, F.element_at(raw, F.try_element_at(texts, F.lit(1))), F.lit(""))).when(kind.startswith("ARRAY"), "").otherwise(text)
+    """One line about a tool call: the first of the usual arguments that is a text, else the first text, else the first line of what isn't an object or list.
+
+    Of a list it is the first text. Of arguments of one name the last counts, in the place of the first; names that are whole numbers come first, in
+    their order. White space around the whole goes.
+    """
+    text = F.regexp_replace(content, r"(?U)\A[\s\uFEFF]+|[\s\uFEFF]+\z", "")
+    kind = F.schema_of_variant(F.try_parse_json(text))
+    own = F.from_json(F.when(text.startswith("{") & text.endswith("}"), text), "map<string, variant>")
+    is_object = kind.startswith("OBJECT") | (kind.isNull() & own.isNotNull())  # a variant takes no name twice
+    entries = F.map_entries(own)
+    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    last = lambda name: F.element_at(F.filter(entries, lambda e: e["key"] == name), -1)["value"]
+    number = lambda name: F.when(name.rlike(r"\A(?:0|[1-9][0-9]{0,9})\z"), name.try_cast("bigint"))
+    places = F.transform(names, lambda name, place: F.struct(F.coalesce(number(name), F.lit(1 << 40)).alias("n"), place.alias("p"), name.alias("name")))
+    texts = F.filter(F.transform(F.array_sort(places), lambda x: F.struct(x["name"].alias("name"), last(x["name"]).alias("v"))), lambda x: F.schema_of_variant(x["v"]) == "STRING")
+    said = F.transform(texts, lambda x: F.struct(x["name"].alias("name"), F.try_variant_get(x["v"], "$", "string").alias("v")))
+    called = lambda key: F.try_element_at(F.filter(said, lambda x: x["name"] == key), F.lit(1))["v"]
+    usual = map(called, SUMMARY_KEYS)
+    items = F.filter(F.from_json(F.when(kind.startswith("ARRAY"), text), "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
+    first_item = F.try_variant_get(F.try_element_at(items, F.lit(1)), "$", "string")
+    found = F.when(is_object, F.coalesce(*usual, F.try_element_at(said, F.lit(1))["v"], F.lit(""))).when(kind.startswith("ARRAY"), F.coalesce(first_item, F.lit(""))).otherwise(text)
     line = F.substring_index(found, "\n", 1)
     return F.when(F.char_length(line) > SUMMARY_LIMIT, F.concat(F.substring(line, 1, SUMMARY_LIMIT - 1), F.lit("…"))).otherwise(line)

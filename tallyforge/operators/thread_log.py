@@ -145,3 +145,11 @@ def messages(events: DataFrame) -> DataFrame:
     content = F.when(is_call, truncated(F.coalesce("payload.arguments", F.lit("")), INPUT_LIMIT)).otherwise(truncated(_text(F.col("payload.content"))))
     out = rows.select(F.coalesce(F.nullif("payload.id", F.lit("")), F.concat(session_id(F.col("path"), F.col("thread_id")), F.lit(":L"), F.col("line"))).alias("uuid"), session_id(F.col("path"), F.col("thread_id")).alias("session_id"), F.coalesce("timestamp", F.lit("")).alias("ts"), F.when(is_call, "tool").otherwise(F.col("payload.role")).alias("role"), F.when(is_call, F.coalesce("payload.name", F.lit("tool"))).alias("name"), content.alias("content"))
     return out.filter("role = 'tool' OR content <> ''")
+
+
+def identity_of_head(head: Column) -> Column:
+    """The thread's id that the first whole lines of a file tell, null if none does."""
+    meta = "struct<type: string, payload: struct<id: string, thread_id: string, threadId: string, session_id: string, sessionId: string>>"
+    told = F.transform(F.split(head, "\n"), lambda line: F.from_json(line, meta))
+    ids = F.transform(F.filter(told, lambda e: e["type"] == "session_meta"), lambda e: F.coalesce(*(e["payload"][n] for n in ("id", "thread_id", "threadId", "session_id", "sessionId"))))
+    return F.try_element_at(F.filter(ids, lambda i: i.isNotNull()), F.lit(1))

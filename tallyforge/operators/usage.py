@@ -166,30 +166,6 @@ def session_list(chosen: DataFrame, usage: DataFrame) -> DataFrame:
     return joined.select("id", "device_id", "title", project_identity("project_dir").alias("project"), "last_active_at", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("requests", "tokens")), F.round(F.coalesce("cost", F.lit(0)).cast("double"), 6).alias("cost"))
 
 
-def session_models(chosen: DataFrame, usage: DataFrame, messages: DataFrame) -> DataFrame:
-    """A row for each session and model, with the session's message count; both are summed before the joins."""
-    per_model = usage.groupBy(F.col("session_id").alias("id"), "device_id", "model").agg(F.sum(total_tokens()).alias("tokens"))
-    counts = messages.groupBy(F.col("session_id").alias("id"), "device_id").agg(F.count("*").alias("messages"))
-    joined = chosen.select("id", "device_id").join(per_model, ["id", "device_id"], "left").join(counts, ["id", "device_id"], "left")
-    return joined.select("id", "device_id", F.coalesce("model", F.lit("")).alias("model"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "messages")))
-
-
-def project_stats(sessions: DataFrame, usage: DataFrame, messages: DataFrame, f: SessionFilter) -> DataFrame:
-    """Sessions by project, those without usage too, and a row for usage without any session.
-
-    Usage of a session that the filter or a soft delete leaves out belongs to a session: it isn't in that row.
-    The row is left out where the filter asks for something that only sessions have.
-    """
-    listed = session_list(where_sessions(sessions, usage, messages, f), usage)
-    known = listed.groupBy("project").agg(F.count("*").alias("sessions"), F.sum("requests").alias("requests"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"))
-    if f.favorited or f.group is not None or (f.search and f.search.strip()) or (f.project and f.project != UNKNOWN_PROJECT):
-        return known
-    own = UsageFilter(f.since, f.until, f.model, f.source, f.device, UNKNOWN_PROJECT)
-    loose = where_usage(usage, sessions, own).agg(F.count("*").alias("requests"), F.sum(total_tokens()).alias("tokens"), F.sum("cost").alias("cost"))
-    unknown = loose.filter("requests > 0").select(F.lit(UNKNOWN_PROJECT).alias("project"), F.lit(0).cast("bigint").alias("sessions"), "requests", "tokens", F.round(F.col("cost").cast("double"), 6).alias("cost"))
-    return known.unionByName(unknown)
-
-
 def projects(sessions: DataFrame, usage: DataFrame, messages: DataFrame, f: UsageFilter) -> DataFrame:
     """The projects of sessions that aren't excluded, and the unknown one if any usage has no session."""
     listed = where_sessions(sessions, usage, messages, SessionFilter(f.since, f.until, f.model, f.source, f.device))
@@ -256,14 +232,6 @@ def nested(sessions: DataFrame) -> DataFrame:
     return sessions.join(parents, ["parent_session_id", "device_id"], "left").select("id", "device_id", F.coalesce("parent", F.lit("")).alias("parent"))
 
 
-def day_groups(usage: DataFrame) -> DataFrame:
-    """Runs of calls on the same day, newest first, for each device."""
-    order = Window.partitionBy("device_id").orderBy(F.desc("ts"), "uuid")  # one page of a device's log
-    new = (F.lag("day").over(order).isNull() | (F.lag("day").over(order) != F.col("day"))).cast("int")
-    marked = usage.withColumn("new", new).withColumn("run", F.sum("new").over(order))
-    return marked.groupBy("device_id", "run").agg(F.min("day").alias("day"), F.count("*").alias("requests"))
-
-
 def latest(rows: DataFrame, keys: list[str], stamp: str, seen: str) -> DataFrame:
     """The newest row of each key; of equally new ones the one seen first (the least of column ``seen``)."""
     rest = [c for c in rows.columns if c not in keys]

@@ -8,7 +8,7 @@ from tallyforge.functions import expr
 from tallyforge.functions.expr import UNKNOWN_PROJECT
 from tallyforge.operators import pricing, usage as u
 from tallyforge.operators.usage import SessionFilter, UsageFilter
-from tallyforge.plans import database_catalog, log_catalog, stream_catalog, view_catalog
+from tallyforge.plans import database_catalog, exchange_catalog, log_catalog, stats_catalog, stream_catalog, view_catalog
 from tallyforge.sources import adapters as a
 
 WINDOW = UsageFilter(since="2024-01-05T00:00:00", until="2024-01-20T12:00:00")
@@ -45,12 +45,6 @@ def _headline(s, d):
     return days.agg(F.sum("requests").alias("requests"), F.round(F.sum("requests") / u.window_days(WINDOW), 6).alias("per_day"), F.max_by("day", F.struct("requests", -F.datediff(F.col("day").cast("date"), F.lit("2024-01-01").cast("date")))).alias("peak"))
 
 
-def _section(s, d):
-    own = a.sessions(s, d).filter(~F.col("excluded"))
-    span = (F.unix_timestamp(F.col("last_active_at").cast("timestamp")) - F.unix_timestamp(F.col("started_at").cast("timestamp")))
-    return own.agg(F.count("*").alias("sessions"), F.round(F.avg((F.col("parent_session_id") != "").cast("double")), 6).alias("subagent_share"), F.max(span).alias("longest_s"), F.count_if(span < 900).alias("under_15m"), F.count_if(span >= 10800).alias("from_180m"))
-
-
 def _device_share(s, d):
     per = u.by(a.usage(s, d), "device_id").select("device_id", "total")
     return per.agg(F.count("*").alias("devices"), F.max_by("device_id", F.struct("total", "device_id")).alias("leader"), F.round(F.max("total") / F.sum("total"), 6).alias("share"))
@@ -136,19 +130,6 @@ CATALOG = {
     ),
     "A9_devices": (lambda s, d: u.by(a.usage(s, d), "device_id"), _sql("usage", f"SELECT device_id, {SUMS} FROM usage GROUP BY device_id")),
     "A10_count": (lambda s, d: PLAIN(s, d).agg(F.count("*").alias("n")), _sql("usage", f"SELECT count(*) AS n FROM usage WHERE {IN_WINDOW}")),
-    "A11_project_stats": (
-        lambda s, d: u.project_stats(a.sessions(s, d), a.usage(s, d), a.messages(s, d), NO_FILTER),
-        _sql("usage sessions", f"""SELECT project, count(*) AS sessions, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 6) AS cost
-         FROM ({LISTED}) GROUP BY project UNION ALL SELECT '{UNKNOWN_PROJECT}', 0, count(*), CAST(sum({TOTAL}) AS BIGINT), round(CAST(sum(cost) AS DOUBLE), 6)
-         FROM usage {ANTI} HAVING count(*) > 0""", _chosen("true")),
-    ),
-    "A12_session_models": (
-        lambda s, d: u.session_models(_sessions(NO_FILTER)(s, d), a.usage(s, d), a.messages(s, d)),
-        _sql("usage sessions messages", f"""SELECT c.id, c.device_id, coalesce(m.model, '') AS model, CAST(coalesce(m.tokens, 0) AS BIGINT) AS tokens, CAST(coalesce(n.messages, 0) AS BIGINT) AS messages
-         FROM c LEFT JOIN (SELECT session_id, device_id, model, sum({TOTAL}) AS tokens FROM usage GROUP BY ALL) m ON m.session_id = c.id AND m.device_id = c.device_id
-         LEFT JOIN (SELECT session_id, device_id, count(*) AS messages FROM messages GROUP BY ALL) n ON n.session_id = c.id AND n.device_id = c.device_id""", _chosen("true")),
-    ),
-    "A13_group_counts": (lambda s, d: _sessions(NO_FILTER)(s, d).groupBy("local_group").agg(F.count("*").alias("n")), _sql("sessions", "SELECT local_group, count(*) AS n FROM c GROUP BY 1", _chosen("true"))),
     "A15_sources": (lambda s, d: u.facet(PLAIN(s, d), "source"), _sql("usage", f"SELECT DISTINCT source AS value FROM usage WHERE source <> '' AND {IN_WINDOW}")),
     "A16_projects": (
         lambda s, d: u.projects(a.sessions(s, d), a.usage(s, d), a.messages(s, d), UsageFilter()),
@@ -175,22 +156,12 @@ CATALOG = {
         _sql("usage", f"""SELECT CASE WHEN rank <= 3 THEN model ELSE '(rest)' END AS model, count(*) AS models, CAST(sum(total) AS BIGINT) AS total, round(sum(cost), 6) AS cost
          FROM (SELECT *, row_number() OVER (ORDER BY total DESC, model) AS rank FROM (SELECT model, {SUMS} FROM usage GROUP BY model)) GROUP BY 1"""),
     ),
-    "C7_sections": (
-        _section,
-        _sql("sessions", """SELECT count(*) AS sessions, round(avg(CASE WHEN parent_session_id <> '' THEN 1.0 ELSE 0.0 END), 6) AS subagent_share, max(span) AS longest_s,
-         count(*) FILTER (span < 900) AS under_15m, count(*) FILTER (span >= 10800) AS from_180m
-         FROM (SELECT *, CAST(floor(epoch(last_active_at)) - floor(epoch(started_at)) AS BIGINT) AS span FROM sessions WHERE NOT excluded)"""),
-    ),
     "C8_device_share": (_device_share, _sql("usage", f"SELECT count(*) AS devices, arg_max(device_id, total) AS leader, round(max(total) / sum(total), 6) AS share FROM (SELECT device_id, CAST(sum({TOTAL}) AS DOUBLE) AS total FROM usage GROUP BY 1)")),
     "C9_headline": (
         _headline,
         _sql("usage", f"""SELECT CAST(sum(n) AS BIGINT) AS requests, round(sum(n) / 16.0, 6) AS per_day, (SELECT day FROM (SELECT day, count(*) AS n FROM usage WHERE {IN_WINDOW} GROUP BY 1) ORDER BY n DESC, day LIMIT 1) AS peak
          FROM (SELECT day, count(*) AS n FROM usage WHERE {IN_WINDOW} GROUP BY 1)"""),
     ),
-    "C11_day_groups": (
-        lambda s, d: u.day_groups(a.usage(s, d)).select("device_id", "run", "day", "requests"),
-        _sql("usage", "SELECT device_id, dense_rank() OVER (PARTITION BY device_id ORDER BY day DESC) AS run, day, count(*) AS requests FROM usage GROUP BY device_id, day"),
-    ),
     "C12_tones": (
         _tones,
         """WITH r AS (SELECT lower(list_extract(['End_Turn', 'tool_use', 'MAX_TOKENS', 'context_window_exceeded', 'limit_exceeded', 'refusal', 'api_error', 'my_tool_use_error', 'stop', ''], CAST(event_id % 10 + 1 AS INTEGER))) AS r FROM events)
@@ -222,15 +193,14 @@ CATALOG = {
         """SELECT p_partkey, lower(p_brand) || '-' || p_size AS model_key FROM part""",
     ),
     "E4_priced": (
-        lambda s, d: pricing.priced(a.usage(s, d).withColumn("model", F.concat("model", F.lit("-pro-20240101"))), pricing.seed(s)).groupBy("model_key").agg(F.count("*").alias("n"), F.round(F.sum("cost").cast("double"), 6).alias("cost")),
-        _sql("usage", """SELECT model || '-pro' AS model_key, count(*) AS n, round(CAST(coalesce(sum(CASE model WHEN 'click' THEN input * 3.0 + output * 15.0 + cache_creation * 3.75 + cache_read * 0.3
-          WHEN 'view' THEN input * 1.0 + output * 4.0 + cache_creation * 1.25 + cache_read * 0.1 ELSE 0.0 END), 0) AS DOUBLE) / 1000000, 6) AS cost FROM usage GROUP BY 1"""),
+        lambda s, d: pricing.priced(a.usage(s, d).withColumn("model", F.concat("model", F.lit("-pro-20240101"))), pricing.seed(s)).groupBy("model_key").agg(F.count("*").alias("n"), pricing.units(F.sum("cost")).alias("cost_units")),
+        _sql("usage", """SELECT model || '-pro' AS model_key, count(*) AS n, CAST(coalesce(sum(CASE model WHEN 'click' THEN input * 300 + output * 1500 + cache_creation * 375 + cache_read * 30 WHEN 'view' THEN input * 100 + output * 400 + cache_creation * 125 + cache_read * 10 ELSE 0 END), 0) AS BIGINT) * 100 AS cost_units FROM usage GROUP BY 1"""),
     ),
 }
 
 
 def _all() -> dict:
-    return CATALOG | log_catalog.CATALOG | database_catalog.CATALOG | view_catalog.CATALOG | stream_catalog.CATALOG
+    return CATALOG | log_catalog.CATALOG | database_catalog.CATALOG | view_catalog.CATALOG | stats_catalog.CATALOG | exchange_catalog.CATALOG | stream_catalog.CATALOG
 
 
 def queries() -> dict:

@@ -10,24 +10,14 @@ from tallyforge.plans import log_catalog as logs
 from tallyforge.sources import adapters as a
 
 TOTAL = "input + output + cache_creation + cache_read"
-COST = "input * 3.0 + output * 15.0 + cache_creation * 3.75 + cache_read * 0.3"
+#: A click's cost in units of 1e-10 USD, in whole numbers.
+COST = "(input * 300 + output * 1500 + cache_creation * 375 + cache_read * 30) * 100"
 
 
 def _sql(names: str, body: str) -> str:
     return a.with_sql(names) + "\n" + body
 
 
-def _listed(s, d):
-    chosen = u.where_sessions(a.sessions(s, d), a.usage(s, d), a.messages(s, d), SessionFilter())
-    return u.session_list(chosen, a.usage(s, d))
-
-
-def _summaries(s, d):
-    p = F.col("p_partkey")
-    text = F.when(p % 4 == 0, F.concat(F.lit('{"label":"L","url":"'), "p_name", F.lit('"}'))).when(p % 4 == 1, F.concat(F.lit('{"n":1,"label":"'), "p_brand", F.lit('"}'))).when(p % 4 == 2, F.concat(F.repeat(F.lit("x"), (p % 120).cast("int")), F.lit("\nmore"))).otherwise('{"n":2}')
-    return a.read(s, d, "part").select("p_partkey", v.tool_summary(text).alias("summary"))
-
-
 def _chats(s, d):
     e = F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -53,24 +43,12 @@ CATALOG = {
         lambda s, d: v.day_so_far(u.by(a.usage(s, d), u.hour_of("UTC")), "2024-01-20", 12),
         _sql("usage", f"SELECT round((t - y) / y, 6) AS change, round(t / 13, 6) AS hourly_avg FROM (SELECT CAST(sum({TOTAL}) FILTER (day = '2024-01-20') AS DOUBLE) AS t, CAST(sum({TOTAL}) FILTER (day = '2024-01-19') AS DOUBLE) AS y FROM usage WHERE hour(ts) <= 12)"),
     ),
-    "C6_ranking": (
-        lambda s, d: v.project_ranking(u.project_usage(a.usage(s, d), a.sessions(s, d)), 2),
-        _sql("usage sessions", rf"""SELECT place, CASE WHEN place = 3 THEN '(rest)' ELSE project END AS project, count(*) AS projects, CAST(sum(total) AS BIGINT) AS total, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(sessions) AS BIGINT) AS sessions, round(sum(total) / any_value(every), 6) AS share
-         FROM (SELECT *, sum(total) OVER () AS every, CASE WHEN project <> '__unknown__' THEN CAST(least(row_number() OVER (PARTITION BY project = '__unknown__' ORDER BY total DESC, project), 3) AS INTEGER) END AS place
-          FROM (SELECT coalesce(nullif(pid, ''), '__unknown__') AS project, CAST(sum({TOTAL}) AS DOUBLE) AS total, count(*) AS requests, count(DISTINCT sid) AS sessions FROM usage LEFT JOIN (SELECT id AS sid, device_id AS dev, regexp_replace(project_dir, '(?s)\A(.*?)[/\\]\.claude[/\\]worktrees(?:[/\\].*)?\z', '\1') AS pid FROM sessions) ON session_id = sid AND device_id = dev GROUP BY 1)) GROUP BY 1, 2"""),
-    ),
-    "C15_models": (lambda s, d: v.session_set(a.usage(s, d).filter("session_id <> ''")), _sql("usage", f"SELECT model, CAST(sum({TOTAL}) AS BIGINT) AS tokens, count(DISTINCT session_id || '|' || device_id) AS sessions, round(CAST(sum({TOTAL}) AS DOUBLE) / (SELECT sum({TOTAL}) FROM usage WHERE session_id <> ''), 6) AS share FROM usage WHERE session_id <> '' GROUP BY model")),
-    "C16_nodes": (
-        lambda s, d: v.project_nodes(_listed(s, d)),
-        _sql("usage sessions", rf"SELECT regexp_replace(project_dir, '(?s)\A(.*?)[/\\]\.claude[/\\]worktrees(?:[/\\].*)?\z', '\1') AS project, count(*) AS sessions, CAST(sum(coalesce(t, 0)) AS BIGINT) AS tokens, max(last_active_at) AS last_active_at FROM sessions LEFT JOIN (SELECT session_id AS sid, device_id AS dev, sum({TOTAL}) AS t FROM usage GROUP BY ALL) ON sid = id AND dev = device_id WHERE NOT excluded GROUP BY 1"),
-    ),
     "C17_groups": (lambda s, d: v.by_group(a.sessions(s, d), s.sql("SELECT * FROM VALUES ('g1'), ('g2') AS t(id)")).groupBy("shown_in").agg(F.count("*").alias("n")), _sql("sessions", "SELECT CASE WHEN local_group IN ('g1', 'g2') THEN local_group ELSE '' END AS shown_in, count(*) AS n FROM sessions GROUP BY 1")),
     "C18_spans": (
         lambda s, d: a.sessions(s, d).select("id", v.span_parts(F.col("started_at").cast("timestamp"), F.col("last_active_at").cast("timestamp")).alias("p")).select("id", "p.*"),
         _sql("sessions", "SELECT id, x // 86400 AS days, x % 86400 // 3600 AS hours, x % 3600 // 60 AS minutes FROM (SELECT id, CAST(floor(epoch(last_active_at)) - floor(epoch(started_at)) AS BIGINT) AS x FROM sessions)"),
     ),
     "C19_models_used": (lambda s, d: v.models_used(a.usage(s, d)).select("session_id", "device_id", F.array_join("models", ">").alias("models")), _sql("usage", "SELECT session_id, device_id, string_agg(model, '>' ORDER BY ts, uuid) AS models FROM (SELECT session_id, device_id, model, ts, uuid FROM usage QUALIFY row_number() OVER (PARTITION BY session_id, device_id, model ORDER BY ts, uuid) = 1) GROUP BY ALL")),
-    "C22_summaries": (_summaries, "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_brand WHEN 2 THEN CASE WHEN p_partkey % 120 > 96 THEN repeat('x', 95) || '…' ELSE repeat('x', p_partkey % 120) END ELSE '' END AS summary FROM part"),
     "J14_latest": (
         lambda s, d: u.latest(a.read(s, d, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("updated_at"), "event_id"), ["user_id"], "updated_at", "event_id"),
         "SELECT user_id, strftime(ts, '%Y-%m-%d') AS updated_at, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%d') DESC, event_id) = 1",
@@ -89,16 +67,16 @@ CATALOG = {
     "U2_dirty_days": (lambda s, d: store.dirty_days(store.landed(_stored(s, d), a.usage(s, d), store.USAGE_KEY)), _sql("usage", "SELECT DISTINCT device_id, day FROM usage WHERE cache_creation % 2 = 1")),
     "U10_deleted": (lambda s, d: store.soft_deleted(a.sessions(s, d), a.sessions(s, d).filter("local_group = 'g2'")).select("id", "excluded", "favorited"), _sql("sessions", "SELECT id, excluded OR local_group = 'g2' AS excluded, favorited AND local_group <> 'g2' AS favorited FROM sessions")),
     "U13_rebilled": (
-        lambda s, d: store.with_rebills(_unpaid(s, d), pricing.seed(s))[0].groupBy("day").agg(F.round(F.sum("cost").cast("double"), 6).alias("cost")),
-        _sql("usage", f"SELECT day, round(CAST(sum(CASE WHEN cache_creation % 3 <> 0 AND cost > 0 THEN cost WHEN model = 'click' THEN ({COST}) / 1000000 ELSE 0 END) AS DOUBLE), 6) AS cost FROM usage GROUP BY day"),
+        lambda s, d: store.with_rebills(_unpaid(s, d), pricing.seed(s))[0].groupBy("day").agg(pricing.units(F.sum("cost")).alias("cost_units")),
+        _sql("usage", f"SELECT day, CAST(sum(CASE WHEN cache_creation % 3 <> 0 AND cost > 0 THEN CAST(cost * 10000 AS BIGINT) * 1000000 WHEN model = 'click' THEN {COST} ELSE 0 END) AS BIGINT) AS cost_units FROM usage GROUP BY day"),
     ),
     "U14_discovered": (
         lambda s, d: store.discovered(s.sql("SELECT 'd0' AS device_id, 'Mine' AS display_name, true AS is_self, '2024' AS first_seen"), a.usage(s, d).withColumn("timestamp", F.date_format("ts", logs.STAMP))),
         _sql("usage", "SELECT 'd0' AS device_id, 'Mine' AS display_name, true AS is_self, '2024' AS first_seen UNION ALL SELECT device_id, '', false, min(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) FROM usage WHERE device_id <> 'd0' GROUP BY device_id"),
     ),
     "E1_recorded": (
-        lambda s, d: store.recorded(m.usage(m.parsed(logs.message_lines(s, d)), "now"), pricing.seed(s), "dev").groupBy("device_id", "day", "model_key").agg(F.count("*").alias("n"), F.round(F.sum("cost").cast("double"), 6).alias("cost")),
-        f"""{logs.CALLS} SELECT 'dev' AS device_id, coalesce(substring(stamp, 1, 10), '0000-00-00') AS day, event_type AS model_key, count(*) AS n, round(CAST(sum(CASE WHEN event_type = 'click' THEN ({COST}) / 1000000 ELSE 0 END) AS DOUBLE), 6) AS cost
+        lambda s, d: store.recorded(m.usage(m.parsed(logs.message_lines(s, d)), "now"), pricing.seed(s), "dev").groupBy("device_id", "day", "model_key").agg(F.count("*").alias("n"), pricing.units(F.sum("cost")).alias("cost_units")),
+        f"""{logs.CALLS} SELECT 'dev' AS device_id, coalesce(substring(stamp, 1, 10), '0000-00-00') AS day, event_type AS model_key, count(*) AS n, CAST(sum(CASE WHEN event_type = 'click' THEN {COST} ELSE 0 END) AS BIGINT) AS cost_units
          FROM (SELECT * FROM c WHERE {TOTAL} > 0 QUALIFY row_number() OVER (PARTITION BY user_id, mid ORDER BY stop <> '' DESC, output DESC, line) = 1) GROUP BY ALL""",
     ),
 }

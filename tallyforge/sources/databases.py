@@ -1,7 +1,8 @@
 """Tables of SQLite files as a data source; tasks read each file in ranges of rows.
 
 The files must lie where the driver and all executors see them under the same path. They are opened read-only, so that
-what a write-ahead log beside a file holds is read too. Files that aren't databases, or lack the table, give no rows.
+what a write-ahead log beside a file holds is read too. Files that lack the table give no rows; a file
+that is no database, is locked, or whose table lacks a column wanted raises its error.
 """
 
 from __future__ import annotations
@@ -39,37 +40,47 @@ def _quoted(name: str) -> str:
 
 
 class RowRange(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    """Rows of a file from a row id to before another; None: no bound."""
+
+    def __init__(self, path: str, first: int | None, end: int | None):
+        self.path, self.first, self.end = path, first, end
 
 
 class SqliteReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.fields = [(f.name, "INTEGER" if isinstance(f.dataType, LongType) else "TEXT") for f in schema]
-        self.root, self.table = options["path"], _quoted(options["table"])
+        self.root, self.name, self.table = options["path"], options["table"], _quoted(options["table"])
         self.pattern, self.rows = options.get("pattern", "*.db"), int(options.get("rows", ROWS))
 
     def partitions(self) -> list[InputPartition]:
+        """Ranges of as many rows each, whatever their ids are; a table without row ids is one range."""
         out = []
         for path in found(self.root, self.pattern):
             connection = _connected(path)
             try:
-                first, last = connection.execute(f"SELECT min(rowid), max(rowid) FROM {self.table}").fetchone()
-            except sqlite3.DatabaseError:
-                continue
+                if not connection.execute("SELECT 1 FROM sqlite_master WHERE type IN ('table', 'view') AND name = ? COLLATE NOCASE", (self.name,)).fetchone():
+                    continue
+                try:
+                    starts = [r[0] for r in connection.execute(f"SELECT rowid FROM (SELECT rowid, row_number() OVER (ORDER BY rowid) AS n FROM {self.table}) WHERE n % ? = 1 % ? ORDER BY rowid", (self.rows, self.rows))]
+                except sqlite3.OperationalError as error:
+                    if "no such column: rowid" not in str(error):
+                        raise
+                    out.append(RowRange(path, None, None))
+                    continue
+                out += [RowRange(path, a, b) for a, b in zip(starts, [*starts[1:], None])]
             finally:
                 connection.close()
-            if first is not None:
-                out += [RowRange(path, n, min(n + self.rows - 1, last)) for n in range(first, last + 1, self.rows)]
-        return out or [RowRange("", 0, -1)]
+        return out or [RowRange("", 0, 0)]
 
     def read(self, partition: RowRange) -> Iterator[tuple]:
-        if partition.last < partition.first:
+        if not partition.path:
             return
-        columns = ", ".join(f"CAST({_quoted(n)} AS {kind})" for n, kind in self.fields)
+        columns = ", ".join(f"CAST(t.{_quoted(n)} AS {kind})" for n, kind in self.fields)
+        bounds = [(f"rowid {sign} ?", v) for sign, v in ((">=", partition.first), ("<", partition.end)) if v is not None]
+        where = " WHERE " + " AND ".join(c for c, _ in bounds) if bounds else ""
         connection = _connected(partition.path)
         try:
-            yield from connection.execute(f"SELECT {columns} FROM {self.table} WHERE rowid BETWEEN ? AND ?", (partition.first, partition.last))
+            yield from connection.execute(f"SELECT {columns} FROM {self.table} AS t{where}", [v for _, v in bounds])
         finally:
             connection.close()
 

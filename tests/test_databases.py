@@ -4,6 +4,8 @@ import json
 import os
 import sqlite3
 
+import pytest
+
 from tallyforge.operators import database_log as d
 from tallyforge.sources import databases
 
@@ -20,7 +22,6 @@ def store(path, n):
 def test_tables_of_many_files_are_read_in_ranges(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     held = [store(tmp_path / "a.db", 25), store(tmp_path / "deep" / "b.db", 7)]  # open: their rows are in write-ahead logs
-    (tmp_path / "c.db").write_bytes(b"no database" * 100)
     sqlite3.connect(tmp_path / "empty.db").close()
     df = databases.table(spark, str(tmp_path), "message", d.MESSAGES, rows="10")
     assert df.rdd.getNumPartitions() == 4
@@ -30,6 +31,43 @@ def test_tables_of_many_files_are_read_in_ranges(spark, tmp_path):
         con.close()
 
 
+def test_ranges_follow_rows_and_not_ids(spark, tmp_path):
+    con = sqlite3.connect(tmp_path / "far.db")
+    con.execute("CREATE TABLE t (n INTEGER PRIMARY KEY)")
+    con.executemany("INSERT INTO t VALUES (?)", [(-5,), (1,), (2,), (300_000_000_000,)])
+    con.commit()
+    con.close()
+    df = databases.table(spark, str(tmp_path), "t", "n bigint", rows="3")
+    assert df.rdd.getNumPartitions() == 2 and sorted(r.n for r in df.collect()) == [-5, 1, 2, 300_000_000_000]
+
+
+def test_tables_without_row_ids_are_read(spark, tmp_path):
+    con = sqlite3.connect(tmp_path / "w.db")
+    con.execute("CREATE TABLE t (k TEXT PRIMARY KEY, n INTEGER) WITHOUT ROWID")
+    con.execute("INSERT INTO t VALUES ('a', 1)")
+    con.commit()
+    con.close()
+    assert [tuple(r) for r in databases.table(spark, str(tmp_path), "t", "k string, n bigint").collect()] == [("a", 1)]
+
+
+def test_what_cannot_be_read_raises(spark, tmp_path):
+    (tmp_path / "c.db").write_bytes(b"no database" * 100)
+    with pytest.raises(Exception, match="not a database"):
+        databases.table(spark, str(tmp_path), "t", "n bigint").count()
+    con = sqlite3.connect(tmp_path / "d.sqlite")
+    con.execute("CREATE TABLE t (k TEXT)")
+    con.execute("INSERT INTO t VALUES ('a')")
+    con.commit()
+    con.close()
+    with pytest.raises(Exception, match="nope"):
+        databases.table(spark, str(tmp_path), "t", "nope bigint", pattern="*.sqlite").count()
+    with pytest.raises(Exception, match="locked"):
+        locked = sqlite3.connect(tmp_path / "d.sqlite", isolation_level=None)
+        locked.execute("PRAGMA locking_mode = EXCLUSIVE")
+        locked.execute("BEGIN EXCLUSIVE")
+        databases.table(spark, str(tmp_path), "t", "k string", pattern="*.sqlite").count()
+
+
 def test_missing_folders_and_tables_have_no_rows(spark, tmp_path):
     store(tmp_path / "a.db", 3).close()
     assert databases.table(spark, str(tmp_path / "none"), "message", d.MESSAGES).count() == 0

@@ -205,12 +205,3 @@ def test_chats_take_their_project_and_first_text(spark):
     row = chat_log.chat_sessions(chats, spark.createDataFrame([("/tmp/h", "/work ")], "folder string, project_dir string")).collect()
     assert [(r.id, r.project_dir, r.title_orig) for r in row] == [("c", "/work", "hi")]
     assert [(r.uuid, r.role, r.content) for r in chat_log.chat_messages(chats).collect()] == [("u", "user", " hi \nyou")]
-
-
-def test_tool_summaries(spark):
-    from tallyforge.operators.derived import tool_summary
-
-    cases = [('{"command":"ls\\nmore","url":"u"}', "u"), ('{"command":1,"other":"x"}', "x"), ('{"a":{"b":"c"},"z":"last"}', "last"), ("{}", ""), ("[1]", ""), ("plain\nmore", "plain"), ("", ""), ("y" * 97, "y" * 95 + "…"), ("12", "12")]
-    rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, x string")
-    got = {r.i: r.s for r in rows.select("i", tool_summary(F.col("x")).alias("s")).collect()}
-    assert [got[i] for i in range(len(cases))] == [e for _, e in cases]
