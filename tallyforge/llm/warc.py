@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 #: Elements that end a line of text.
 BLOCKS = "p|div|li|ul|ol|h1|h2|h3|h4|h5|h6|br|tr|table|article|section|header|footer|nav|title|blockquote|pre|main|aside"
-#: The rest of a tag after its name: its first 32 quoted values may hold any character.
-REST = r"""[^>"']*(?:(?:"[^"]*(?:"|\z)|'[^']*(?:'|\z))[^>"']*){0,32}[^>]*(?:>|\z)"""
+#: The rest of a tag after its name; quoted values may hold any character.
+REST = r"""[^>"']*(?:(?:"[^"]*(?:"|\z)|'[^']*(?:'|\z))[^>"']*)*[^>]*(?:>|\z)"""
 #: Steps of text extraction, in order: pattern and replacement.
 STEPS = [
     (r"(?s)<!--.*?(?:-->|\z)", ""),
@@ -45,7 +45,7 @@ VERSION = "WARC/1.1"
 
 def _possessive(pattern: str) -> str:
     """The same pattern for a matcher that backtracks: runs that end at a character they exclude give nothing back."""
-    for run in ("""[^>"']*""", '[^"]*', "[^']*", "[^>]*", "{0,32}"):
+    for run in ("""[^>"']*""", '[^"]*', "[^']*", "[^>]*", """[^>"']*+)*"""):
         pattern = pattern.replace(run, run + "+")
     return pattern
 

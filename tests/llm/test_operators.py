@@ -330,6 +330,29 @@ def test_topk(spark):
     assert sorted(got) == sorted(expected)
 
 
+def test_topk_asks_rows_that_share_an_id(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    plain = [(int(i), [float(x) for x in rng.integers(-2, 3, 4)], 0, 1) for i in rng.integers(0, 6, 70) * 50]
+    rows = [*plain, *plain[:9], *plain[:9], (100, [0.0] * 4, 0, 1), (100, [0.0] * 4, 0, 1), (100, [9.0] * 4, 0, 1), (None, [1.0] * 4, 0, 1)]
+    got = [tuple(r) for r in topk.searched(spark.createDataFrame(rows, VECTORS).repartition(5), F.col("vec_id") % 100 == 0, k=12).collect()]
+    expected = []
+    for n, (q, v, *_) in enumerate(rows[:-1]):
+        if q % 100 == 0:
+            scores = sorted((-sum(int(1024 * a) * int(1024 * b) for a, b in zip(v, w)), i) for m, (i, w, *_) in enumerate(rows[:-1]) if m != n)
+            expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:12])]
+    assert sorted(got) == sorted(expected)
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INT)")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, 0)", [r[:2] for r in rows])
+    assert sorted(con.execute(topk.sql(k=12)).fetchall()) == sorted(expected)
+    two = spark.createDataFrame([(100, [1.0], 0, 1), (100, [2.0], 0, 1)], VECTORS)
+    assert sorted(tuple(r) for r in topk.searched(two, F.col("vec_id") % 100 == 0).collect()) == [(100, 1, 100, 2 << 20), (100, 1, 100, 2 << 20)]
+
+
 def test_language_learns(spark):
     rows = [(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") * 5, "en" if i % 2 else "de") for i in range(80)]
     rows += [(900, None, "en"), (901, "123 456", "de"), (902, "", None), (903, "ẍ" * 50_000, "en")]
@@ -460,7 +483,7 @@ def test_warc_sql_agrees_on_odd_pages(spark):
     import duckdb
     import pandas as pd
 
-    odd = ["", None, "<p", "<!--", "a<!-- b", "<script>x", "<a href='>'>t</a>", '<a b="c', "&", "&&amp;", "&#x1F600;&#55296;&#1114112;", "<style>.</style >z", "x < y > z", "<p>1<br/>2<pre> 3\n 4</pre>", "&nbsp;a&NBSP;"]
+    odd = ["", None, "<p", "<!--", "a<!-- b", "<script>x", "<a href='>'>t</a>", '<a b="c', "&", "&&amp;", "&#x1F600;&#55296;&#1114112;", "<style>.</style >z", "x < y > z", "<p>1<br/>2<pre> 3\n 4</pre>", "&nbsp;a&NBSP;", "<a " + " ".join(f'x{k}="p>q"' for k in range(60)) + ">t</a>", "<p " + "'>'" * 500 + ">v"]
     pages = pd.DataFrame({"page_id": range(len(odd)), "url": "u", "html": odd})
     spark_rows = warc.derivatives(warc.responses(spark.createDataFrame([(i, "u", h, "", 1) for i, h in enumerate(odd)], PAGES))).collect()
     con = duckdb.connect()
@@ -473,7 +496,7 @@ def test_warc_sql_agrees_on_odd_pages(spark):
 def test_warc_time_grows_with_length_alone(spark):
     import time
 
-    long = ["<script>" * 400_000, "<script" * 400_000, '<a b="' * 400_001, "<!--" * 700_000, "<" * 3_000_000, "&#" * 1_000_000, "</script " * 300_000, "word <b>and</b> " * 200_000]
+    long = ["<script>" * 400_000, "<script" * 400_000, '<a b="' * 400_001, "<!--" * 700_000, "<" * 3_000_000, "&#" * 1_000_000, "</script " * 300_000, "word <b>and</b> " * 200_000, "<a " + 'x=">" ' * 400_000 + ">t"]
     start = time.time()
     rows = warc.derivatives(warc.responses(spark.createDataFrame([(i, "u", h, "", 1) for i, h in enumerate(long)], PAGES))).collect()
     assert len(rows) == 2 * len(long) and time.time() - start < 60
