@@ -39,7 +39,7 @@ def chat_sessions(chats: DataFrame, roots: DataFrame) -> DataFrame:
     said = F.filter(F.transform(F.filter("messages", lambda m: m["type"] == "user"), lambda m: _trimmed(F.try_element_at(_texts(m["content"]), F.lit(1)))), lambda t: t != "")
     rows = chats.withColumn("folder", F.regexp_extract("path", r"^(.*)[/\\]chats[/\\][^/\\]*$", 1)).join(roots.select("folder", "project_dir"), "folder", "left")
     title = truncated(F.coalesce(F.try_element_at(said, F.lit(1)), F.lit("")), TITLE_LIMIT)
-    return rows.select(F.col("session_id").alias("id"), F.lit("gemini").alias("source"), F.coalesce(F.trim("project_dir"), F.lit("")).alias("project_dir"), title.alias("title_orig"), "started_at", "last_active_at", F.lit("").alias("agent_type"), F.lit("").alias("parent_session_id"))
+    return rows.select(F.col("session_id").alias("id"), F.lit("gemini").alias("source"), F.coalesce(_trimmed(F.col("project_dir")), F.lit("")).alias("project_dir"), title.alias("title_orig"), "started_at", "last_active_at", F.lit("").alias("agent_type"), F.lit("").alias("parent_session_id"))
 
 
 def chat_messages(chats: DataFrame) -> DataFrame:

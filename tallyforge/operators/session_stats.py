@@ -168,9 +168,7 @@ def day_groups(rows: DataFrame, day: Column, *order: Column) -> tuple[DataFrame,
     before = F.lag("_day").over(own)
     marked = ranged.withColumn("_new", (F.row_number().over(own) == 1) | ~before.eqNullSafe(F.col("_day")))
     marked = marked.withColumn("_run", F.sum(F.col("_new").cast("bigint")).over(own))
-    path = scratch.folder(rows.sparkSession)  # written: the ranges are sampled anew each time they are worked out
-    marked.write.parquet(path)
-    marked = rows.sparkSession.read.schema(marked.schema).parquet(path)
+    marked = scratch.stored(marked)  # the ranges are sampled anew each time they are worked out
     runs = marked.groupBy("_part", "_run").agg(F.first("_day").alias("_day"), F.count("*").alias("n"), F.min(F.struct(*keys)).alias("_first"))
     few = Window.orderBy("_first")  # a row for each run
     starts = (F.row_number().over(few) == 1) | ~F.lag("_day").over(few).eqNullSafe(F.col("_day"))

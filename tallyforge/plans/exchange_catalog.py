@@ -15,13 +15,6 @@ A, B, C = "00000000000a", "00000000000b", "00000000000c"
 _NO_CURSORS = "path_key string, modified timestamp, line bigint"
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder."""
-    path = scratch.folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _home(spark: SparkSession, rows: DataFrame, upto: int, home: str) -> None:
     streams.grown(rows.withColumn("path", F.concat(F.lit(".codex/sessions/2024/01/"), F.substring_index("path", "/", -1))), home, upto)
 
@@ -32,10 +25,10 @@ def due_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = streams.thread_files(spark, sf_dir).persist()
     _home(spark, rows, 1, home)
     first = discovery.due(discovery.listing(spark, home, source), spark.createDataFrame([], _NO_CURSORS))
-    cursors = _stored(discovery.read_lines(first)[1])
+    cursors = scratch.stored(discovery.read_lines(first)[1])
     _home(spark, rows.filter(F.regexp_extract("path", r"(\d+)\.jsonl", 1).cast("bigint") % 2 == 0), 2, home)
     rows.unpersist()
-    due = _stored(discovery.due(discovery.listing(spark, home, source), cursors))
+    due = scratch.stored(discovery.due(discovery.listing(spark, home, source), cursors))
     lines, now = discovery.read_lines(due)
     new = lines.filter("line > after").groupBy("path").agg(F.count("*").alias("new_lines"))
     own = due.join(new, "path", "left").withColumn("path_key", discovery.path_key("path")).join(now.select("path_key", "line"), "path_key")
@@ -48,7 +41,7 @@ def due_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = streams.thread_files(spark, sf_dir).persist()
     _home(spark, rows, 1, home)
     first = discovery.due(discovery.listing(spark, home, source), spark.createDataFrame([], _NO_CURSORS))
-    cursors = _stored(discovery.read_lines(first)[1])
+    cursors = scratch.stored(discovery.read_lines(first)[1])
     _home(spark, rows.filter(F.regexp_extract("path", r"(\d+)\.jsonl", 1).cast("bigint") % 2 == 0), 2, home)
     rows.unpersist()
     lines = discovery.read_lines(discovery.due(discovery.listing(spark, home, source), cursors))[0]

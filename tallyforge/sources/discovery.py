@@ -146,15 +146,19 @@ def read_whole(files: DataFrame) -> DataFrame:
 
 
 def heads(files: DataFrame, most: int = HEAD) -> DataFrame:
-    """(path, head) of files: their first bytes as text; nothing more of a file is read. A head that isn't UTF-8 is empty."""
+    """(path, head) of files: their first bytes as text; nothing more of a file is read. A head that isn't UTF-8 is empty, a file that isn't there has none."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            paths = batch.column("path").to_pylist()
-            found = [ranges.head(*ranges.located(p), most) for p in paths]
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(found, pa.binary())], ["path", "content"])
+            found = []
+            for path in batch.column("path").to_pylist():
+                try:
+                    found.append((path, ranges.head(*ranges.located(path), most)))
+                except FileNotFoundError:
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([h for _, h in found], pa.binary())], ["path", "content"])
 
     read = files.select("path").mapInArrow(run, "path string, content binary")
     return read.select("path", F.when(F.is_valid_utf8(F.col("content")), F.col("content").cast("string")).otherwise("").alias("head"))

@@ -2,6 +2,7 @@
 
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -23,8 +24,10 @@ def duck():
 def plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return "null"
-    if isinstance(v, (int, float)) and not isinstance(v, bool):
-        return f"{float(v):.5f}"
+    if isinstance(v, Decimal) or isinstance(v, int) and not isinstance(v, bool):
+        return str(Decimal(v).normalize())  # exact
+    if isinstance(v, float):
+        return f"{v:.6f}"
     return str(v)
 
 
