@@ -87,7 +87,7 @@ def manifest(docs: DataFrame, tree: Tree, id_column: str = "doc_id", text_column
     rows = docs.select(F.col(id_column).alias("id"), (F.octet_length(text) + F.lit(OVERHEAD)).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
     placed = written(shard(shard(rows, F.col("id"), tree, "shard"), F.col("id"), grown(tree), "grown_shard"))
     order = ["shard", "id", "size", "crc"]
-    ordered = written(placed.withColumns({"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")}).sort(*order, "file", "row"))
+    ordered = written(placed.withColumns({"file": F.xxhash64("_metadata.file_path"), "row": F.col("_metadata.row_index")}).sort(*order, "file", "row"))
     ordered = ordered.select(*order, "grown_shard", F.struct(*order[1:], "file", "row").alias("place"), F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("at"))
     runs = ordered.groupBy("shard", "part").agg(F.min("place").alias("first"), F.min("at").alias("start"), F.count("*").alias("n"))
     earlier = F.sum("n").over(_by("shard").orderBy("first").rowsBetween(_by().unboundedPreceding, -1))
