@@ -8,7 +8,7 @@ from tallyforge.functions import expr
 from tallyforge.functions.expr import UNKNOWN_PROJECT
 from tallyforge.operators import pricing, usage as u
 from tallyforge.operators.usage import SessionFilter, UsageFilter
-from tallyforge.plans import collect_catalog, database_catalog, exchange_catalog, log_catalog, stats_catalog, stream_catalog, view_catalog
+from tallyforge.plans import collect_catalog, database_catalog, exchange_catalog, log_catalog, stats_catalog, store_catalog, stream_catalog, view_catalog
 from tallyforge.sources import adapters as a
 
 WINDOW = UsageFilter(since="2024-01-05T00:00:00", until="2024-01-20T12:00:00")
@@ -200,7 +200,7 @@ CATALOG = {
 
 
 def _all() -> dict:
-    return CATALOG | log_catalog.CATALOG | database_catalog.CATALOG | view_catalog.CATALOG | stats_catalog.CATALOG | exchange_catalog.CATALOG | collect_catalog.CATALOG | stream_catalog.CATALOG
+    return CATALOG | log_catalog.CATALOG | database_catalog.CATALOG | view_catalog.CATALOG | stats_catalog.CATALOG | exchange_catalog.CATALOG | collect_catalog.CATALOG | store_catalog.CATALOG | stream_catalog.CATALOG
 
 
 def queries() -> dict:
