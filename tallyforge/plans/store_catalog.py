@@ -9,7 +9,9 @@ from tallyforge.operators import snapshots, store
 from tallyforge.plans.log_catalog import STAMP
 from tallyforge.sources import adapters as a
 
-_N = F.substring("id", 2, 20).cast("bigint")
+def _n():
+    """The user that a session is made of."""
+    return F.substring("id", 2, 20).cast("bigint")
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,18 +19,18 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = lambda c: F.date_format(c, STAMP).alias(c)
     return a.sessions(spark, sf_dir).select(
         "id", "device_id", "source", "project_dir", F.col("title").alias("title_orig"), stamp("started_at"), stamp("last_active_at"), F.lit("").alias("agent_type"), "parent_session_id",
-        F.when(_N % 4 == 0, F.concat(F.lit("Mine "), "id")).otherwise("").alias("custom_title"), "favorited", F.lit("").alias("synced_group_id"), F.col("local_group").alias("local_group_id"), "excluded",
+        F.when(_n() % 4 == 0, F.concat(F.lit("Mine "), "id")).otherwise("").alias("custom_title"), "favorited", F.lit("").alias("synced_group_id"), F.col("local_group").alias("local_group_id"), "excluded",
     )
 
 
 def _collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions as collected again: even users', with other titles, as favourites."""
-    return _sessions(spark, sf_dir).filter(_N % 2 == 0).withColumns({"title_orig": F.concat(F.lit("New "), "id"), "favorited": F.lit(True), "synced_group_id": F.lit("y")})
+    return _sessions(spark, sf_dir).filter(_n() % 2 == 0).withColumns({"title_orig": F.concat(F.lit("New "), "id"), "favorited": F.lit(True), "synced_group_id": F.lit("y")})
 
 
 def _upserted(with_favorites: bool):
     def run(s, d):
-        out = store.upserted_sessions(_sessions(s, d).filter(_N % 3 != 0), _collected(s, d), with_favorites)
+        out = store.upserted_sessions(_sessions(s, d).filter(_n() % 3 != 0), _collected(s, d), with_favorites)
         return out.select("id", "device_id", "title_orig", "custom_title", "favorited", "synced_group_id", "local_group_id")
 
     return run
@@ -37,7 +39,7 @@ def _upserted(with_favorites: bool):
 def _set_by_users(s, d):
     own = _sessions(s, d)
     setting = lambda rows, column, value, at: rows.select("id", "device_id", F.lit(column).alias("column"), value.alias("value"), F.lit(at).alias("updated_at"))
-    even, third = own.filter(_N % 2 == 0), own.filter(_N % 3 == 0)
+    even, third = own.filter(_n() % 2 == 0), own.filter(_n() % 3 == 0)
     overlay = setting(even, "custom_title", F.concat(F.lit("First "), "id"), "1").unionByName(setting(even, "custom_title", F.concat(F.lit("Then "), "id"), "2")).unionByName(setting(third, "favorited", F.lit("true"), "1"))
     return store.user_columns(own, overlay).select("id", "device_id", "custom_title", "favorited", "local_group_id")
 
@@ -54,12 +56,12 @@ def _counted(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 
 def _reconciled(s, d):
     own = _sessions(s, d)
-    return _counted(*store.reconciled(own, _messages(s, d), own.filter(_N % 2 == 0), "claude", "d0"))
+    return _counted(*store.reconciled(own, _messages(s, d), own.filter(_n() % 2 == 0), "claude", "d0"))
 
 
 def _unfavorited(s, d):
     own = _sessions(s, d)
-    return _counted(*store.unfavorited(own, _messages(s, d), own.filter(_N % 5 == 0)))
+    return _counted(*store.unfavorited(own, _messages(s, d), own.filter(_n() % 5 == 0)))
 
 
 def _repriced(s, d):
@@ -120,6 +122,6 @@ CATALOG = {
     "U15_backed": (_backed, f"SELECT {_ID} AS device_id, c_custkey % 100 = 0 AS is_self FROM customer WHERE c_custkey % 100 = 0 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
     "J15_names": (_names, f"SELECT {_ID} AS device_id, CASE WHEN c_custkey % 8 = 4 THEN c_name WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'Device-' || substr({_ID}, 1, 6) END AS name FROM customer"),
     "A18_peers": (lambda s, d: snapshots.peers(_sessions(s, d), "d1"), f"{_SESSIONS} SELECT DISTINCT device_id FROM own WHERE favorited AND device_id <> 'd1'"),
-    "J17_vanished": (lambda s, d: snapshots.vanished(_sessions(s, d), _sessions(s, d).filter(_N % 10 == 0), "d1"), f"{_SESSIONS} SELECT id, device_id FROM own WHERE favorited AND device_id <> 'd1' AND n % 10 <> 0"),
+    "J17_vanished": (lambda s, d: snapshots.vanished(_sessions(s, d), _sessions(s, d).filter(_n() % 10 == 0), "d1"), f"{_SESSIONS} SELECT id, device_id FROM own WHERE favorited AND device_id <> 'd1' AND n % 10 <> 0"),
     "W5_transcript": (_transcript, f"{_SESSIONS} SELECT session_id, device_id, uuid, CAST(row_number() OVER (PARTITION BY session_id, device_id ORDER BY ts, uuid) AS INTEGER) AS place FROM messages"),
 }
