@@ -95,10 +95,10 @@ def stars(value: np.ndarray, node: np.ndarray, screen: np.ndarray) -> tuple[np.n
     return join(a, np.int64), join(b, np.int64), join(heads, np.int64)
 
 
-def apart(value: np.ndarray, node: np.ndarray, root: np.ndarray, screen: np.ndarray) -> np.ndarray:
-    """All pairs (a, b) of nodes, a below b, under equal values that have different roots and pass the screen."""
+def meetings(value: np.ndarray, root: np.ndarray, screen: np.ndarray):
+    """Positions (a, b), about AT_ONCE at a time, of all rows under equal values that have different roots, as far as they pass the screen."""
     at = np.lexsort((root, value))
-    value, node, root, screen = value[at], node[at], root[at], screen[at]
+    value, root, screen = value[at], root[at], screen[at]
     place = np.arange(len(at))
     new = np.concatenate([np.ones(1, bool), value[1:] != value[:-1]])[: len(at)]
     fresh = new | np.concatenate([np.ones(1, bool), root[1:] != root[:-1]])[: len(at)]
@@ -107,7 +107,6 @@ def apart(value: np.ndarray, node: np.ndarray, root: np.ndarray, screen: np.ndar
     open_ = np.flatnonzero(last > first)
     place, first, partners = place[open_], first[open_], (last - first)[open_]
     before = np.cumsum(partners) - partners
-    out = [np.zeros((0, 2), np.int64)]
     start = 0
     while start < len(place):
         stop = max(start + 1, int(np.searchsorted(before, before[start] + AT_ONCE)))
@@ -115,9 +114,14 @@ def apart(value: np.ndarray, node: np.ndarray, root: np.ndarray, screen: np.ndar
         a = np.repeat(place[start:stop], n)
         b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[start:stop], n)
         near = np.bitwise_count(screen[a] ^ screen[b]) <= SCREEN
-        out.append(np.unique(np.sort(np.column_stack([node[a[near]], node[b[near]]]), axis=1), axis=0))
+        yield at[a[near]], at[b[near]]
         start = stop
-    return np.unique(np.concatenate(out), axis=0)
+
+
+def apart(value: np.ndarray, node: np.ndarray, root: np.ndarray, screen: np.ndarray) -> np.ndarray:
+    """All pairs (a, b) of nodes, a below b, under equal values that have different roots and pass the screen."""
+    out = [np.unique(np.sort(np.column_stack([node[a], node[b]]), axis=1), axis=0) for a, b in meetings(value, root, screen)]
+    return np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
 
 
 def sketches(docs: DataFrame, shingle: int, few: int) -> DataFrame:
@@ -203,10 +207,13 @@ def colliding(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", *WORDS).mapInArrow(deal, "own bigint, rows binary, pairs binary").groupBy("own").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def unlinked(nodes: DataFrame) -> DataFrame:
-    """All pairs (a, b) of nodes that meet under a value of a table, pass the screen and have different roots."""
+def _in_classes(nodes: DataFrame, names: list[str], meet, schema: str) -> DataFrame:
+    """What ``meet`` makes of the rows of each class of a table: rows (v, node, root, the words named), own class, table, bits.
+
+    Classes beyond CLASS_ROWS are split in blocks, each pair of which meets.
+    """
     bits = class_bits(nodes.count())
-    row = np.dtype([("v", "<u4"), ("node", "<i8"), ("root", "<i8"), ("screen", "<u8")])
+    row = np.dtype([("v", "<u4"), ("node", "<i8"), ("root", "<i8"), ("words", "<u8", (len(names),))])
 
     def values_of(batch):
         for t in range(TABLES):
@@ -230,33 +237,88 @@ def unlinked(nodes: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            node, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root"))
-            screen = batch.column(WORDS[-1]).to_numpy(zero_copy_only=False).view(_U)
+            rows = np.empty(batch.num_rows, row)
+            rows["node"], rows["root"] = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root"))
+            for k, name in enumerate(names):
+                rows["words"][:, k] = batch.column(name).to_numpy(zero_copy_only=False).view(_U)
             for t, v in values_of(batch):
-                rows = np.empty(len(node), row)
-                rows["v"], rows["node"], rows["root"], rows["screen"] = v, node, root, screen
+                rows["v"] = v
                 own = classes_of(v, bits).ravel()
                 order = np.argsort(own, kind="stable")
                 found, first = np.unique(own[order], return_index=True)
                 out = []
-                for c, part in zip((found + (t << bits)).tolist(), np.split(np.tile(rows, bits + 1)[order], first[1:]), strict=False):
-                    n = blocks.get(c, 1)
+                for c, at in zip((found + (t << bits)).tolist(), np.split(order % max(1, len(rows)), first[1:]), strict=False):
+                    part, n = rows[at], blocks.get(c, 1)
                     sub = (mix(part["node"].view(_U) if n > 1 else np.zeros(len(part), _U)) % _U(n)).astype(int)
                     out += [(c, min(i, j), max(i, j), part[sub == i].tobytes()) for i in range(n) for j in range(n)]
                 columns = list(zip(*[o for o in out if o[3]], strict=True)) or [()] * 4
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["own", "i", "j", "rows"])
 
-    def meet(table):
+    def run(table):
+        own = table.column("own")[0].as_py()
+        return meet(np.frombuffer(b"".join(table.column("rows").to_pylist()), row), own & (1 << bits) - 1, own >> bits, bits)
+
+    dealt = nodes.select("node", "root", *WORDS).mapInArrow(deal, "own bigint, i int, j int, rows binary")
+    return dealt.groupBy("own", "i", "j").applyInArrow(run, schema)
+
+
+def _met(rows: np.ndarray, own: int, bits: int):
+    """Positions (a, b) of a class's rows that meet under a value, pass the screen (the last word) and have different roots."""
+    placed = np.empty(len(rows), [("v", "<u4"), ("at", "<i8")])
+    placed["v"], placed["at"] = rows["v"], np.arange(len(rows))
+    values, under = ball(placed, own, bits)
+    at = np.concatenate([r["at"] for r in under])
+    for a, b in meetings(values, rows["root"][at], rows["words"][:, -1][at]):
+        yield at[a], at[b]
+
+
+def partnered(nodes: DataFrame) -> DataFrame:
+    """The nodes that meet another of a different root under a value of a table and pass the screen with it."""
+
+    def meet(rows, own, t, bits):
         import pyarrow as pa
 
-        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), row)
-        values, under = ball(rows, table.column("own")[0].as_py() & (1 << bits) - 1, bits)
-        pairs = apart(values, *(np.concatenate([r[c] for r in under]) for c in ("node", "root", "screen")))
+        found = np.zeros(len(rows), bool)
+        for a, b in _met(rows, own, bits):
+            found[a] = found[b] = True
+        return pa.table({"node": np.unique(rows["node"][found])})
+
+    return _in_classes(nodes, WORDS[-1:], meet, "node bigint").distinct()
+
+
+def unlinked(nodes: DataFrame, most: int = BITS) -> DataFrame:
+    """All pairs (a, b) of nodes that meet under a value of a table, pass the screen and have different roots.
+
+    Pairs whose sketches differ in more than ``most`` bits are left out. Nodes without a partner, nearly all, are found
+    first, from screens alone; the others meet again with their whole sketches, which tell in which table and
+    class a pair meets first: only there it is made.
+    """
+
+    def meet(rows, own, t, bits):
+        import pyarrow as pa
+
+        mask = np.uint32((1 << bits) - 1)
+        out = [np.zeros((0, 2), np.int64)]
+        for a, b in _met(rows, own, bits):
+            va, vb = rows["v"][a], rows["v"][b]
+            # Values with two or fewer differing bits meet under these two; with none, under the value itself.
+            low = (va ^ vb) & (~(va ^ vb) + np.uint32(1))
+            here = np.minimum((va ^ low) & mask, (vb ^ low) & mask) == own
+            a, b = a[here], b[here]
+            differ = rows["words"][a] ^ rows["words"][b]
+            apart_in = np.bitwise_count(differ[:, :-1].copy().view("<u4"))
+            first = np.argmax(apart_in <= 2, axis=1) == t
+            close = apart_in.sum(axis=1, dtype=np.int64) + np.bitwise_count(differ[:, -1]) <= most
+            pairs = np.column_stack([rows["node"][a], rows["node"][b]])[first & close]
+            out.append(np.unique(np.sort(pairs, axis=1), axis=0))
+        pairs = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
 
-    dealt = nodes.select("node", "root", *WORDS).mapInArrow(deal, "own bigint, i int, j int, rows binary")
-    return dealt.groupBy("own", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
+    nodes = written(nodes.select("node", "root", *WORDS))
+    some = written(nodes.join(written(partnered(nodes)), "node").select("node", "root", *WORDS))
+    # Blocks of a split class may make a pair more than once.
+    return _in_classes(some, WORDS, meet, "a bigint, b bigint").distinct()
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -340,7 +402,7 @@ def _keyed_links(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     distance = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(len(WORDS))), F.lit(0))
     named = nodes.select("node", "low", F.col("node").alias("root"))
     # Stars link large groups first; what they leave apart meets in all pairs.
-    for meeting in (colliding, unlinked):
+    for meeting in (colliding, lambda nodes: unlinked(nodes, most)):
         met = meeting(named.join(nodes.select("node", *WORDS), "node"))
         pairs = met.join(ends.toDF("a", "sa"), "a").join(ends.toDF("b", "sb"), "b")
         pairs = written(_between(pairs.select("a", "b", distance.alias("distance")).filter(F.col("distance") <= most), named))
