@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,21 +53,39 @@ def tool_summary(content: Column) -> Column:
     Of a list it is the first text. Of arguments of one name the last counts, in the place of the first; names that are whole numbers come first, in
     their order. White space around the whole goes.
     """
-    text = F.regexp_replace(content, r"(?U)\A[\s\uFEFF]+|[\s\uFEFF]+\z", "")
-    kind = F.schema_of_variant(F.try_parse_json(text))
-    own = F.from_json(F.when(text.startswith("{") & text.endswith("}"), text), "map<string, variant>")
-    is_object = kind.startswith("OBJECT") | (kind.isNull() & own.isNotNull())  # a variant takes no name twice
-    entries = F.map_entries(own)
-    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    trimmed = F.regexp_replace(content, r"(?U)\A[\s\uFEFF]+|[\s\uFEFF]+\z", "")
+    line = _bound(trimmed, lambda text: _bound(F.schema_of_variant(F.try_parse_json(text)), lambda kind: _told(text, kind)))
+    return _bound(F.substring_index(line, "\n", 1), lambda x: F.when(F.char_length(x) > SUMMARY_LIMIT, F.concat(F.substring(x, 1, SUMMARY_LIMIT - 1), F.lit("…"))).otherwise(x))
+
+
+def _bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What ``made`` makes of a value that is worked out once for a row, however often it is used."""
+    return F.transform(F.array(value), made)[0]
+
+
+def _told(text: Column, kind: Column) -> Column:
+    """What a tool call of a kind tells, before it is cut."""
+    is_list, braced = kind.startswith("ARRAY"), text.startswith("{") & text.endswith("}")
+    items = F.filter(F.from_json(F.when(is_list, text), "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
+    first_item = F.coalesce(F.try_variant_get(F.try_element_at(items, F.lit(1)), "$", "string"), F.lit(""))
+
+    def of_object(entries: Column) -> Column:
+        is_object = kind.startswith("OBJECT") | (kind.isNull() & entries.isNotNull())  # a variant takes no name twice
+        return F.when(is_object, _bound(_said(entries), _first)).when(is_list, first_item).otherwise(text)
+
+    return _bound(F.map_entries(F.from_json(F.when(braced, text), "map<string, variant>")), of_object)
+
+
+def _said(entries: Column) -> Column:
+    """The texts (name, v) among an object's arguments, in the order in which they are tried."""
     last = lambda name: F.element_at(F.filter(entries, lambda e: e["key"] == name), -1)["value"]
     number = lambda name: F.when(name.rlike(r"\A(?:0|[1-9][0-9]{0,9})\z"), name.try_cast("bigint"))
+    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     places = F.transform(names, lambda name, place: F.struct(F.coalesce(number(name), F.lit(1 << 40)).alias("n"), place.alias("p"), name.alias("name")))
     texts = F.filter(F.transform(F.array_sort(places), lambda x: F.struct(x["name"].alias("name"), last(x["name"]).alias("v"))), lambda x: F.schema_of_variant(x["v"]) == "STRING")
-    said = F.transform(texts, lambda x: F.struct(x["name"].alias("name"), F.try_variant_get(x["v"], "$", "string").alias("v")))
+    return F.transform(texts, lambda x: F.struct(x["name"].alias("name"), F.try_variant_get(x["v"], "$", "string").alias("v")))
+
+
+def _first(said: Column) -> Column:
     called = lambda key: F.try_element_at(F.filter(said, lambda x: x["name"] == key), F.lit(1))["v"]
-    usual = map(called, SUMMARY_KEYS)
-    items = F.filter(F.from_json(F.when(kind.startswith("ARRAY"), text), "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
-    first_item = F.try_variant_get(F.try_element_at(items, F.lit(1)), "$", "string")
-    found = F.when(is_object, F.coalesce(*usual, F.try_element_at(said, F.lit(1))["v"], F.lit(""))).when(kind.startswith("ARRAY"), F.coalesce(first_item, F.lit(""))).otherwise(text)
-    line = F.substring_index(found, "\n", 1)
-    return F.when(F.char_length(line) > SUMMARY_LIMIT, F.concat(F.substring(line, 1, SUMMARY_LIMIT - 1), F.lit("…"))).otherwise(line)
+    return F.coalesce(*map(called, SUMMARY_KEYS), F.try_element_at(said, F.lit(1))["v"], F.lit(""))

@@ -135,7 +135,8 @@ def _summaries(s, d):
         F.concat(F.lit('{"command":'), n, F.lit(',"file_path":"'), F.repeat(F.lit("é"), (p % 130).cast("int")), F.lit('\\nrest"}')),
     ]
     text = F.element_at(F.array(*shapes), (p % len(shapes) + 1).cast("int"))
-    return a.read(s, d, "part").select("p_partkey", text.alias("content")).select("p_partkey", "content", derived.tool_summary(F.col("content")).alias("summary"))
+    rows = a.read(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_size").repartition("p_partkey")  # a file of few row groups is few tasks
+    return rows.select("p_partkey", text.alias("content")).select("p_partkey", "content", derived.tool_summary(F.col("content")).alias("summary"))
 
 
 _KEYS = ", ".join(f"'{k}'" for k in derived.SUMMARY_KEYS)

@@ -106,3 +106,9 @@ def test_local_days():
 def test_notable_and_per_turn(spark):
     df = spark.createDataFrame([(1.0, 6, 4), (0.99, 6, 0), (None, 6, 3)], "cost double, r bigint, t bigint")
     assert [tuple(r) for r in df.select(st.notable(F.col("cost")), st.per_turn(F.col("r"), F.col("t"))).collect()] == [(True, 1.5), (False, None), (False, 2.0)]
+
+
+def test_a_summary_parses_a_call_once(spark):
+    df = spark.range(3).select(F.concat(F.lit('{"a":"'), "id", F.lit('"}')).alias("c")).select(derived.tool_summary(F.col("c")).alias("x"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") <= 2
+    assert [r["x"] for r in df.collect()] == ["0", "1", "2"]
