@@ -20,11 +20,18 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 THREAD = "seen boolean, id string, fork boolean, takeover bigint, first string, known string, i bigint, c bigint, o bigint, calls bigint"
 UNNAMED = "line bigint, call bigint, stamp string, i bigint, c bigint, o bigint"
 CALLS = "path string, correction boolean, thread string, fork boolean, call bigint, stamp string, model string, i bigint, c bigint, o bigint"
+STEP = ("line", "meta", "thread", "fork", "takeover", "told", "total", "stamp", "counted", "i", "c", "o")
+MADE = [f.split(" ")[0] for f in CALLS.split(", ")]
 _NEW = (False, None, False, None, None, None, 0, 0, 0, 0)
 
 
+def _there(value) -> bool:
+    """Whether a value of a frame is neither None nor NaN."""
+    return value is not None and value == value
+
+
 class Threads(StatefulProcessor):
-    """Folds the steps of a file, in the order of their lines."""
+    """Folds the steps of a file, in the order of their lines; threads have few steps in a batch, so they are plain values."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.thread = handle.getValueState("thread", THREAD)
@@ -33,45 +40,43 @@ class Threads(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
-        steps = pd.concat(list(rows)).sort_values("line", kind="stable")
-        seen, thread, fork, takeover, first, known, *totals, calls = self.thread.get() if self.thread.exists() else _NEW
-        if not seen and steps["meta"].any():
-            told = steps[steps["meta"]].iloc[0]
-            seen, thread, fork = True, told["thread"], bool(told["fork"])
-        if takeover is None and steps["takeover"].any():
-            takeover = int(steps.loc[steps["takeover"], "line"].iloc[0])
-        named = steps["told"].dropna()
-        learned = first is None and len(named) > 0
-        first = named.iloc[0] if learned else first
-        upto = steps["told"].ffill()
-        steps["model"] = upto.where(upto.notna(), known if known is not None else first)
-        known = named.iloc[-1] if len(named) else known
-
-        counted = steps[steps["counted"]].copy()
-        is_total = counted["total"].to_numpy(bool)
-        now = counted[["i", "c", "o"]].to_numpy("int64")
-        if is_total.any():
-            own = now[is_total]
-            before = [totals, *own[:-1].tolist()]
-            counted.loc[is_total, ["i", "c", "o"]] = (own - before).clip(min=0)
-            totals = own[-1].tolist()
-        counted = counted[(counted["i"] > 0) | (counted["o"] > 0)]
-        counted["call"] = range(calls + 1, calls + 1 + len(counted))
-        calls += len(counted)
+        steps = sorted((r for part in rows for r in zip(*(part[c].tolist() for c in STEP))), key=lambda r: r[0])
+        seen, thread, fork, takeover, first, known, *totals, calls = self.thread.get() or _NEW
+        named = None
+        for line, meta, own_thread, own_fork, takes_over, told, *_ in steps:
+            if meta and not seen:
+                seen, thread, fork = True, own_thread, own_fork is True
+            if takes_over and takeover is None:
+                takeover = line
+            if named is None and _there(told):
+                named = told
+        learned = first is None and named is not None
+        first = named if learned else first
         starts = takeover if fork and takeover is not None else -1
-        counted = counted[counted["line"] >= starts].assign(correction=False)
 
-        out = [counted]
+        out, unnamed = [], []
+        for line, _, _, _, _, told, total, stamp, counted, *now in steps:
+            known = told if _there(told) else known
+            if not counted:
+                continue
+            if total:
+                now, totals = [max(n - t, 0) for n, t in zip(now, totals)], now
+            i, c, o = now
+            if i > 0 or o > 0:
+                calls += 1
+                if line >= starts:
+                    stamp = stamp if _there(stamp) else None
+                    out.append((key[0], False, thread, fork, calls, stamp, known if known is not None else first, i, c, o))
+                    unnamed.append((line, calls, stamp, i, c, o))
         if first is None:
-            if len(counted):
-                self.unnamed.appendList([tuple(None if v is None or v != v else v for v in r) for r in counted[["line", "call", "stamp", "i", "c", "o"]].astype(object).values.tolist()])
+            if unnamed:
+                self.unnamed.appendList(unnamed)
         elif learned and self.unnamed.exists():
-            late = pd.DataFrame(list(self.unnamed.get()), columns=["line", "call", "stamp", "i", "c", "o"])
-            out.append(late[late["line"] >= starts].assign(correction=True, model=first))
+            out += [(key[0], True, thread, fork, call, stamp, first, *n) for line, call, stamp, *n in self.unnamed.get() if line >= starts]
             self.unnamed.clear()
-        self.thread.update((seen, thread, fork, takeover, first, known, *(int(t) for t in totals), calls))
-        made = pd.concat([o for o in out if len(o)] or out[:1]).assign(path=key[0], thread=thread, fork=fork)
-        yield made[["path", "correction", "thread", "fork", "call", "stamp", "model", "i", "c", "o"]]
+        self.thread.update((seen, thread, fork, takeover, first, known, *totals, calls))
+        if out:
+            yield pd.DataFrame(out, columns=MADE)
 
     def close(self) -> None:
         pass
