@@ -60,13 +60,15 @@ def parsed(lines: DataFrame) -> DataFrame:
     """Events of the known types and those that mark a takeover, with what the whole file tells about its thread.
 
     thread_id and is_fork come from the first session_meta with an id; boundary is the line where a forked thread
-    starts on its own; a thread that isn't forked has none.
+    starts on its own; a thread that isn't forked has none. told, total and single are a line's model and counters:
+    folds that need no more shuffle and sort these alone, once, in the order of the lines.
     """
     rows = lines.select("path", "after", "line", F.from_json("value", EVENT).alias("e")).select("path", "after", "line", "e.*").filter("type IS NOT NULL")
     meta, thread, fork, takeover = _identity()
     meta = F.when(meta, F.col("line"))
-    file = Window.partitionBy("path")
-    rows = rows.withColumns({"_meta": meta, "_thread": thread, "_fork": fork, "_over": F.when(takeover, F.col("line"))})
+    file = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told, total, single = _counters()
+    rows = rows.withColumns({"told": told, "total": total, "single": single, "_meta": meta, "_thread": thread, "_fork": fork, "_over": F.when(takeover, F.col("line"))})
     rows = rows.withColumns({"thread_id": F.min_by("_thread", "_meta").over(file), "is_fork": F.coalesce(F.min_by("_fork", "_meta").over(file), F.lit(False)), "boundary": F.min("_over").over(file)})
     return rows.withColumn("boundary", F.when(F.col("is_fork"), F.col("boundary"))).drop("_meta", "_thread", "_fork", "_over")
 
@@ -79,8 +81,7 @@ def session_id(path: Column, thread_id: Column) -> Column:
 
 def _calls(events: DataFrame, collected_at: str) -> DataFrame:
     """Calls of all lines, with the model that is known at their line and the first that the file tells."""
-    told, total, single = _counters()
-    rows = events.withColumns({"told": told, "total": total, "single": single})
+    rows = events.select("path", "after", "line", "timestamp", "told", "total", "single", "thread_id", "is_fork", "boundary")
     ordered = Window.partitionBy("path").orderBy("line")
     before, upto, whole = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(Window.unboundedPreceding, 0), ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumns({"known": F.last("told", True).over(upto), "first": F.first("told", True).over(whole), "prev": F.last("total", True).over(before)})
