@@ -76,17 +76,16 @@ FOLDS: dict[str, Callable[[Due], Found]] = {"claude": _messages, "codex": _threa
 def found(spark: SparkSession, home: str, source: Source, progress: DataFrame, collected_at: str) -> Found:
     """What is new of a source below a home, with its cursors and the sessions that are there.
 
-    The lines are stored once, so that a file that grows meanwhile tells every fold the same.
+    Listing and lines are stored once, so that a file that grows meanwhile tells every fold the same.
     """
     files = discovery.listing(spark, home, source)
     due = scratch.stored(discovery.due(files, progress))
     by_lines = due.filter(F.col("gate") == LINES)
     lines, cursors = discovery.read_lines(by_lines)
-    lines = scratch.stored(lines)
     whole = due.filter(F.col("gate") == WHOLE).select(discovery.path_key("path").alias("path_key"), "modified", F.lit(0).cast("bigint").alias("line"))
     out = FOLDS[source.name](Due(spark, home, files, due, lines, collected_at))
     out.progress = cursors.unionByName(whole)
-    out.seen = discovery.seen_ids(files, source).select(F.lit(source.name).alias("source"), "id")
+    out.seen = scratch.stored(discovery.seen_ids(files, source).select(F.lit(source.name).alias("source"), "id"))
     return out
 
 

@@ -114,3 +114,15 @@ def test_whole_files(spark, tmp_path):
     files = discovery.listing(spark, str(tmp_path), discovery.SOURCES["gemini"])
     assert [r["value"] for r in discovery.read_whole(files).collect()] == ['{"a":"�"}']
     assert files.select(F.max("length")).first()[0] == 9
+
+
+def test_listing_and_lines_are_read_once(spark, tmp_path):
+    folder = tmp_path / ".codex" / "sessions"
+    folder.mkdir(parents=True)
+    (folder / "a.jsonl").write_text("one\ntwo\nhal")
+    files = discovery.listing(spark, str(tmp_path), discovery.SOURCES["codex"])
+    lines, cursors = discovery.read_lines(files.withColumn("read_to", F.lit(0).cast("bigint")))
+    (folder / "a.jsonl").unlink()
+    assert files.count() == 1
+    assert sorted((r["line"], r["value"]) for r in lines.collect()) == [(1, "one"), (2, "two"), (3, "hal")]
+    assert [r["line"] for r in cursors.collect()] == [2]
