@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import landing, snapshots, store
 from tallyforge.operators.store import SESSION_KEY, USAGE_KEY
-from tallyforge.sources import discovery
+from tallyforge.sources import discovery, scratch
 from tallyforge.sources.tables import Changes, State, Tables
 
 #: A document's version that we understand.
@@ -40,22 +40,17 @@ def push(tables: Tables, folder: str, device_id: str) -> State:
     Sessions that are no favourites lose their snapshot. A day or session that got rows after they were counted keeps
     its mark for the next time.
     """
-    spark, state = tables.spark, tables.state()
-    days, marked = (t.filter(F.col("device_id") == device_id) for t in landing.exported(tables, state))
+    state = tables.state()
+    days, marked = (scratch.stored(t.filter(F.col("device_id") == device_id)) for t in landing.exported(tables, state))
     for name in ("usage", "turns"):
         store.export_days(tables.read(name, state), days.select("device_id", "day"), f"{folder}/{name}")
     sessions = tables.read("sessions", state)
     keys = marked.select(F.col("session_id").alias("id"), "device_id")
-    chosen = sessions.filter("favorited").join(keys, SESSION_KEY, "left_semi")
+    chosen = scratch.stored(sessions.filter("favorited").join(keys, SESSION_KEY, "left_semi"))
     snapshots.write(chosen, tables.read("messages", state), f"{folder}/sessions")
     favorites = chosen.select(F.col("id").alias("session_id"), "device_id")
     removed = marked.select("device_id", "session_id").join(favorites, ["device_id", "session_id"], "left_anti")
-    if _there(spark, f"{folder}/sessions/device_id={device_id}"):
-        files = discovery.listing(spark, folder, discovery.Source("own", (discovery.Shape(f"sessions/device_id={device_id}", ("*.txt",)),)))
-        own = files.select(F.element_at(F.split("path", "/"), -2).alias("name")).distinct()
-        for row in own.join(removed.select(F.concat(F.lit("id="), "session_id").alias("name")), "name", "left_semi").toLocalIterator():
-            fs, path = _path(spark, f"{folder}/sessions/device_id={device_id}/{row['name']}")  # snapshots that go: few
-            fs.delete(path, True)
+    snapshots.remove(removed, f"{folder}/sessions")
     return landing.clear_marks(tables, days, marked.join(favorites, ["device_id", "session_id"], "left_semi"), removed)
 
 
@@ -78,7 +73,7 @@ def pull(tables: Tables, folder: str, self_device: str) -> State:
             new = found
         else:
             new, said = sessions.limit(0), messages.limit(0)
-        gone = snapshots.vanished(sessions, new, self_device)
+        gone = scratch.stored(snapshots.vanished(sessions, new, self_device))
         left, kept = store.unfavorited(store.upserted_sessions(sessions, new, with_favorites=True), messages, gone)
         changes.replace["sessions"] = left
         if gone.isEmpty():

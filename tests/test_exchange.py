@@ -126,3 +126,40 @@ def test_groups_of_all_devices(spark, tmp_path):
     put(tmp_path, "data/dddddddddddd/groups.json", "broken")
     rows = exchange.groups(spark, str(tmp_path)).orderBy("position", "name", "id").collect()
     assert [(r["id"], r["name"]) for r in rows] == [("g3", "tie"), ("g1", "first"), ("g2", "new")]
+
+
+def test_snapshots_of_sessions_of_any_name_go_and_older_files_are_replaced(spark, tmp_path):
+    folder, ids = str(tmp_path / "shared"), ("a:b/c=%1", "d e", "f.g", "h%2")
+    one, two = filled(spark, tmp_path, ONE, ids), filled(spark, tmp_path, TWO, ())
+    put(tmp_path, f"shared/sessions/device_id={ONE}/id=f.g/part-0.c000.txt", {**SESSION, "id": "f.g"}, {**MESSAGE, "session_id": "f.g", "uuid": "old"})
+    favored(one, *ids)
+    exchange.push(one, folder, ONE)
+    written = sorted(p.relative_to(tmp_path / "shared" / "sessions" / f"device_id={ONE}").as_posix() for p in (tmp_path / "shared" / "sessions").rglob("*") if p.is_file())
+    assert written == ["id=a%3Ab%2Fc%3D%251/snapshot.txt", "id=d e/snapshot.txt", "id=f.g/snapshot.txt", "id=h%252/snapshot.txt"]
+    exchange.pull(two, folder, TWO)
+    assert sorted((r["session_id"], r["uuid"]) for r in two.read("messages").collect()) == sorted((s, f"a{s}{k}") for s in ids for k in range(3))
+    favored(one, "d e")
+    exchange.push(one, folder, ONE)
+    assert [p.parent.name for p in (tmp_path / "shared" / "sessions").rglob("*.txt")] == ["id=d e"]
+    exchange.pull(two, folder, TWO)
+    assert sorted((r["id"], r["favorited"]) for r in two.read("sessions").collect()) == [(s, s == "d e") for s in sorted(ids)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_calls_are_not_shuffled_by_model(spark):
+    calls = spark.createDataFrame([("u", "2024-01-01T10:00:00Z", "click", "claude", "s1", 10, 1, 0, 0)], CALL)
+    assert "SortMergeJoin" not in plan_of(pricing.priced(calls, pricing.seed(spark)))
+
+
+def test_stored_rows_are_left_out_before_one_of_each_key_is_chosen(spark):
+    from tallyforge.operators import store
+
+    new = spark.createDataFrame([("a", ONE, 2), ("a", ONE, 1), ("b", ONE, 3), ("b", TWO, 4), ("c", ONE, None), ("c", ONE, 5)], "uuid string, device_id string, v bigint")
+    stored = spark.createDataFrame([("b", ONE)], "uuid string, device_id string")
+    got = store.landed(stored, new, store.USAGE_KEY)
+    plan = plan_of(got)
+    assert plan.index("Aggregate") < plan.index("LeftAnti") and plan.count("Exchange hashpartitioning") <= 2
+    assert sorted(tuple(r) for r in got.collect()) == sorted([("a", ONE, 1), ("b", TWO, 4), ("c", ONE, None)], key=lambda r: r[:2])
